@@ -220,10 +220,10 @@ def islands(df: DataFrame, seq: Seq, watch: Sequence[str], breaks: str, out: str
         .select(*seq.group, (F.coalesce("_base", F.lit(0)) + F.col("_first")).alias("_base"))
     )
     return (
-        rows.withColumn("_run", F.sum("_open").over(inner.rowsBetween(*_PAST)))
+        rows.withColumn("_within", F.sum("_open").over(inner.rowsBetween(*_PAST)))
         .join(carried, seq.group, "left")
-        .withColumn(out, F.col("_base") + F.col("_run"))
-        .drop("cur", "prev", "_open", "_run", "_base")
+        .withColumn(out, F.col("_base") + F.col("_within"))
+        .drop("cur", "prev", "_open", "_within", "_base")
     )
 
 

@@ -47,3 +47,17 @@ def overlapping(left: DataFrame, right: DataFrame, keys, l_span, r_span, bucket:
     touch = (a[ls] <= b[re]) & (b[rs] <= a[le])
     once = a["_b"] == slot(F.greatest(a[ls], b[rs]), bucket)
     return a.join(b, [*cond, touch, once]).drop("_b", "_rb", *[f"_k_{k}" for k in keys])
+
+
+def touching(left: DataFrame, right: DataFrame, keys, l_span, r_span, ident, bucket: int) -> DataFrame:
+    """Distinct ``(keys, ident)`` of left intervals that touch any right interval (semi-join, no pairs)."""
+    keys = list(keys)
+    (ls, le), (rs, re) = l_span, r_span
+    a = left.filter(F.col(le) >= F.col(ls)).withColumn(
+        "_b", F.explode(F.sequence(slot(F.col(ls), bucket), slot(F.col(le), bucket))))
+    b = right.filter(F.col(re) >= F.col(rs)).select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(rs).alias("_rs"), F.col(re).alias("_re"),
+        F.explode(F.sequence(slot(F.col(rs), bucket), slot(F.col(re), bucket))).alias("_rb"))
+    cond = [a[k] == b[f"_k_{k}"] for k in keys] + [
+        a["_b"] == b["_rb"], a[ls] <= b["_re"], b["_rs"] <= a[le]]
+    return a.join(b, cond, "left_semi").select(*keys, ident).distinct()
