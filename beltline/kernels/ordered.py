@@ -192,39 +192,48 @@ def ordered(df: DataFrame, seq: Seq, *specs: Spec) -> DataFrame:
     return done.drop(*[f"_{p}{i}" for p in "lk" for i in range(len(specs))])
 
 
-def islands(df: DataFrame, seq: Seq, watch: Sequence[str], breaks: str, out: str) -> DataFrame:
+def islands(df: DataFrame, seq: Seq, watch: Sequence[str], breaks: str, out: str,
+            first: str | None = None) -> DataFrame:
     """Number the runs of each key; a row opens a run when ``breaks`` holds.
 
     ``breaks`` is SQL over ``cur.<col>`` and ``prev.<col>`` for the columns in ``watch``; the
-    first row of a key always opens a run.
+    first row of a key always opens a run.  ``first`` names a struct column that is to hold the
+    watched columns of the run's opening row.
     """
     inner = seq.inner()
+    flag = F.coalesce(F.expr(breaks).cast("int"), F.lit(0))
     rows = (
         seq.tag(df)
         .withColumn("cur", F.struct(*watch))
         .withColumn("prev", F.lag("cur").over(inner))
-        .withColumn("_open", F.when(F.col("prev").isNull(), 0).otherwise(
-            F.coalesce(F.expr(breaks).cast("int"), F.lit(0))))
+        .withColumn("_open", F.when(F.col("prev").isNull(), 0).otherwise(flag))
     )
+    opened = F.when(F.col("_open") == 1, F.col("cur"))
     borders = rows.groupBy(*seq.group).agg(
         F.sum("_open").alias("_n"),
         F.min_by("cur", seq.position).alias("cur"),
         F.max_by("cur", seq.position).alias("_last"),
+        F.max_by(opened, F.when(F.col("_open") == 1, seq.position)).alias("_newest"),
     )
     outer = seq.outer()
     carried = (
         borders.withColumn("prev", F.lag("_last").over(outer))
-        .withColumn("_first", F.when(F.col("prev").isNull(), 1).otherwise(
-            F.coalesce(F.expr(breaks).cast("int"), F.lit(0))))
+        .withColumn("_first", F.when(F.col("prev").isNull(), 1).otherwise(flag))
+        .withColumn("_entry", F.when(F.col("_first") == 1, F.col("cur")))
         .withColumn("_base", F.sum(F.col("_n") + F.col("_first")).over(outer.rowsBetween(*_BEFORE)))
-        .select(*seq.group, (F.coalesce("_base", F.lit(0)) + F.col("_first")).alias("_base"))
+        .withColumn("_held", F.last(F.coalesce("_newest", "_entry"), True).over(outer.rowsBetween(*_BEFORE)))
+        .select(*seq.group, (F.coalesce("_base", F.lit(0)) + F.col("_first")).alias("_base"),
+                F.coalesce("_entry", "_held").alias("_held"))
     )
-    return (
+    done = (
         rows.withColumn("_within", F.sum("_open").over(inner.rowsBetween(*_PAST)))
+        .withColumn("_start", F.last(opened, True).over(inner.rowsBetween(*_PAST)))
         .join(carried, seq.group, "left")
         .withColumn(out, F.col("_base") + F.col("_within"))
-        .drop("cur", "prev", "_open", "_within", "_base")
     )
+    if first:
+        done = done.withColumn(first, F.coalesce("_start", "_held"))
+    return done.drop("cur", "prev", "_open", "_within", "_base", "_start", "_held")
 
 
 def row_frame(df: DataFrame, keys, index: str, before: int, after: int, exprs: dict[str, Column],

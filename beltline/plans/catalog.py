@@ -1,4 +1,4 @@
 """All named queries; importing this module fills the registry."""
 
-from . import boards, matching, sequences, telemetry  # noqa: F401
+from . import boards, localization, matching, sequences, telemetry  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -46,10 +46,12 @@ def test_ordered_specs(spark, frame):
 
 
 def test_islands(spark, frame):
-    got = islands(to_spark(spark, frame), SEQ, ["t"], "cur.t - prev.t > 15", "run")
+    got = islands(to_spark(spark, frame), SEQ, ["t"], "cur.t - prev.t > 15", "run", first="opening")
     got = got.toPandas().sort_values(["key", "t", "id"]).reset_index(drop=True)
     want = frame.groupby("key").t.transform(lambda s: (s.diff().fillna(99) > 15).cumsum())
     assert (got.run == want).all()
+    starts = got.assign(run=want).groupby(["key", "run"]).t.transform("min")
+    assert (got.opening.map(lambda r: r["t"]) == starts).all()
 
 
 def test_row_and_range_frames(spark, frame):
