@@ -56,17 +56,17 @@ def gaussian_fit(healthy: DataFrame, unit: str, features, shrinkage=0.15, ridge=
         return pd.DataFrame(out, columns=["std", "inv"])
 
     fit = agg.withColumn("_f", invert("n", F.array(*[F.col(f"_s{i}_{j}") for i, j in pairs])))
-    return fit.select(unit, "n", F.array(*[F.col(f"_m{i}") for i in range(d)]).alias("mean"), "_f.std", "_f.inv")
+    return fit.select(unit, "n", F.array(*[F.col(f"_m{i}") for i in range(d)]).alias("center"), F.col("_f.std").alias("scale"), F.col("_f.inv").alias("inverse"))
 
 
 def mahalanobis_score(rows: DataFrame, fit: DataFrame, unit: str, features, out="raw") -> DataFrame:
     x = F.array(*[F.col(f) for f in features])
-    z = F.zip_with(F.zip_with(x, "mean", lambda a, m: a - m), "std", lambda a, s: a / s)
+    z = F.zip_with(F.zip_with(x, "center", lambda a, m: a - m), "scale", lambda a, s: a / s)
     zero = F.lit(0.0)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), zero, lambda s, v: s + v)
     scored = rows.join(fit, unit).withColumn("_z", z)
-    quad = dot(F.transform("inv", lambda row: dot(row, F.col("_z"))), F.col("_z"))
-    return scored.withColumn(out, F.sqrt(F.greatest(quad, zero))).drop("mean", "std", "inv", "_z", "n")
+    quad = dot(F.transform("inverse", lambda row: dot(row, F.col("_z"))), F.col("_z"))
+    return scored.withColumn(out, F.sqrt(F.greatest(quad, zero))).drop("center", "scale", "inverse", "_z", "n")
 
 
 def ecdf_score(rows: DataFrame, healthy: DataFrame, keys, raw="raw", out="score") -> DataFrame:

@@ -93,7 +93,7 @@ def bootstrap_auc_ci(df: DataFrame, keys, ident, score="score", y="y", b=200, se
     k = [*keys, "_r"]
     # Replicates of one key share its bands, so a replicate is no larger a task than the key itself.
     cum = cumulative_by_value(reps, k, "s", {"pos": "sum(_w * y)", "neg": "sum(_w * (1 - y))"}, bands=16)
-    a = cum.groupBy(*k).agg((F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("_a"))
+    a = cum.groupBy(*k).agg(F.try_divide(F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("_a"))
     ci = a.groupBy(*keys).agg(F.percentile("_a", F.array(F.lit(0.025), F.lit(0.975))).alias("_ci"))
     return auc(df, keys, score, y).join(ci, keys).select(*keys, "auc", F.col("_ci")[0].alias("lo"), F.col("_ci")[1].alias("hi"))
 
@@ -130,7 +130,12 @@ def mann_whitney(df: DataFrame, keys, score="score", y="y") -> DataFrame:
 
 def spearman(df: DataFrame, keys, a, b) -> DataFrame:
     r = avg_rank(avg_rank(df, keys, a, "_ra"), keys, b, "_rb")
-    return r.groupBy(*keys).agg(F.corr("_ra", "_rb").alias("rho"))
+    x, y = F.col("_ra"), F.col("_rb")
+    m = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(c) for c, e in (
+        ("sx", x), ("sy", y), ("sxx", x * x), ("syy", y * y), ("sxy", x * y))])
+    n = F.col("n")
+    vx, vy = n * F.col("sxx") - F.col("sx") * F.col("sx"), n * F.col("syy") - F.col("sy") * F.col("sy")
+    return m.select(*keys, F.try_divide(n * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt(vx * vy)).alias("rho"))
 
 
 def event_level_metrics(windows: DataFrame, faults: DataFrame, keys, t, tie, thresholds, ks, tol) -> DataFrame:
@@ -167,22 +172,24 @@ def rank_fusion(df: DataFrame, keys, a, b, y="y") -> DataFrame:
 def rate_at_transfer(df: DataFrame, rec, score="score", y="y") -> DataFrame:
     """Equal-error threshold of each recording applied to every other recording.
 
-    One threshold per recording; rows only meet the list of thresholds, grouped before the shuffle.
+    Every row is counted once, in the slot between the recordings' sorted thresholds it falls in;
+    the rates of all (trained on, applied to) pairs are then sums over a recording's few slots.
     """
-    thr = roc_operating_points(df, [rec], score, y).filter("op = 'equal_error'").select(F.col(rec).alias("trained_on"), "thr")
-    cum = cumulative_by_value(_labelled(df, [rec], score, y), [rec], "s", _POS_NEG, descending=True)
-    total = _labelled(df, [rec], score, y).groupBy(rec).agg(F.sum("y").alias("P"), F.sum(1 - F.col("y")).alias("N"))
-    # One threshold per recording: an array on each recording's single totals row.
-    lists = thr.agg(F.collect_list(F.struct("trained_on", "thr")).alias("t")).withColumn("_one", F.lit(1))
-    wanted = total.withColumn("_one", F.lit(1)).join(lists, "_one").select(rec, "P", "N", F.explode("t").alias("t")).filter(
-        F.col(rec) != F.col("t.trained_on"))
-    hit = wanted.join(cum, [rec]).filter(F.col("s") >= F.col("t.thr")).groupBy(rec, "t.trained_on").agg(
-        F.max("cum_pos").alias("hp"), F.max("cum_neg").alias("hn"))
-    done = wanted.select(rec, "P", "N", "t.trained_on", "t.thr").join(hit, [rec, "trained_on"], "left")
-    zero = F.lit(0)
-    return done.select("trained_on", F.col(rec).alias("applied_to"), "thr",
-                       (F.coalesce("hn", zero) / F.greatest("N", F.lit(1))).alias("fpr"),
-                       (1 - F.coalesce("hp", zero) / F.greatest("P", F.lit(1))).alias("fnr"))
+    thr = cut_lineage(roc_operating_points(df, [rec], score, y).filter("op = 'equal_error'").select(F.col(rec).alias("trained_on"), "thr"))
+    steps = thr.agg(F.sort_array(F.collect_set("thr")).alias("t")).scalar()
+    rows = _labelled(df, [rec], score, y).withColumn("_t", steps).withColumn("_slot", F.size(F.filter("_t", lambda c: c <= F.col("s"))))
+    slots = rows.groupBy(rec, "_slot").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+    per = slots.groupBy(rec).agg(F.collect_list(F.struct("_slot", "p", "n")).alias("_h"), F.sum("p").alias("_P"), F.sum("n").alias("_N"))
+    pairs = thr.agg(F.collect_list(F.struct("trained_on", "thr")).alias("l")).scalar()
+    wanted = per.withColumns({"_l": pairs, "_t": steps}).withColumn("t", F.explode("_l")).filter(F.col(rec) != F.col("t.trained_on"))
+    reach = F.size(F.filter("_t", lambda c: c <= F.col("t.thr")))
+    wanted = wanted.withColumn("_reach", reach)
+
+    def above(f):
+        return F.aggregate(F.filter("_h", lambda h: h["_slot"] >= F.col("_reach")), F.lit(0).cast("bigint"), lambda acc, h: acc + h[f])
+
+    return wanted.select(F.col("t.trained_on").alias("trained_on"), F.col(rec).alias("applied_to"), F.col("t.thr").alias("thr"),
+                         (above("n") / F.greatest("_N", F.lit(1))).alias("fpr"), (1 - above("p") / F.greatest("_P", F.lit(1))).alias("fnr"))
 
 
 def detector_crosstalk(df: DataFrame, detectors: dict[str, float], klass: str) -> DataFrame:
@@ -246,9 +253,9 @@ def correlation_clusters(df: DataFrame, keys, ident: str, vec: str, threshold=0.
     gives at most one candidate parent per row; chains of parents are then shortened by doubling.
     """
     keys = list(keys)
-    n = F.size(vec)
-    mean = F.aggregate(vec, F.lit(0.0), lambda s, v: s + v.cast("double")) / n
-    rows = df.select(*keys, ident, F.col(vec).alias("_v"), mean.alias("_mean"))
+    n = F.size("_v")
+    mean = F.aggregate("_v", F.lit(0.0), lambda s, v: s + v.cast("double")) / n
+    rows = df.select(*keys, ident, F.col(vec).alias("_v")).withColumn("_mean", mean)
     var = F.aggregate("_v", F.lit(0.0), lambda s, v: s + (v - F.col("_mean")) * (v - F.col("_mean"))) / n
     rows = rows.withColumn("_sd", F.sqrt(var) + 1e-9).select(
         *keys, ident, F.transform("_v", lambda v: ((v - F.col("_mean")) / F.col("_sd")).cast("double")).alias("_z"))

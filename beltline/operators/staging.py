@@ -2,10 +2,106 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..kernels.automata import finite_state_scan
+from ..kernels.ordered import Seq
+from .sequences import lap_assign, trend_slope
+
+HEALTHY, WATCH, ESTABLISHED, ADVANCED = range(4)
+
 
 def fuse(vibration: Column, acoustic: Column, digits: int = 4) -> Column:
     """Headline score: the larger of the senses present."""
     return F.round(F.greatest(vibration, acoustic), digits)
+
+
+def stage_table(dwell: int, release: int) -> np.ndarray:
+    """Next state for every (input, state); a state packs stage and the two saturating run lengths.
+
+    Inputs: bit 0 = vibration high, bit 1 = trend rising, bits 2-3 = acoustic absent / low / high.
+    Run lengths only matter up to their thresholds, so they saturate there.
+    """
+    n_run = dwell + release + 1           # -release .. dwell: negative while below, positive while above
+
+    def pack(stage, run):
+        return stage * n_run + run + release
+
+    table = np.zeros((12, 4 * n_run), dtype=np.int64)
+    for symbol in range(12):
+        high, rising, acoustic = symbol & 1, (symbol >> 1) & 1, symbol >> 2
+        loud = acoustic == 2
+        for stage in range(4):
+            for run in range(-release, dwell + 1):
+                if high or loud:
+                    now = min(max(run, 0) + 1, dwell)
+                else:
+                    now = max(min(run, 0) - 1, -release)
+                above = max(now, 0)
+                if acoustic:              # both senses present
+                    both = high and loud
+                    target = (ADVANCED if rising else ESTABLISHED) if both else WATCH if (high or loud) else HEALTHY
+                elif not high:
+                    target = HEALTHY
+                elif above < dwell:
+                    target = WATCH
+                else:
+                    target = ADVANCED if rising and stage >= ESTABLISHED else ESTABLISHED
+                nxt = stage
+                if target > stage:
+                    if target == WATCH or above >= dwell:
+                        nxt = stage + 1 if stage >= WATCH else target
+                    else:
+                        nxt = max(stage, WATCH)
+                elif target < stage and -now >= release:
+                    nxt = target
+                table[symbol, pack(stage, run)] = pack(nxt, now)
+    return table
+
+
+def stage_machine(df: DataFrame, keys, t, tie, index, v, a: str | None = None, v_thr=0.95, a_thr=0.95, dwell=6, release=6,
+                  trend_window=60, trend_eps=1e-3, chunk_us=3_600_000_000) -> DataFrame:
+    """Severity stage 0..3 and trend per window, in order along each key."""
+    rows = trend_slope(df, keys, index, v, trend_window, trend_eps)
+    sense = F.lit(0)
+    if a is not None:
+        sense = F.when(F.col(a).isNull(), 0).when(F.col(a) >= a_thr, 2).otherwise(1)
+    rows = rows.withColumn("_sym", (F.col(v) >= v_thr).cast("int") + 2 * (F.col("trend") == "rising").cast("int") + 4 * sense)
+    n_run = dwell + release + 1
+    out = finite_state_scan(rows, Seq.by_time(keys, t, [tie], chunk_us), "_sym", stage_table(dwell, release), "_state", start=release)
+    return out.withColumn("stage", F.expr(f"_state div {n_run}").cast("int")).drop("_state", "_sym", "_chunk")
+
+
+def contract_b(staged: DataFrame, laps: DataFrame, keys, ident, center, raw, v="v", n_bins=24, contrast_thr=2.0, min_coverage=0.6,
+               model_version="beltline-imu-directed") -> DataFrame:
+    """One record per window: fused score, stage, trend, lap phase, and the verdict so far on where the fault sits.
+
+    The running verdict needs every bin's mean so far.  Each bin's running sum is carried along its
+    (session, variant) as one of ``n_bins`` columns of a single ordered pass.
+    """
+    from ..kernels.ordered import RunSum, ordered
+
+    keys = list(keys)
+    on_lap = lap_assign(staged.select(*keys, ident, center, raw), laps, keys, center)
+    b = F.pmod((F.col("phase") * n_bins).cast("int"), F.lit(n_bins))
+    on_lap = on_lap.withColumn("_bin", b)
+    seq = Seq.by_time([*keys, "variant"], center, [ident])
+    specs = []
+    for i in range(n_bins):
+        here = F.col("_bin") == i
+        specs += [RunSum(f"_s{i}", F.when(here, F.col(raw)).otherwise(0.0)), RunSum(f"_c{i}", F.when(here, 1).otherwise(0))]
+    run = ordered(on_lap, seq, *specs)
+    means = F.filter(F.array(*[F.when(F.col(f"_c{i}") > 0, F.col(f"_s{i}") / F.col(f"_c{i}")) for i in range(n_bins)]), lambda m: m.isNotNull())
+    run = run.select(*keys, ident, "phase", F.sort_array(means).alias("_m"))
+    n = F.size("_m")
+    med = (F.element_at("_m", F.expr("(size(_m) - 1) div 2 + 1").cast("int")) + F.element_at("_m", F.expr("size(_m) div 2 + 1").cast("int"))) / 2
+    contrast = F.when(med > 1e-12, F.array_max("_m") / med)
+    locus = F.when((n / n_bins < min_coverage) | contrast.isNull(), "unknown").when(contrast >= contrast_thr, "track").otherwise("onboard")
+    run = run.select(*keys, ident, F.round("phase", 3).alias("track_position"), locus.alias("fault_locus"))
+    out = staged.join(run, [*keys, ident], "left")
+    return out.select(
+        F.col(center).alias("ts_us"), *keys, F.lit(model_version).alias("model_version"), fuse(F.col(v), F.lit(None).cast("double")).alias("anomaly_score"),
+        F.lit(None).cast("double").alias("acoustic_score"), F.round(v, 4).alias("vibration_score"), F.col("stage").alias("severity_stage"),
+        "track_position", F.coalesce("fault_locus", F.lit("unknown")).alias("fault_locus"), "trend", ident)

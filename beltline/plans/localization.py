@@ -19,14 +19,14 @@ _HD = """hd AS (SELECT *, coalesce(sum(inc) OVER (PARTITION BY session ORDER BY
  anc AS (SELECT session, t0 AS t_us, t1 AS end_us, h1-h0 AS deg FROM tr WHERE abs(abs(h1-h0)-90)<=0.6*90)"""
 
 
-@query("integrate_yaw", ("v_imu",), f"WITH {_HD} SELECT event_id, round(heading,6) AS heading FROM hd")
+@query("integrate_yaw", ("v_imu",), f"WITH {_HD} SELECT event_id, round(radians(heading),6) AS heading_rad FROM hd")
 def integrate_yaw(spark, sf):
-    return P.integrate_yaw(B.imu(spark, sf), K).select("event_id", F.round("heading", 6).alias("heading"))
+    return P.integrate_yaw(B.imu(spark, sf), K).select("event_id", F.round(F.radians("heading"), 6).alias("heading_rad"))
 
 
-@query("turntable_anchors", ("v_imu",), f"WITH {_HD} SELECT session, t_us, end_us, round(deg,6) AS deg FROM anc")
+@query("turntable_anchors", ("v_imu",), f"WITH {_HD} SELECT session, t_us, end_us, round(radians(deg),6) AS turn_rad FROM anc")
 def turntable_anchors(spark, sf):
-    return P.turntable_anchors(B.imu(spark, sf), K).select("session", "t_us", "end_us", F.round("deg", 6).alias("deg"))
+    return P.turntable_anchors(B.imu(spark, sf), K).select("session", "t_us", "end_us", F.round(F.radians("deg"), 6).alias("turn_rad"))
 
 
 _EN = """en AS (SELECT *, CASE WHEN n>2 THEN sqrt(sx*sx+sy*sy) END AS energy FROM (SELECT *, stddev_pop(ax) OVER w AS sx, stddev_pop(ay) OVER w AS sy, count(*) OVER w AS n
