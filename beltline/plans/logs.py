@@ -1,38 +1,38 @@
 """Record logs: the events are packed into binary records by Spark, then read back by the log operators."""
 
+import struct
+
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources import logs as L
 from . import bindings as B
 from .registry import query
 
 
-def _le_hex(c, size):
-    """Little-endian hex of an integer column."""
-    v = c.cast("bigint")
-    h = F.lpad(F.hex(v if size == 8 else F.pmod(v, F.lit(1 << (8 * size)))), 2 * size, "0")
-    return F.concat(*[F.substring(h, 2 * i - 1, 2) for i in range(size, 0, -1)])
-
-
-def _i16(c):
-    return _le_hex(F.pmod(c.cast("bigint"), F.lit(65536)), 2)
+@F.pandas_udf(T.BinaryType())
+def _pack(event_id: pd.Series, ts_us: pd.Series, kind: pd.Series, k: pd.Series, props: pd.Series) -> pd.Series:
+    """One framed record per event, by event type (test input for the decoders)."""
+    out = []
+    for e, t, typ, n, text in zip(event_id, ts_us, kind, k, props):
+        imu = struct.pack("<i7h", n * 1000, *[(n - 50) * m for m in (300, 200, 100, 50, 20, 10)], n * 5)
+        if typ in ("click", "view"):
+            tag, body = 0x10, imu + (struct.pack("<3h", *[(n - 50) * m for m in (7, 8, 9)]) if typ == "click" else b"")
+        elif typ == "purchase":
+            tag, body = 0x30, struct.pack("<IHH", e, 320, 240) + (text.encode() if n > 20 else b"")
+        elif typ == "error":
+            tag, body = 0x40, struct.pack("<IHBB", e, 16000, 1, 16) + text.encode()
+        else:
+            tag, body = 0x02, f"CFG,100,{n % 8 + 1},200,2000".encode()
+        out.append(struct.pack("<BQH", tag, t, len(body)) + body)
+    return pd.Series(out)
 
 
 def framed(spark, sf):
-    """One framed record per event: IMU (some legacy), camera, audio and CFG command by event type."""
+    """Framed records: IMU (some legacy), camera, audio and CFG command by event type."""
     e = B._container(B.events(spark, sf))
-    k = F.col("k")
-    imu = F.concat(_le_hex(k * 1000, 4), *[_i16((k - 50) * m) for m in (300, 200, 100, 50, 20, 10)], _i16(k * 5))
-    mag = F.concat(*[_i16((k - 50) * m) for m in (7, 8, 9)])
-    cam = F.concat(_le_hex(F.col("event_id"), 4), _le_hex(F.lit(320), 2), _le_hex(F.lit(240), 2), F.when(k > 20, F.hex(F.encode("props", "utf-8"))).otherwise(""))
-    aud = F.concat(_le_hex(F.col("event_id"), 4), _le_hex(F.lit(16000), 2), F.lit("0110"), F.hex(F.encode("props", "utf-8")))
-    cmd = F.hex(F.encode(F.concat(F.lit("CFG,100,"), (k % 8 + 1).cast("string"), F.lit(",200,2000")), "utf-8"))
-    body = (F.when(F.col("event_type") == "click", F.concat(imu, mag)).when(F.col("event_type") == "view", imu)
-            .when(F.col("event_type") == "purchase", cam).when(F.col("event_type") == "error", aud).otherwise(cmd))
-    tag = (F.when(F.col("event_type").isin("click", "view"), "10").when(F.col("event_type") == "purchase", "30")
-           .when(F.col("event_type") == "error", "40").otherwise("02"))
-    rec = F.concat(tag, _le_hex(F.col("ts_us"), 8), _le_hex(F.length(body) / 2, 2), body)
-    return e.select("event_id", "ts_us", "container_id", "k", F.unhex(rec).alias("data"))
+    return e.select("event_id", "ts_us", "container_id", "k", _pack("event_id", "ts_us", "event_type", "k", "props").alias("data"))
 
 
 def records(spark, sf):
@@ -53,9 +53,9 @@ def decode_log_records(spark, sf):
 def explode_log_files(spark, sf):
     """Whole files: every event is packed as a file of its own with a header, exploded, and counted per device."""
     f = framed(spark, sf)
-    head = F.concat(F.hex(F.encode(F.lit("IMULOG01"), "utf-8")), _le_hex(F.lit(B.ORIGIN_US), 8), _le_hex(F.lit(115200), 4))
+    head = F.lit((b"IMULOG01" + struct.pack("<QI", B.ORIGIN_US, 115200)).hex())
     files = f.select(F.concat_ws("|", "container_id", F.col("event_id").cast("string")).alias("path"),
-                     F.unhex(F.concat(head, F.hex("data"), F.lit("10FF"))).alias("content"))
+                     F.concat(F.unhex(head), F.col("data"), F.unhex(F.lit("10FF"))).alias("content"))
     r = L.explode_logs(files)
     return r.groupBy(F.split("file", r"\|")[0].alias("file")).agg(
         F.count(F.lit(1)).alias("n_records"), F.sum(F.split("file", r"\|")[1].cast("bigint")).alias("id_sum"))

@@ -48,19 +48,19 @@ def explode_logs(files: DataFrame, name="path", content="content", batch=20_000)
     """
 
     def run(batches):
+        rows = []
         for pdf in batches:
             for f, data in zip(pdf[name], pdf[content]):
                 if len(data) < FILE_HEADER or data[:8] != MAGIC:
                     continue
                 start, baud = int.from_bytes(data[8:16], "little"), int.from_bytes(data[16:20], "little")
-                rows = []
                 for i, (typ, t, body) in enumerate(_walk(data)):
                     rows.append((f, i, start, baud, typ, t, body))
                     if len(rows) == batch:
                         yield pd.DataFrame(rows, columns=cols)
                         rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=cols)
+        if rows:
+            yield pd.DataFrame(rows, columns=cols)
 
     cols = ["file", "ord", "t_start_us", "baud", "rec_type", "t_host_us", "payload"]
     return files.select(name, content).mapInPandas(run, f"file string, ord bigint, t_start_us bigint, baud bigint, {RECORD}")
@@ -70,39 +70,44 @@ def scan_logs(spark: SparkSession, path: str) -> DataFrame:
     return explode_logs(spark.read.format("binaryFile").load(path))
 
 
+# Payload layouts.
+RECORD_DT = np.dtype([("rec_type", "u1"), ("t_host_us", "<u8"), ("len", "<u2")])
+IMU_DT = np.dtype([("t_us", "<i4"), ("ax_raw", "<i2"), ("ay_raw", "<i2"), ("az_raw", "<i2"), ("gx_raw", "<i2"), ("gy_raw", "<i2"),
+                   ("gz_raw", "<i2"), ("temp_raw", "<i2"), ("mx_raw", "<i2"), ("my_raw", "<i2"), ("mz_raw", "<i2")])
+CAMERA_DT = np.dtype([("frame_id", "<u4"), ("width", "<u2"), ("height", "<u2")])
+AUDIO_DT = np.dtype([("seq", "<u4"), ("rate", "<u2"), ("channels", "u1"), ("bits", "u1")])
+
+
+def unpack(layout: np.dtype):
+    """Pandas UDF: the fixed-layout head of each binary value, one buffer per Arrow batch."""
+    schema = ", ".join(f"{n} bigint" for n in layout.names)
+    size = layout.itemsize
+
+    @F.pandas_udf(f"struct<{schema.replace(' bigint', ':bigint')}>")
+    def run(b: pd.Series) -> pd.DataFrame:
+        buf = b"".join((v or b"")[:size].ljust(size, b"\0") for v in b)
+        rows = np.frombuffer(buf, layout)
+        return pd.DataFrame({n: rows[n].astype(np.int64) for n in layout.names})
+
+    return run
+
+
 def parse_records(df: DataFrame, data: str = "data", keep=()) -> DataFrame:
     """One framed record per message (header + payload); short or truncated ones are dropped."""
     b = F.col(data)
-    n = F.octet_length(b)
-    le = lambda a, k: _le(b, a, k)
-    rows = df.filter(n >= RECORD_HEADER).select(
-        *keep, le(1, 1).cast("int").alias("rec_type"), le(2, 8).alias("t_host_us"), le(10, 2).cast("int").alias("len"), b.alias("_b"))
-    return rows.withColumn("payload", F.substring("_b", F.lit(RECORD_HEADER + 1), F.col("len"))).filter(
-        F.octet_length("payload") == F.col("len")).drop("_b", "len")
-
-
-def _le(b, start: int, size: int, signed=False):
-    """Little-endian integer out of a binary column (1-based start), with built-in functions."""
-    h = F.hex(F.substring(b, start, size))
-    flipped = F.concat(*[F.substring(h, 2 * i - 1, 2) for i in range(size, 0, -1)])
-    v = F.conv(flipped, 16, 10).cast("decimal(20,0)").cast("bigint")
-    if signed:
-        top = 1 << (8 * size - 1)
-        v = F.when(v >= top, v - 2 * top).otherwise(v)
-    return v
+    rows = df.filter(F.octet_length(b) >= RECORD_HEADER).withColumn("_h", unpack(RECORD_DT)(b))
+    rows = rows.withColumn("payload", F.substring(b, F.lit(RECORD_HEADER + 1), F.col("_h.len").cast("int")))
+    return rows.filter(F.octet_length("payload") == F.col("_h.len")).select(
+        *keep, F.col("_h.rec_type").cast("int").alias("rec_type"), F.col("_h.t_host_us").alias("t_host_us"), "payload")
 
 
 def decode_imu(records: DataFrame, mag_default=None) -> DataFrame:
     """Raw counts of IMU records; legacy frames without magnetometer give ``mag_default``."""
-    p = F.col("payload")
-    n = F.octet_length(p)
-    rows = records.filter((F.col("rec_type") == IMU) & (n >= IMU_LEGACY))
-    axes = {"t_us": (1, 4), "ax_raw": (5, 2), "ay_raw": (7, 2), "az_raw": (9, 2), "gx_raw": (11, 2), "gy_raw": (13, 2), "gz_raw": (15, 2),
-            "temp_raw": (17, 2)}
-    cols = {c: _le(p, a, k, True) for c, (a, k) in axes.items()}
-    for c, a in (("mx_raw", 19), ("my_raw", 21), ("mz_raw", 23)):
-        cols[c] = F.when(n >= IMU_LEN, _le(p, a, 2, True)).otherwise(F.lit(mag_default))
-    return rows.withColumns(cols)
+    n = F.octet_length("payload")
+    rows = records.filter((F.col("rec_type") == IMU) & (n >= IMU_LEGACY)).withColumn("_i", unpack(IMU_DT)(F.col("payload")))
+    plain = [c for c in IMU_DT.names if not c.startswith("m")]
+    return rows.select(*records.columns, *[F.col(f"_i.{c}").alias(c) for c in plain],
+                       *[F.when(n >= IMU_LEN, F.col(f"_i.{c}")).otherwise(F.lit(mag_default)).alias(c) for c in ("mx_raw", "my_raw", "mz_raw")])
 
 
 def scale_imu(df: DataFrame, acc_range="acc_range", gyr_range="gyr_range") -> DataFrame:
@@ -159,10 +164,9 @@ def merge_logs(records: DataFrame, file_order: str = "file", parts: int | None =
 
 def audio_chunks(records: DataFrame) -> DataFrame:
     """Header fields and PCM bytes of audio records."""
-    p = F.col("payload")
-    return records.filter((F.col("rec_type") == AUDIO) & (F.octet_length(p) >= 8)).select(
-        "file", "ord", "t_host_us", _le(p, 1, 4).alias("seq"), _le(p, 5, 2).alias("rate"), _le(p, 7, 1).alias("channels"),
-        _le(p, 8, 1).alias("bits"), F.substring(p, F.lit(9), F.octet_length(p)).alias("pcm"))
+    n = F.octet_length("payload")
+    rows = records.filter((F.col("rec_type") == AUDIO) & (n >= 8)).withColumn("_h", unpack(AUDIO_DT)(F.col("payload")))
+    return rows.select("file", "ord", "t_host_us", "_h.*", F.substring("payload", F.lit(9), n).alias("pcm"))
 
 
 def audio_chunk_stitch(chunks: DataFrame, bucket: int = 256) -> DataFrame:
@@ -177,11 +181,12 @@ def audio_chunk_stitch(chunks: DataFrame, bucket: int = 256) -> DataFrame:
 
 def camera_rows(records: DataFrame) -> DataFrame:
     """Frame header and base64 image; header-only payloads carry no image and are dropped."""
-    p = F.col("payload")
-    n = F.octet_length(p)
-    return records.filter((F.col("rec_type") == CAMERA) & (n > 8)).withColumns({
-        "frame_id": _le(p, 1, 4), "width": _le(p, 5, 2).cast("int"), "height": _le(p, 7, 2).cast("int"), "format": F.lit("jpeg"),
-        "encoding": F.lit("base64"), "t_us": _le(p, 1, 4), "data": F.base64(F.substring(p, F.lit(9), n))}).drop("payload", "rec_type")
+    n = F.octet_length("payload")
+    rows = records.filter((F.col("rec_type") == CAMERA) & (n > 8)).withColumn("_h", unpack(CAMERA_DT)(F.col("payload")))
+    keep = [c for c in records.columns if c not in ("payload", "rec_type")]
+    return rows.select(*keep, "_h.frame_id", F.col("_h.width").cast("int").alias("width"), F.col("_h.height").cast("int").alias("height"),
+                       F.lit("jpeg").alias("format"), F.lit("base64").alias("encoding"), F.col("_h.frame_id").alias("t_us"),
+                       F.base64(F.substring("payload", F.lit(9), n)).alias("data"))
 
 
 def route_by_type(records: DataFrame) -> dict[str, DataFrame]:
