@@ -51,11 +51,12 @@ class Seq:
     def position(self) -> Column:
         return F.struct(*self.order)
 
-    def inner(self):
-        return Window.partitionBy(*self.group).orderBy(*self.order)
+    def inner(self, backward: bool = False):
+        order = [F.desc(o) for o in self.order] if backward else self.order
+        return Window.partitionBy(*self.group).orderBy(*order)
 
-    def outer(self):
-        return Window.partitionBy(*self.keys).orderBy(self.name)
+    def outer(self, backward: bool = False):
+        return Window.partitionBy(*self.keys).orderBy(F.desc(self.name) if backward else self.name)
 
 
 _PAST = (Window.unboundedPreceding, Window.currentRow)
@@ -66,6 +67,7 @@ _BEFORE = (Window.unboundedPreceding, -1)
 class Spec:
     out: str
     expr: Column | str = field(default_factory=lambda: F.lit(1))
+    backward = False
 
     @property
     def value(self) -> Column:
@@ -120,18 +122,22 @@ class Fill(Spec):
 
 
 class BackFill(Spec):
-    """First non-null value from this row on."""
+    """First non-null value from this row on.
+
+    Runs over the reversed order: a frame that ends at UNBOUNDED FOLLOWING would be rescanned for
+    every row.
+    """
+
+    backward = True
 
     def summary(self, pos):
         return F.min_by(self.value, F.when(self.value.isNotNull(), pos))
 
     def carry(self, s, w):
-        return F.first(s, True).over(w.rowsBetween(1, Window.unboundedFollowing))
+        return F.last(s, True).over(w.rowsBetween(*_BEFORE))
 
     def local(self, w):
-        return F.first(self.value, True).over(
-            w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        )
+        return F.last(self.value, True).over(w.rowsBetween(*_PAST))
 
     combine = Fill.combine
 
@@ -179,12 +185,11 @@ def ordered(df: DataFrame, seq: Seq, *specs: Spec) -> DataFrame:
     borders = rows.groupBy(*seq.group).agg(
         *[s.summary(seq.position).alias(f"_s{i}") for i, s in enumerate(specs)]
     )
-    outer = seq.outer()
     carried = borders.select(
-        *seq.group, *[s.carry(F.col(f"_s{i}"), outer).alias(f"_k{i}") for i, s in enumerate(specs)]
+        *seq.group,
+        *[s.carry(F.col(f"_s{i}"), seq.outer(s.backward)).alias(f"_k{i}") for i, s in enumerate(specs)],
     )
-    inner = seq.inner()
-    local = rows.withColumns({f"_l{i}": s.local(inner) for i, s in enumerate(specs)})
+    local = rows.withColumns({f"_l{i}": s.local(seq.inner(s.backward)) for i, s in enumerate(specs)})
     joined = local.join(carried, seq.group, "left")
     done = joined.withColumns(
         {s.out: s.combine(F.col(f"_l{i}"), F.col(f"_k{i}")) for i, s in enumerate(specs)}

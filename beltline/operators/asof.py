@@ -61,7 +61,7 @@ def interpolate_track(samples: DataFrame, track: DataFrame, keys, t: str, tie: s
 
 
 def resample_uniform(samples: DataFrame, keys, t: str, values, step_us: int,
-                     chunk_us: int = 3_600_000_000) -> DataFrame:
+                     chunk_us: int = 60_000_000) -> DataFrame:
     """Average duplicate timestamps, then interpolate onto ``0, step, 2 step, ... < last``.
 
     Each gap between neighbours emits its own grid points, so no key builds its grid in one row.

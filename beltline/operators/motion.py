@@ -15,12 +15,12 @@ from ..kernels.ranges import points_in_intervals, touching
 from ..session import cut_lineage
 from .track import CORNERS, LAP, LEGS, STARTS, WHEEL_CM, segment_grid
 
-HOUR_US = 3_600_000_000
+CHUNK_US = 60_000_000     # a minute of one key per chunk
 
 
 # --- heading and turntable anchors ------------------------------------------------------------
 
-def integrate_yaw(df: DataFrame, keys, t="t_us", tie="event_id", yaw="gz", max_gap_us=None, chunk_us=HOUR_US) -> DataFrame:
+def integrate_yaw(df: DataFrame, keys, t="t_us", tie="event_id", yaw="gz", max_gap_us=None, chunk_us=CHUNK_US) -> DataFrame:
     """Heading in degrees: trapezoid over the real time steps; long gaps add nothing when capped."""
     seq = Seq.by_time(keys, t, [tie], chunk_us)
     steps = ordered(df, seq, Lag("_pt", t), Lag("_py", yaw))
@@ -32,7 +32,7 @@ def integrate_yaw(df: DataFrame, keys, t="t_us", tie="event_id", yaw="gz", max_g
 
 
 def turntable_anchors(df: DataFrame, keys, t="t_us", tie="event_id", yaw="gz", step_deg=90.0, min_rate=15.0, tol=0.6,
-                      max_gap_us=None, streaming=False, chunk_us=HOUR_US) -> DataFrame:
+                      max_gap_us=None, streaming=False, chunk_us=CHUNK_US) -> DataFrame:
     """Stretches of fast yaw that turn the unit by about ``step_deg``.
 
     The turn is measured from the first fast row to the first slow row after it.  A stretch still
@@ -64,7 +64,7 @@ def vibration_energy(df: DataFrame, keys, t="t_us", win_us=400_000, chunk_us=600
     return framed.withColumn("energy", F.when(F.col("_n") > 2, e)).drop("_sx", "_sy", "_n")
 
 
-def grid_points(df: DataFrame, keys, t, step_us, chunk_us=HOUR_US) -> DataFrame:
+def grid_points(df: DataFrame, keys, t, step_us, chunk_us=CHUNK_US) -> DataFrame:
     """``first, first + step, ...`` below the last timestamp of each key, spread gap by gap."""
     keys = list(keys)
     first = df.groupBy(*keys).agg(F.min(t).alias("_t0"))
@@ -88,7 +88,7 @@ def grid_vibration(df: DataFrame, keys, t="t_us", win_us=400_000, step_us=50_000
     return framed.select(*keys, t, e.alias("energy"))
 
 
-def hysteresis_state(df: DataFrame, keys, t="t_us", ties=(), energy="energy", lo=0.025, hi=0.06, chunk_us=HOUR_US) -> DataFrame:
+def hysteresis_state(df: DataFrame, keys, t="t_us", ties=(), energy="energy", lo=0.025, hi=0.06, chunk_us=CHUNK_US) -> DataFrame:
     """Schmitt trigger: stopped below ``lo``, moving above ``hi``, unchanged between."""
     seq = Seq.by_time(keys, t, ties, chunk_us)
     edge = F.when(F.col(energy) > hi, 0).when(F.col(energy) < lo, 1)
@@ -96,7 +96,7 @@ def hysteresis_state(df: DataFrame, keys, t="t_us", ties=(), energy="energy", lo
 
 
 def dwell_state(df: DataFrame, keys, t="t_us", tie="event_id", energy="energy", lo=0.025, hi=0.06,
-                min_stop_us=2_000_000, min_move_us=1_500_000, chunk_us=HOUR_US) -> DataFrame:
+                min_stop_us=2_000_000, min_move_us=1_500_000, chunk_us=CHUNK_US) -> DataFrame:
     """Streaming rule in closed form: the state flips once its side of the band has lasted long enough.
 
     Rows without an energy neither count nor interrupt.
@@ -115,7 +115,7 @@ def dwell_state(df: DataFrame, keys, t="t_us", tie="event_id", energy="energy",
 
 
 def debounce_runs(grid: DataFrame, keys, t="t_us", state="stopped", step_us=50_000, min_stop_us=2_000_000,
-                  min_move_us=1_500_000, passes=3, chunk_us=HOUR_US) -> DataFrame:
+                  min_move_us=1_500_000, passes=3, chunk_us=CHUNK_US) -> DataFrame:
     """Offline debounce: runs ``(start, n, state)`` after absorbing short inner runs, pass by pass.
 
     In one pass a short inner run takes the state before it, so in a chain of short runs every other
@@ -143,7 +143,7 @@ def debounce_runs(grid: DataFrame, keys, t="t_us", state="stopped", step_us=50_0
 
 # --- position ---------------------------------------------------------------------------------
 
-def cum_distance_legpin(events: DataFrame, keys, t="t_us", tie="event_id", start="BR", chunk_us=HOUR_US) -> DataFrame:
+def cum_distance_legpin(events: DataFrame, keys, t="t_us", tie="event_id", start="BR", chunk_us=CHUNK_US) -> DataFrame:
     """Distance along the loop after every wheel / anchor event (``wheel``, ``anchor``: 0/1, ``stopped``).
 
     Each accepted wheel adds one pitch.  The first anchor fixes the absolute start, each later one
@@ -163,7 +163,7 @@ def cum_distance_legpin(events: DataFrame, keys, t="t_us", tie="event_id", start
     return rows.withColumn("cum_cm", cum.cast("double")).drop("_w", "_a", "_w0")
 
 
-def dead_reckoning(df: DataFrame, keys, t="t_us", tie="event_id", every=50, leak=0.9, chunk_us=HOUR_US, block=20_000) -> DataFrame:
+def dead_reckoning(df: DataFrame, keys, t="t_us", tie="event_id", every=50, leak=0.9, chunk_us=CHUNK_US, block=20_000) -> DataFrame:
     """Leaky velocity from acceleration counts, heading from the magnetometer, one fix per ``every`` rows.
 
     A velocity older than 512 steps has decayed below double precision (0.9^512 < 1e-23), so each
@@ -216,7 +216,7 @@ def yaw_envelope(df: DataFrame, keys, index: str, yaw="gz", n=4) -> DataFrame:
 
 
 def local_peak_turns(df: DataFrame, keys, t="t_us", tie="event_id", yaw="gz", smooth_n=4, sep_n=16, side_n=2, k=3.0,
-                     chunk_us=HOUR_US) -> DataFrame:
+                     chunk_us=CHUNK_US) -> DataFrame:
     """Signed turns: envelope peaks over median + k robust deviations, at least ``sep_n`` samples apart."""
     keys = list(keys)
     seq = Seq.by_time(keys, t, [tie], chunk_us)
@@ -314,7 +314,7 @@ def circle_fit(df: DataFrame, keys, x="mx", y="my") -> DataFrame:
 
 
 def mag_gap_recovery(imu: DataFrame, anchors: DataFrame, keys, t="t_us", tie="event_id", gap_us=800_000, step_deg=70.0,
-                     max_gyro_deg=40.0, chunk_us=HOUR_US) -> DataFrame:
+                     max_gyro_deg=40.0, chunk_us=CHUNK_US) -> DataFrame:
     """Turns hidden in data gaps: the calibrated magnetic heading steps while the gyro saw little."""
     keys = list(keys)
     seq = Seq.by_time(keys, t, [tie], chunk_us)
@@ -326,7 +326,7 @@ def mag_gap_recovery(imu: DataFrame, anchors: DataFrame, keys, t="t_us", tie="ev
     spots = gaps.withColumn("_p2", F.explode(F.array(2 * F.col("ta"), 2 * F.col("tb"), mid2))).withColumns({
         "_s": F.col("_p2") - 2 * near + 1, "_e": F.col("_p2") + 2 * near - 1})
     a2 = anchors.select(*keys, (2 * F.col("t_us")).alias("a0"), (2 * F.col("t_us")).alias("a1"))
-    caught = touching(spots, a2, keys, ("_s", "_e"), ("a0", "a1"), "gap_id", 60_000_000)
+    caught = touching(spots, a2, keys, ("_s", "_e"), ("a0", "a1"), "gap_id", 5_000_000)
     open_ = gaps.join(caught, [*keys, "gap_id"], "left_anti")
 
     centre = circle_fit(imu, keys)
@@ -358,7 +358,7 @@ def mag_gap_recovery(imu: DataFrame, anchors: DataFrame, keys, t="t_us", tie="ev
 
 # --- wheel spacing ----------------------------------------------------------------------------
 
-def loo_wheel_error(wheels: DataFrame, keys, t="t_us", period_us=450_000, chunk_us=HOUR_US) -> DataFrame:
+def loo_wheel_error(wheels: DataFrame, keys, t="t_us", period_us=450_000, chunk_us=CHUNK_US) -> DataFrame:
     """Error (cm) of predicting each inner wheel of a single-spaced run from its neighbours' speeds.
 
     The prediction integrates speed between the wheel before and the held-out one; the speed there

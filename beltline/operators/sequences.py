@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..kernels.ordered import Lag, Lead, RowNo, RunMax, Seq, islands, ordered, row_frame
 from ..kernels.ranges import overlapping, points_in_intervals, touching
 
-HOUR_US = 3_600_000_000
+CHUNK_US = 60_000_000     # a minute of one key per chunk
 
 
-def numbered(df, keys, t, ties=(), chunk_us=HOUR_US, out="rn") -> DataFrame:
+def numbered(df, keys, t, ties=(), chunk_us=CHUNK_US, out="rn") -> DataFrame:
     """Dense 1-based position within each key."""
     return ordered(df, Seq.by_time(keys, t, ties, chunk_us), RowNo(out)).drop("_chunk")
 
@@ -43,7 +43,7 @@ def trend_slope(df, keys, index, value, n=60, eps=1e-3) -> DataFrame:
     ).drop("_slope", "_n")
 
 
-def gap_cluster_events(flagged: DataFrame, keys, t, tie, score, gap, chunk_us=HOUR_US) -> DataFrame:
+def gap_cluster_events(flagged: DataFrame, keys, t, tie, score, gap, chunk_us=CHUNK_US) -> DataFrame:
     """Events of flagged rows at most ``gap`` apart, with the time and height of their peak."""
     seq = Seq.by_time(keys, t, [tie], chunk_us)
     runs = islands(flagged, seq, [t], f"cur.{t} - prev.{t} > {gap}", "event_no")
@@ -52,7 +52,7 @@ def gap_cluster_events(flagged: DataFrame, keys, t, tie, score, gap, chunk_us=HO
         F.max(score).alias("peak_score"), F.min_by(t, F.struct(-F.col(score), t, tie)).alias("peak_us"))
 
 
-def runs_min_k(df: DataFrame, keys, t, tie, flag, k, chunk_us=HOUR_US) -> DataFrame:
+def runs_min_k(df: DataFrame, keys, t, tie, flag, k, chunk_us=CHUNK_US) -> DataFrame:
     """Maximal runs of at least ``k`` consecutive flagged rows."""
     seq = Seq.by_time(keys, t, [tie], chunk_us)
     runs = islands(df.withColumn("_f", F.expr(flag)), seq, ["_f"], "cur._f <> prev._f", "run_no").filter("_f")
@@ -61,7 +61,7 @@ def runs_min_k(df: DataFrame, keys, t, tie, flag, k, chunk_us=HOUR_US) -> DataFr
         F.col("n") >= k).drop("run_no")
 
 
-def runs_bridge_gap1(df: DataFrame, keys, t, tie, flag, min_run, hop, chunk_us=HOUR_US, index=None) -> DataFrame:
+def runs_bridge_gap1(df: DataFrame, keys, t, tie, flag, min_run, hop, chunk_us=CHUNK_US, index=None) -> DataFrame:
     """Flagged runs bridging single unflagged rows; kept by flagged count and padded by ``hop``."""
     rows = df if index else numbered(df, keys, t, [tie], chunk_us, "_i")
     i = index or "_i"
@@ -73,7 +73,7 @@ def runs_bridge_gap1(df: DataFrame, keys, t, tie, flag, min_run, hop, chunk_us=H
 
 
 def run_gate_wheels(frames: DataFrame, keys, t="host_us", tie="frame_no", d0=0.4, net_thr=0.3,
-                    streaming=True, chunk_us=HOUR_US) -> DataFrame:
+                    streaming=True, chunk_us=CHUNK_US) -> DataFrame:
     """Wheels: runs of dark frames with enough motion, at their darkest frame.
 
     Streaming form: a run counts once a bright frame closed it.  Offline form: each accepted run is
@@ -111,7 +111,7 @@ def merge_spans(spans: DataFrame, keys, a, z, block=100_000) -> DataFrame:
     return runs.groupBy(*keys, "_g").agg(F.min(a).alias(a), F.max(z).alias(z)).drop("_g")
 
 
-def split_bursts(df: DataFrame, keys, order, dev_clock, min_len=8, block_us=HOUR_US) -> DataFrame:
+def split_bursts(df: DataFrame, keys, order, dev_clock, min_len=8, block_us=CHUNK_US) -> DataFrame:
     """Rows tagged with their contiguous capture burst (the device clock rises); short ones dropped."""
     t, *ties = order
     seq = Seq.by_time(keys, t, ties, block_us)
@@ -132,7 +132,7 @@ def sliding_sample_windows(df: DataFrame, keys, index, n: int, step: int) -> Dat
     return df.withColumn("win", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
 
 
-def window_label_overlap(windows, labels, keys, win_id, t0, t1, min_overlap=0.5, bucket=60_000_000) -> DataFrame:
+def window_label_overlap(windows, labels, keys, win_id, t0, t1, min_overlap=0.5, bucket=5_000_000) -> DataFrame:
     """Majority-overlap label; null unless it covers ``min_overlap`` of the window; the earlier label wins ties."""
     pairs = overlapping(windows, labels, keys, (t0, t1), ("start_us", "end_us"), bucket)
     cover = F.least(t1, "end_us") - F.greatest(t0, "start_us")
@@ -143,7 +143,7 @@ def window_label_overlap(windows, labels, keys, win_id, t0, t1, min_overlap=0.5,
     return done.withColumn("label", F.when(enough, F.col("label"))).drop("_ov")
 
 
-def label_center(windows, labels, keys, win_id, center, names=None, bucket=60_000_000, out="y") -> DataFrame:
+def label_center(windows, labels, keys, win_id, center, names=None, bucket=5_000_000, out="y") -> DataFrame:
     """1 where a (named) half-open label covers the centre, else 0."""
     wanted = labels if names is None else labels.filter(F.col("label").isin(*names))
     hits = points_in_intervals(windows.select(*keys, win_id, center), wanted.select(*keys, "start_us", "end_us"),
@@ -152,7 +152,7 @@ def label_center(windows, labels, keys, win_id, center, names=None, bucket=60_00
         out, F.coalesce("_h", F.lit(0))).drop("_h")
 
 
-def multi_class_label(windows, labels, keys, win_id, center, classes: dict[str, int], bucket=60_000_000) -> DataFrame:
+def multi_class_label(windows, labels, keys, win_id, center, classes: dict[str, int], bucket=5_000_000) -> DataFrame:
     """Class of the last label (in start order) that covers the centre, its id, or -1."""
     wanted = labels.filter(F.col("label").isin(*classes))
     hit = points_in_intervals(windows.select(*keys, win_id, center), wanted, keys, center, "start_us", "end_us", bucket)
@@ -164,7 +164,7 @@ def multi_class_label(windows, labels, keys, win_id, center, classes: dict[str,
         "y": F.when(F.col("_l").isNull(), -1).otherwise(value), "segment_id": F.coalesce("_l.label_id", F.lit(-1))}).drop("_l")
 
 
-def event_interval_match(detections, truths, keys, det_id, truth_id, tol, bucket=60_000_000) -> DataFrame:
+def event_interval_match(detections, truths, keys, det_id, truth_id, tol, bucket=5_000_000) -> DataFrame:
     """Existence match both ways: hits, false alarms (anti) and misses (anti)."""
     padded = truths.withColumns({"_s": F.col("start_us") - tol, "_e": F.col("end_us") + tol})
     hit_d = touching(detections, padded, keys, ("start_us", "end_us"), ("_s", "_e"), det_id, bucket)
@@ -215,27 +215,27 @@ def dedupe_anchors(gyro: DataFrame, recovered: DataFrame, keys, within_us=4_000_
     """Gyro anchors plus the recovered ones no gyro anchor lies closer than ``within_us`` to."""
     spans = gyro.select(*keys, F.col("t_us").alias("g0"), F.col("t_us").alias("g1"))
     near = recovered.withColumns({"_s": F.col("t_us") - within_us + 1, "_e": F.col("t_us") + within_us - 1})
-    dup = touching(near, spans, keys, ("_s", "_e"), ("g0", "g1"), "t_us", 60_000_000)
+    dup = touching(near, spans, keys, ("_s", "_e"), ("g0", "g1"), "t_us", 5_000_000)
     fresh = recovered.join(dup, [*keys, "t_us"], "left_anti")
     return gyro.select(*keys, "t_us", F.lit("gyro").alias("source")).unionByName(
         fresh.select(*keys, "t_us", F.lit("mag").alias("source")))
 
 
-def lap_assign(centers, laps, keys, center="center_us", bucket=600_000_000) -> DataFrame:
+def lap_assign(centers, laps, keys, center="center_us", bucket=10_000_000) -> DataFrame:
     """Centres with the lap ``[lap_start, lap_end)`` they fall in and their phase within it."""
     hit = points_in_intervals(centers, laps, keys, center, "lap_start", "lap_end", bucket)
     span = F.col("lap_end") - F.col("lap_start")
     return hit.withColumn("phase", F.when(span > 0, (F.col(center) - F.col("lap_start")) / span).otherwise(0.0))
 
 
-def lap_segmentation(landmarks: DataFrame, keys, t="t_us", chunk_us=24 * HOUR_US) -> DataFrame:
+def lap_segmentation(landmarks: DataFrame, keys, t="t_us", chunk_us=24 * CHUNK_US) -> DataFrame:
     """Laps between consecutive landmarks; the open head and tail are no laps."""
     seq = Seq.by_time(keys, t, [], chunk_us)
     return ordered(landmarks, seq, Lead("lap_end", t)).filter("lap_end IS NOT NULL").select(
         *keys, F.col(t).alias("lap_start"), "lap_end")
 
 
-def nominal_rate(df: DataFrame, keys, clock, order=None, positive_only=False, chunk_us=HOUR_US) -> DataFrame:
+def nominal_rate(df: DataFrame, keys, clock, order=None, positive_only=False, chunk_us=CHUNK_US) -> DataFrame:
     """Samples per second from the median step of a clock in µs, stepping in ``order``."""
     from ..kernels.quantiles import exact_percentiles
 

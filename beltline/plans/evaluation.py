@@ -362,7 +362,7 @@ def fault_inspection_index(spark, sf):
 
     ev = strongest_tonal_topk(spark, sf).withColumnRenamed("win_id", "event_id")
     fr = B.frames(spark, sf).select("session", F.col("host_us").alias("t_us"), F.col("frame_no").alias("event_id"), "frame_no", "host_us", "name")
-    m = nearest(ev, fr, K, "t_us", "event_id", ["frame_no", "host_us", "name"], "host_us")
+    m = nearest(ev, fr, K, "t_us", "event_id", ["frame_no", "host_us", "name"], "host_us", chunk_us=60_000_000)
     n = Q.numbered(m, K, "t_us", ["event_id"], out="i")
     return n.select("session", "i", "t_us", "type", "score", "match.frame_no", "match.name", ((F.col("match.host_us") - F.col("t_us")) / 1e6).alias("frame_dt"),
                     (F.col("t_us") - 1_500_000).alias("clip_start_us"), (F.col("t_us") + 1_500_000).alias("clip_end_us"))

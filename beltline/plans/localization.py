@@ -131,7 +131,7 @@ def false_alarm_position_test(spark, sf):
     faults = B.intervals(spark, sf).filter("label = 'fault'").select(
         "session", (F.col("start_us") - 1_500_000).alias("start_us"), (F.col("end_us") + 1_500_001).alias("end_us"))
     y = Q.label_center(det, faults, K, "win_id", "t_us")
-    at = asof_last(y.withColumnRenamed("win_id", "event_id"), _legpin(spark, sf), K, "t_us", "event_id", ["cum_cm"])
+    at = asof_last(y.withColumnRenamed("win_id", "event_id"), _legpin(spark, sf), K, "t_us", "event_id", ["cum_cm"], chunk_us=60_000_000)
     return at.filter("fix IS NOT NULL").groupBy(TR.cum_to_xy(F.col("fix.cum_cm"))["piece"].alias("segment")).agg(
         F.count(F.lit(1)).alias("detections"), F.count_if(F.col("y") == 0).alias("false_alarms"))
 

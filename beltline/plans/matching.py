@@ -88,7 +88,7 @@ _NEAR = """b AS (SELECT e.event_id, e.t_us, e.session, f.host_us AS bt, f.frame_
 def nearest_frame(spark, sf):
     ev = B.imu(spark, sf).filter("event_type = 'error'").select("session", "event_id", "t_us")
     fr = B.frames(spark, sf).select("session", F.col("host_us").alias("t_us"), F.col("frame_no").alias("event_id"), "frame_no", "host_us")
-    m = A.nearest(ev, fr, ["session"], "t_us", "event_id", ["frame_no", "host_us"], "host_us")
+    m = A.nearest(ev, fr, ["session"], "t_us", "event_id", ["frame_no", "host_us"], "host_us", chunk_us=60_000_000)
     return m.select("event_id", "match.frame_no", F.round((F.col("match.host_us") - F.col("t_us")) / 1e6, 6).alias("dt_s"))
 
 
@@ -112,7 +112,7 @@ def interp_position_onto_imu(spark, sf):
     track = Q.numbered(views, ["session"], "t_us", ["event_id"]).select(
         "session", "t_us", "event_id", (F.col("rn") * 15.0).alias("cum_cm"), (F.col("k") % 2).alias("moving"))
     s = e.filter("event_type <> 'view'").select("session", "event_id", "t_us")
-    out = A.interpolate_track(s, track, ["session"], "t_us", "event_id", "cum_cm", "moving")
+    out = A.interpolate_track(s, track, ["session"], "t_us", "event_id", "cum_cm", "moving", chunk_us=60_000_000)
     xy = TR.cum_to_xy(F.col("cum_cm"))
     return out.withColumn("p", xy).select(
         "event_id", F.round("cum_cm", 6).alias("cum_cm"), F.round(F.col("cum_cm") / 1240, 6).alias("lap"), "moving",
@@ -186,7 +186,7 @@ def event_aligned_slices(spark, sf):
     mid = F.call_function("div", F.col("start_us") + F.col("end_us"), F.lit(2).cast("bigint"))
     ev = B.intervals(spark, sf).filter("label = 'fault'").select(
         "session", "label_id", (mid - 8_000_000).alias("a"), (mid + 8_000_000).alias("z"), ((F.col("start_us") + F.col("end_us")) / 2).alias("c"))
-    s = points_in_intervals(B.imu(spark, sf).select("session", "event_id", "t_us"), ev, ["session"], "t_us", "a", "z", 16_000_000, closed=True)
+    s = points_in_intervals(B.imu(spark, sf).select("session", "event_id", "t_us"), ev, ["session"], "t_us", "a", "z", 8_000_000, closed=True)
     return s.select("label_id", "event_id", F.round((F.col("t_us") - F.col("c")) / 1e6, 6).alias("rel_s"))
 
 
