@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..kernels.ordered import Lag, Lead, RowNo, RunMax, Seq, islands, ordered, row_frame
 from ..kernels.ranges import overlapping, points_in_intervals, touching
+from ..session import cut_lineage
 
 CHUNK_US = 60_000_000     # a minute of one key per chunk
 
@@ -182,7 +183,9 @@ def greedy_interval_match(runs: DataFrame, truths: DataFrame, keys, pad=3, block
     """Detected, false-positive and missed counts of an in-order one-to-one match.
 
     Runs and truths of one activity stretch (padded spans that chain together) form a group; no run
-    can take a truth from another stretch, so each stretch is matched by itself.
+    can take a truth from another stretch, so each stretch is matched by itself.  With a single run
+    or a single truth the outcome follows from the counts, as neighbours in a chain always touch;
+    only stretches with several of both are replayed in order.
     """
     import pandas as pd
 
@@ -192,22 +195,30 @@ def greedy_interval_match(runs: DataFrame, truths: DataFrame, keys, pad=3, block
     seq = Seq(tuple(keys), ("a", "z", "is_run"), f"(a - pmod(a, {block}L)) div {block}L")
     rows = ordered(rows, seq, RunMax("_top", "z"))
     rows = islands(rows, seq, ["a", "_top"], f"cur.a - prev._top >= {2 * pad}", "stretch")
+    # The table of spans is small next to the frames and read twice below.
+    rows = cut_lineage(rows.select(*keys, "stretch", "is_run", "a", "z"))
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf[pdf.is_run == 1].sort_values(["a", "z"])
-        g = pdf[pdf.is_run == 0].sort_values(["a", "z"])
-        free = list(zip(g.a, g.z))
-        fp = 0
-        for a, z in zip(r.a, r.z):
-            i = next((i for i, (ga, gz) in enumerate(free) if min(z, gz) - max(a, ga) + 2 * pad > 0), None)
-            if i is None:
-                fp += 1
-            else:
-                free.pop(i)
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "detected": len(r), "fp": fp, "fn": len(free)}])
+        fp = missed = detected = 0
+        for _, part in pdf.sort_values(["stretch", "a", "z"]).groupby("stretch", sort=False):
+            free = list(part.loc[part.is_run == 0, ["a", "z"]].itertuples(index=False, name=None))
+            for a, z in part.loc[part.is_run == 1, ["a", "z"]].itertuples(index=False, name=None):
+                detected += 1
+                i = next((i for i, (ga, gz) in enumerate(free) if min(z, gz) - max(a, ga) + 2 * pad > 0), None)
+                if i is None:
+                    fp += 1
+                else:
+                    free.pop(i)
+            missed += len(free)
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "detected": detected, "fp": fp, "fn": missed}])
 
     schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", detected bigint, fp bigint, fn bigint"
-    per = rows.groupBy(*keys, "stretch").applyInPandas(match, schema)
+    size = rows.groupBy(*keys, "stretch").agg(F.sum("is_run").alias("r"), F.sum(1 - F.col("is_run")).alias("g"))
+    many = (F.col("r") >= 2) & (F.col("g") >= 2)
+    matched = F.least("r", "g", F.lit(1))
+    easy = size.filter(~many).select(*keys, F.col("r").alias("detected"), (F.col("r") - matched).alias("fp"), (F.col("g") - matched).alias("fn"))
+    hard = rows.join(size.filter(many).select(*keys, "stretch"), [*keys, "stretch"])
+    per = hard.groupBy(*keys, F.expr("stretch div 200")).applyInPandas(match, schema).unionByName(easy)
     return per.groupBy(*keys).agg(F.sum("detected").alias("detected"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
 
 

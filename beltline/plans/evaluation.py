@@ -298,7 +298,7 @@ def threshold_grid_search(spark, sf):
     runs = Q.islands(g.withColumn("_d", F.col("dark") > F.col("d0")), Q.Seq(tuple(keys), ("no",), "no div 100000"), ["_d"], "cur._d <> prev._d", "_r").filter("_d")
     runs = runs.groupBy(*keys, "_r").agg(F.min("no").alias("first_no"), F.max("no").alias("last_no"), F.max("net").alias("m")).filter(F.col("m") >= F.col("net_thr"))
     runs = runs.select(*keys, (F.col("first_no") - 1).alias("first_no"), (F.col("last_no") + 1).alias("last_no"))
-    runs = Q.merge_spans(runs, keys, "first_no", "last_no")
+    runs = Q.cut_lineage(Q.merge_spans(Q.cut_lineage(runs), keys, "first_no", "last_no"))
     truth = Q.group_marks(f.filter("dark > 0.45 AND net > 0.25"), K, "no", 2)
     truth = truth.withColumn("g", F.explode(grid)).select("session", "first_no", "last_no", "g.d0", "g.net_thr")
     per = Q.greedy_interval_match(runs, truth, keys).groupBy("d0", "net_thr").agg(F.sum("detected").alias("detected"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
