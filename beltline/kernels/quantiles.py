@@ -47,9 +47,10 @@ def exact_percentiles(df: DataFrame, keys, value: str, probs: dict[str, float])
         for i, p in enumerate(probs.values())
     ])
     sketch = sketch.select(*keys, brackets.alias("_br"))
+    # Without keys the sketch is one row, read as a scalar subquery instead of a join.
+    tagged = rows.withColumn("_br", sketch.select("_br").scalar()) if bare else rows.join(sketch, keys)
     counted = (
-        rows.join(sketch, keys)
-        .select(*keys, "_v", F.explode("_br").alias("_q"))
+        tagged.select(*keys, "_v", F.explode("_br").alias("_q"))
         .filter("_v <= _q.hi")
         .select(*keys, "_q.q", "_q.h", F.when(F.col("_v") >= F.col("_q.lo"), F.col("_v")).alias("_v"))
         .groupBy(*keys, "q", "h", "_v").agg(F.count(F.lit(1)).alias("_n"))
