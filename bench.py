@@ -38,7 +38,7 @@ def main() -> None:
     times = {}
     for name in names:
         first = run(name)
-        times[name] = round(min(first, run(name)) if first < 20 else first, 3)
+        times[name] = round(min(first, run(name)) if first < 2 else first, 3)
     print(json.dumps({"metric": "total wall time of headline queries", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": sf}))
 
