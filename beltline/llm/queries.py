@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from . import chat, decontamination
+from .chat import op7_chat
+from .decontamination import op3_decontamination
+from .fingerprints import op1_fingerprints
 from .language import op6_language_id
 from .secret_scan import op8_secret_ownership
 from .toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op6_language_id, op8_secret_ownership)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_decontamination, op6_language_id, op7_chat, op8_secret_ownership)}
+ORACLES = {"op3_decontamination": decontamination.ORACLE, "op7_chat": chat.ORACLE}
