@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination
+from . import chat, decontamination, line_dedup
 from .chat import op7_chat
 from .decontamination import op3_decontamination
 from .fingerprints import op1_fingerprints
 from .language import op6_language_id
+from .line_dedup import op5_line_dedup
+from .minhash import op9_near_duplicates
+from .mixing import op10_mixing
 from .secret_scan import op8_secret_ownership
+from .suffix_dedup import op4_suffix_dedup
 from .toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_decontamination, op6_language_id, op7_chat, op8_secret_ownership)}
-ORACLES = {"op3_decontamination": decontamination.ORACLE, "op7_chat": chat.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_decontamination, op4_suffix_dedup, op5_line_dedup, op6_language_id, op7_chat, op8_secret_ownership,
+                                    op9_near_duplicates, op10_mixing)}
+ORACLES = {"op3_decontamination": decontamination.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op7_chat": chat.ORACLE}

@@ -5,7 +5,13 @@ from __future__ import annotations
 from beltline.llm import stages
 from beltline.llm.frames import stored, table
 
-STAGES = [("language", stages.language)]
+STAGES = [
+    ("language", stages.language),
+    ("lines", stages.lines),
+    ("near_duplicates", stages.near_duplicates),
+    ("uncontaminated", stages.uncontaminated),
+    ("mixture", stages.mixture),
+]
 ORACLE_SQL = None  # trained models and sketches have no SQL; tests/llm holds each stage against brute force
 
 
