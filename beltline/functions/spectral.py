@@ -118,6 +118,12 @@ def butter_sos(order: int, cut, kind: str) -> np.ndarray:
     return sos
 
 
+def settling(sos: np.ndarray, tolerance: float) -> int:
+    """Samples after which the response of the slowest pole is below ``tolerance``."""
+    slowest = max(np.abs(np.roots(section[3:])).max() for section in sos)
+    return int(np.ceil(np.log(tolerance) / np.log(slowest))) if 0 < slowest < 1 else 1
+
+
 def _pass(sos, x):
     """One direction over rows, starting from the steady state of each row's first sample."""
     y = x

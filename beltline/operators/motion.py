@@ -166,8 +166,8 @@ def cum_distance_legpin(events: DataFrame, keys, t="t_us", tie="event_id", start
 def dead_reckoning(df: DataFrame, keys, t="t_us", tie="event_id", every=50, leak=0.9, chunk_us=CHUNK_US, block=20_000) -> DataFrame:
     """Leaky velocity from acceleration counts, heading from the magnetometer, one fix per ``every`` rows.
 
-    A velocity older than 512 steps has decayed below double precision (0.9^512 < 1e-23), so each
-    block of rows warms up on the 512 rows before it; positions are then a plain running sum.
+    Each block of rows warms up on as many rows before it as a velocity takes to decay below double
+    precision; positions are then a plain running sum.
     """
     seq = Seq.by_time(keys, t, [tie], chunk_us)
     rows = ordered(df, seq, RowNo("_n"), Lag("_pt", t))
@@ -175,7 +175,8 @@ def dead_reckoning(df: DataFrame, keys, t="t_us", tie="event_id", every=50, leak
     rows = rows.withColumn("_dt", F.when((dt > 0) & (dt <= 1.0), dt))
     rows = ordered(rows, seq, Fill("_hd", F.when(F.col("_dt").isNotNull(), F.atan2("my", "mx"))), RowNo("_m", F.col("_dt").isNotNull().cast("int")))
     live = rows.filter("_dt IS NOT NULL")
-    halo = 512
+    halo = int(np.ceil(np.log(1e-17) / np.log(leak))) if 0 < leak < 1 else 1
+    block = max(block, 8 * halo)
     i = F.col("_m") - 1
     live = live.withColumn("_own", slot(i, block)).withColumn("_b", F.explode(F.sequence(slot(i, block), slot(i + halo, block))))
 

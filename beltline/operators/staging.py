@@ -24,41 +24,20 @@ def stage_table(dwell: int, release: int) -> np.ndarray:
     Inputs: bit 0 = vibration high, bit 1 = trend rising, bits 2-3 = acoustic absent / low / high.
     Run lengths only matter up to their thresholds, so they saturate there.
     """
-    n_run = dwell + release + 1           # -release .. dwell: negative while below, positive while above
-
-    def pack(stage, run):
-        return stage * n_run + run + release
-
-    table = np.zeros((12, 4 * n_run), dtype=np.int64)
-    for symbol in range(12):
-        high, rising, acoustic = symbol & 1, (symbol >> 1) & 1, symbol >> 2
-        loud = acoustic == 2
-        for stage in range(4):
-            for run in range(-release, dwell + 1):
-                if high or loud:
-                    now = min(max(run, 0) + 1, dwell)
-                else:
-                    now = max(min(run, 0) - 1, -release)
-                above = max(now, 0)
-                if acoustic:              # both senses present
-                    both = high and loud
-                    target = (ADVANCED if rising else ESTABLISHED) if both else WATCH if (high or loud) else HEALTHY
-                elif not high:
-                    target = HEALTHY
-                elif above < dwell:
-                    target = WATCH
-                else:
-                    target = ADVANCED if rising and stage >= ESTABLISHED else ESTABLISHED
-                nxt = stage
-                if target > stage:
-                    if target == WATCH or above >= dwell:
-                        nxt = stage + 1 if stage >= WATCH else target
-                    else:
-                        nxt = max(stage, WATCH)
-                elif target < stage and -now >= release:
-                    nxt = target
-                table[symbol, pack(stage, run)] = pack(nxt, now)
-    return table
+    symbol, stage, run = np.meshgrid(np.arange(12), np.arange(4), np.arange(-release, dwell + 1), indexing="ij")
+    rising, acoustic = (symbol >> 1) & 1, symbol >> 2
+    alarms = (symbol & 1) + (acoustic == 2)
+    # the run counts up while any sense alarms and down while none does
+    streak = np.where(alarms > 0, np.clip(run, 0, dwell - 1) + 1, np.clip(run, 1 - release, 0) - 1)
+    ripe, calm = streak >= dwell, streak <= -release
+    # two senses confirm each other; one alone has to last, and must be confirmed before it can advance
+    proven = np.where(acoustic > 0, alarms == 2, (alarms == 1) & ripe)
+    advancing = proven & (rising == 1) & ((acoustic > 0) | (stage >= ESTABLISHED))
+    target = np.select([advancing, proven, alarms > 0], [ADVANCED, ESTABLISHED, WATCH], HEALTHY)
+    climb = np.where(stage >= WATCH, stage + 1, target)
+    moves = [((target > stage) & (ripe | (target == WATCH)), climb), (target > stage, np.maximum(stage, WATCH)), ((target < stage) & calm, target)]
+    after = np.select([when for when, _ in moves], [to for _, to in moves], stage)
+    return (after * run.shape[2] + streak + release).reshape(12, -1)
 
 
 def stage_machine(df: DataFrame, keys, t, tie, index, v, a: str | None = None, v_thr=0.95, a_thr=0.95, dwell=6, release=6,

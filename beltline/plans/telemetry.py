@@ -50,7 +50,7 @@ def parse_label(spark, sf):
 def parse_deploy(spark, sf):
     e = _json_events(spark, sf)
     v = F.concat(F.lit('"model_version":"m-'), F.col("k").cast("string"), F.lit('",'))
-    raw = F.when(F.col("event_type").isin("error", "view"), F.concat(F.lit("{"), v, F.substring("value_json", 2, 10000))).otherwise(F.col("value_json"))
+    raw = F.when(F.col("event_type").isin("error", "view"), F.concat(F.lit("{"), v, F.substring("value_json", F.lit(2), F.length("value_json")))).otherwise(F.col("value_json"))
     ok, _ = M.parse_deploy(e.select("event_id", raw.alias("value")), keep=("event_id",))
     return ok.select("event_id", "ts_us", "model_version")
 

@@ -26,7 +26,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: ``spark.checkpoint.dir`` if the cluster names one.
 
-    Where it is unset (tests, a laptop) a temporary folder is made once per session.
+    Where it is unset, a session on one machine (tests, a laptop) makes a temporary folder once; a cluster must name
+    one, as its machines do not see each other's folders.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
@@ -34,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named is None:
         named = spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="beltline-")
         spark.sparkContext.setCheckpointDir(named)
     return named

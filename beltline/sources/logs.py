@@ -163,14 +163,14 @@ def merge_logs(records: DataFrame, file_order: str = "file", parts: int | None =
 
 
 def audio_chunks(records: DataFrame) -> DataFrame:
-    """Header fields and PCM bytes of audio records."""
+    """Header fields and PCM bytes of audio records; header-only payloads carry no sound and are dropped."""
     n = F.octet_length("payload")
-    rows = records.filter((F.col("rec_type") == AUDIO) & (n >= 8)).withColumn("_h", unpack(AUDIO_DT)(F.col("payload")))
+    rows = records.filter((F.col("rec_type") == AUDIO) & (n > 8)).withColumn("_h", unpack(AUDIO_DT)(F.col("payload")))
     return rows.select("file", "ord", "t_host_us", "_h.*", F.substring("payload", F.lit(9), n).alias("pcm"))
 
 
 def audio_chunk_stitch(chunks: DataFrame, bucket: int = 256) -> DataFrame:
-    """PCM in sequence order as bounded pieces of ``bucket`` chunks, with the number of sequence gaps in each."""
+    """PCM in file order as bounded pieces of ``bucket`` chunks, with the number of sequence gaps in each."""
     seq = Seq(("file",), ("ord",), "ord div 100000")
     rows = ordered(chunks, seq, Lag("_p", "seq")).withColumns({
         "gap": (F.col("_p").isNotNull() & (F.col("seq") != F.col("_p") + 1)).cast("int"), "piece": F.expr(f"ord div {bucket}")})

@@ -26,11 +26,17 @@ def subject_filter(df: DataFrame, pattern: str, subject: str = "subject") -> Dat
     return df.filter(F.rlike(F.col(subject), subject_regex(F.lit(pattern))))
 
 
-def stream_files(spark: SparkSession, folder: str, glob: str, files_per_batch: int = 100) -> DataFrame:
-    """A stream over parquet files of one layout; the size of a micro-batch is bounded by its files."""
+def stream_files(spark: SparkSession, folder: str, name: str, files_per_batch: int = 100) -> DataFrame:
+    """A stream over the table ``folder/name``, one file or a folder of part files.
+
+    The size of a micro-batch is bounded by its files.
+    """
     spark = stateful_session(spark)
-    schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    path = f"{folder}/{name}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    single = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    return source.option("pathGlobFilter", name).parquet(folder) if single else source.parquet(path)
 
 
 def drain(spark: SparkSession, name: str, stream: DataFrame, mode: str = "append") -> DataFrame:
