@@ -25,8 +25,8 @@ from .text import batches, mix, shingles
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
-#: A pair of similarity 0.8 agrees in less than this share of 80 registers with probability 0.034, one of 0.85 with 0.0005.
-HINT = 0.72
+#: A pair of similarity 0.8 agrees in less than this share of 80 registers with probability 0.16, one of 0.85 with 0.01.
+HINT = 0.76
 
 
 def counted(text: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,11 +162,13 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = W
     mixed = split.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     to_low = known.select(F.col("a").alias("low"), F.col("b").alias("node"), "sim")
     rest = stored(split.join(mixed, "key", "left_semi").where("node <> low").join(to_low, ["low", "node"], "left")
-                  .join(nodes.select("node", "marks"), "node"), "rest")
+                  .join(nodes.select("node", "bands", "marks"), "node"), "rest")
     one, two = rest.alias("o"), rest.alias("t")
+    # each pair once, in the first band that it shares
     on = (F.col("o.key") == F.col("t.key")) & (F.col("o.node") < F.col("t.node")) & (F.col("o.root") != F.col("t.root")) \
         & (F.least("o.n", "t.n") >= similarity * F.greatest("o.n", "t.n")) \
         & ((F.abs(F.col("o.sim") - F.col("t.sim")) <= 1 - similarity) | F.col("o.sim").isNull() | F.col("t.sim").isNull()) \
+        & (F.array_intersect("o.bands", "t.bands")[0] == F.col("o.key")) \
         & (F.size(F.array_intersect("o.marks", "t.marks")) >= hint * bands * rows)
     last = one.join(two, on).select(F.col("o.node").alias("a"), F.col("t.node").alias("b")).distinct() \
         .join(known.select("a", "b"), ["a", "b"], "left_anti").join(known.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
