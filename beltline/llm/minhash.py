@@ -7,8 +7,9 @@ points once its next arrival is later than every register of its text, so long t
 
 Registers are banded; texts that share a band are candidates, and the Jaccard similarity of their shingle sets decides.
 Candidates of a band are compared with the band's pivot only, for a few pivots. Then texts of one band that are still in
-different classes are compared with each other, unless their sizes or their distances to the pivot rule a link out (the
-Jaccard distance is a metric) or fewer than ``hint`` of their registers agree. Equal texts are one node throughout.
+different classes are compared with each other, unless a bound rules a link out: their sizes, their distances to the pivot
+(the Jaccard distance is a metric), or parity sketches, which never tell more different shingles than there are. Equal
+texts are one node throughout.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from .text import batches, mix, shingles
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
-#: A pair of similarity 0.8 agrees in less than this share of 80 registers with probability 0.16, one of 0.85 with 0.01.
-HINT = 0.76
+#: 64-bit parts of a parity sketch.
+PARITY = 16
 
 
 def counted(text: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,47 +68,57 @@ def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, digest (of the text), n (distinct shingles), bands and marks (one number for each register and what it
-    holds) of (doc_id, text)."""
+    """doc_id, digest (of the text), n (distinct shingles) and bands of (doc_id, text)."""
 
     def run(parts):
         for part in parts:
             raw = [x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()]
-            n, keys, held, m = np.zeros(len(raw), np.int32), [], [], bands * rows
+            n, keys = np.zeros(len(raw), np.int32), []
             for a, b in batches([len(x) for x in raw]):
                 t, v, c = counted(*shingles(raw[a:b], width))
                 n[a:b] = np.bincount(t, minlength=b - a)
-                registers = probminhash(t, v, c.astype(float), b - a, m)
-                keys.append(band_keys(registers, bands, rows))
-                held.append((mix(registers + np.arange(m, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            marks = np.concatenate(held) if held else np.zeros((0, m), np.int32)
-            marks = pa.FixedSizeListArray.from_arrays(pa.array(marks.reshape(-1)), m).cast(pa.list_(pa.int32()))
+                keys.append(band_keys(probminhash(t, v, c.astype(float), b - a, bands * rows), bands, rows))
             flat = np.concatenate(keys) if keys else np.zeros((0, bands), np.int64)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(flat.reshape(-1)), bands).cast(pa.list_(pa.int64()))
             digest = pa.array([hashlib.md5(x).digest() for x in raw], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), digest, pa.array(n), lists, marks], ["doc_id", "digest", "n", "bands", "marks"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), digest, pa.array(n), lists], ["doc_id", "digest", "n", "bands"])
 
     kept = docs.select("doc_id", "text")
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, digest binary, n int, bands array<bigint>, marks array<int>")
+    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, digest binary, n int, bands array<bigint>")
+
+
+def parities(text: np.ndarray, value: np.ndarray, n_texts: int) -> np.ndarray:
+    """n_texts x PARITY: every shingle flips one of 64 * PARITY bits.
+
+    Shingles that two texts share flip the same bits, so at least as many shingles differ as bits do. With as many bits
+    as shingles the bound is nearly the count; for much longer texts it is weak, never wrong.
+    """
+    out = np.zeros(n_texts * PARITY, np.uint64)
+    bit = mix(value) % np.uint64(64 * PARITY)
+    np.bitwise_xor.at(out, text * PARITY + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out.reshape(n_texts, PARITY).view(np.int64)
 
 
 def shingle_sets(texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """node, set (sorted 32-bit shingle hashes) of (node, text)."""
+    """node, set (sorted 32-bit shingle hashes), parity (of the set) of (node, text)."""
 
     def run(parts):
         for part in parts:
             raw = [x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()]
-            out = []
+            out, odd = [], []
             for a, b in batches([len(x) for x in raw]):
                 t, v = shingles(raw[a:b], width)
                 t, v, _ = counted(t, v >> np.uint64(32))
                 edge = np.searchsorted(t, np.arange(b - a + 1))
                 values = v.astype(np.uint32).view(np.int32)
                 out.append(pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(values)))
+                odd.append(parities(t, v, b - a))
             lists = pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column("node"), lists], ["node", "set"])
+            flat = np.concatenate(odd) if odd else np.zeros((0, PARITY), np.int64)
+            parity = pa.FixedSizeListArray.from_arrays(pa.array(flat.reshape(-1)), PARITY).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("node"), lists, parity], ["node", "set", "parity"])
 
-    return texts.select("node", "text").mapInArrow(run, "node bigint, set array<int>")
+    return texts.select("node", "text").mapInArrow(run, "node bigint, set array<int>, parity array<bigint>")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
@@ -118,8 +129,7 @@ def compared(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     return stored(pairs.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("sim")), name)
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, pivots: int = 3,
-                 hint: float = HINT) -> DataFrame:
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, pivots: int = 3) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, digest, class_id, n_links.
 
     class_id is the smallest doc_id of the class of texts joined by links of at least ``similarity``; n_links counts the
@@ -127,7 +137,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = W
     with equal texts only. Null doc_ids are kept and name a class only if it has no other.
     """
     seen = stored(signatures(docs, width, bands, rows), "signatures")
-    nodes = stored(seen.groupBy("digest").agg(F.first("bands").alias("bands"), F.first("marks").alias("marks"), F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
+    nodes = stored(seen.groupBy("digest").agg(F.first("bands").alias("bands"), F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
                    .withColumn("node", F.monotonically_increasing_id()), "nodes")
     rows_ = nodes.where("n > 0").select("node", "n", F.explode("bands").alias("key"))
     busy = rows_.groupBy("key").agg(F.count("*").alias("many"), F.min("node").alias("low")).where("many > 1")
@@ -162,14 +172,16 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = W
     mixed = split.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     to_low = known.select(F.col("a").alias("low"), F.col("b").alias("node"), "sim")
     rest = stored(split.join(mixed, "key", "left_semi").where("node <> low").join(to_low, ["low", "node"], "left")
-                  .join(nodes.select("node", "bands", "marks"), "node"), "rest")
+                  .join(nodes.select("node", "bands"), "node").join(sets.select("node", F.size("set").alias("size"), *(F.col("parity")[k].alias(f"p{k}") for k in range(PARITY))), "node"), "rest")
     one, two = rest.alias("o"), rest.alias("t")
+    differ = sum((F.bit_count(F.col(f"o.p{k}").bitwiseXOR(F.col(f"t.p{k}"))) for k in range(PARITY)), F.lit(0))
+    both = F.col("o.size") + F.col("t.size")
     # each pair once, in the first band that it shares
     on = (F.col("o.key") == F.col("t.key")) & (F.col("o.node") < F.col("t.node")) & (F.col("o.root") != F.col("t.root")) \
         & (F.least("o.n", "t.n") >= similarity * F.greatest("o.n", "t.n")) \
         & ((F.abs(F.col("o.sim") - F.col("t.sim")) <= 1 - similarity) | F.col("o.sim").isNull() | F.col("t.sim").isNull()) \
-        & (F.array_intersect("o.bands", "t.bands")[0] == F.col("o.key")) \
-        & (F.size(F.array_intersect("o.marks", "t.marks")) >= hint * bands * rows)
+        & (both - differ >= similarity * (both + differ)) \
+        & (F.array_intersect("o.bands", "t.bands")[0] == F.col("o.key"))
     last = one.join(two, on).select(F.col("o.node").alias("a"), F.col("t.node").alias("b")).distinct() \
         .join(known.select("a", "b"), ["a", "b"], "left_anti").join(known.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     found = stored(found.unionByName(compared(last, sets, "compared").where(F.col("sim") >= similarity).select("a", "b")), "links")

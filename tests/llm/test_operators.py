@@ -288,6 +288,18 @@ def test_probminhash_estimates_probability_jaccard():
     assert (r[0] == r[1]).mean() == pytest.approx(want, abs=0.03)
 
 
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    for shared, only in ((100, 16), (5, 0), (2000, 900)):
+        v = np.unique(rng.integers(0, 2**32, shared + 2 * only + 50).astype(np.uint64))[: shared + 2 * only]
+        rng.shuffle(v)
+        both = np.r_[v[: shared + only], v[:shared], v[shared + only :]]
+        p = minhash.parities(np.repeat([0, 1], shared + only), both, 2).view(np.uint64)
+        bits = int(np.bitwise_count(p[0] ^ p[1]).sum())
+        assert bits <= 2 * only and (2 * only - bits) % 2 == 0
+        assert bits >= 1.5 * only or only > 100
+
+
 def test_near_classes_against_all_pairs(spark, docs, texts):
     rng = random.Random(9)
     extra = []
