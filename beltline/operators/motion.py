@@ -163,6 +163,33 @@ def cum_distance_legpin(events: DataFrame, keys, t="t_us", tie="event_id", start
     return rows.withColumn("cum_cm", cum.cast("double")).drop("_w", "_a", "_w0")
 
 
+def cum_distance_offline(events: DataFrame, keys, t="t_us", tie="event_id", start="BR", chunk_us=CHUNK_US) -> DataFrame:
+    """Leg-pinned distance of a finished recording, as a function of the wheels seen so far (dwell wheels included).
+
+    An anchor pins every row with its wheel count. Rows up to the first anchor count back from its corner, by a leg at
+    most; between anchors the distance is capped at the leg; after the last one it runs on. Without anchors it is the
+    plain wheel distance.
+    """
+    keys = list(keys)
+    seq = Seq.by_time(keys, t, [tie], chunk_us)
+    rows = ordered(events, seq, RunSum("_w", "wheel"), RunSum("_a", "anchor"))
+    pinned = F.when(F.col("anchor") == 1, F.col("_w"))
+    at_count = rows.groupBy(*keys, "_w").agg(F.max("_a").alias("_k"))
+    ends = rows.groupBy(*keys).agg(F.min(pinned).alias("_first"), F.max(pinned).alias("_last"))
+    legs = rows.filter("anchor = 1").groupBy(*keys, F.col("_a").alias("_k")).agg(F.min("_w").alias("_w0"))
+    rows = rows.join(at_count, [*keys, "_w"]).join(ends, keys).join(legs, [*keys, "_k"], "left")
+    si = CORNERS.index(start)
+    leg = F.col("_k") - 1 + si
+    at = (leg % 4).cast("int")
+    base = LAP * F.floor(leg / 4) + F.element_at(F.array(*[F.lit(s) for s in STARTS]), at + 1)
+    length = F.element_at(F.array(*[F.lit(s) for s in LEGS]), at + 1)
+    since = WHEEL_CM * (F.col("_w") - F.col("_w0"))
+    cum = (F.when(F.col("_first").isNull(), WHEEL_CM * F.col("_w"))
+           .when(F.col("_w") <= F.col("_first"), STARTS[si] - F.least(WHEEL_CM * (F.col("_first") - F.col("_w")), F.lit(LEGS[si])))
+           .when(F.col("_w") >= F.col("_last"), base + since).otherwise(base + F.least(since, length)))
+    return rows.withColumn("cum_cm", cum.cast("double")).drop("_w", "_a", "_k", "_w0", "_first", "_last")
+
+
 def dead_reckoning(df: DataFrame, keys, t="t_us", tie="event_id", every=50, leak=0.9, chunk_us=CHUNK_US, block=20_000) -> DataFrame:
     """Leaky velocity from acceleration counts, heading from the magnetometer, one fix per ``every`` rows.
 

@@ -88,7 +88,7 @@ def stateful_localizer(spark, sf):
         F.when(F.col("event_type") == "view", 2).when(F.col("event_type") == "signup", 1).otherwise(0).alias("kind"),
         ((k - 50) / 1000).alias("ax"), ((k * 7 % 100 - 50) / 1000).alias("ay"), (F.col("value") - 50).alias("gz"), (k * 37 % 100 - 30).cast("double").alias("mx"),
         (k * 53 % 100 - 20).cast("double").alias("my"), (k / 100).alias("dark"), (F.col("value") / 100).alias("net"))
-    return R.drain(spark, "localizer", SP.keyed(rows, SP.Localizer(start_corner="BL", win_s=2.0)))
+    return R.drain(spark, "localizer", SP.positions(rows, SP.Localizer(start_corner="BL", win_s=2.0)))
 
 
 @query("stream_tumbling_rate", ("v_scores",), f"""SELECT * FROM (SELECT ts_us//300000000*300000000 AS window_us, disposition, count(*) AS n, sum(bytes)/300.0::DOUBLE AS bytes_per_s FROM {_POLICED} GROUP BY 1,2)

@@ -87,11 +87,14 @@ _LEG = """le AS (SELECT session, t_us, event_id, CAST(event_type='view' AS INT)
  pos AS (SELECT session, t_us, event_id, CAST(CASE WHEN na=0 THEN 15*nw ELSE 1240*floor(leg/4)+[0,160,620,780][CAST(leg%4 AS INT)+1]+least(15*(nw-w0),[160,460,160,460][CAST(leg%4 AS INT)+1]) END AS DOUBLE) AS cum_cm FROM lg)"""
 
 
-def _legpin(spark, sf):
-    e = B.imu(spark, sf).select(
+def _loop_events(spark, sf):
+    return B.imu(spark, sf).select(
         "session", "t_us", "event_id", (F.col("event_type") == "view").cast("int").alias("wheel"),
         ((F.col("event_type") == "purchase") & (F.col("value") > 80)).cast("int").alias("anchor"), (F.col("k") % 5 == 0).alias("stopped"))
-    return P.cum_distance_legpin(e, K, start="BL")
+
+
+def _legpin(spark, sf):
+    return P.cum_distance_legpin(_loop_events(spark, sf), K, start="BL")
 
 
 @query("cum_distance_legpin", ("v_imu",), f"WITH {_LEG} SELECT event_id, cum_cm FROM pos")
@@ -99,6 +102,41 @@ def cum_distance_legpin(spark, sf):
     return _legpin(spark, sf).select("event_id", "cum_cm")
 
 
+@query("cum_distance_offline", ("v_imu",), f"""WITH {_LEG}, ow AS (SELECT *, sum(wheel) OVER w AS r, sum(anchor) OVER w AS m FROM le WINDOW w AS (PARTITION BY session ORDER BY t_us, event_id)),
+ oa AS (SELECT session, r AS ra, m FROM ow WHERE anchor=1), oe AS (SELECT session, min(ra) AS f, max(ra) AS l FROM oa GROUP BY 1), ok AS (SELECT session, r, max(m) AS k FROM ow GROUP BY 1,2),
+ oj AS (SELECT event_id, ow.r, f, l, ok.k AS leg, ra FROM ow JOIN ok USING (session, r) LEFT JOIN oe USING (session) LEFT JOIN oa ON oa.session=ow.session AND oa.m=ok.k)
+ SELECT event_id, CAST(CASE WHEN f IS NULL THEN 15*r WHEN r<=f THEN 160-least(15*(f-r),460) WHEN r>=l THEN 1240*floor(leg/4)+[0,160,620,780][CAST(leg%4 AS INT)+1]+15*(r-ra)
+  ELSE 1240*floor(leg/4)+[0,160,620,780][CAST(leg%4 AS INT)+1]+least(15*(r-ra),[160,460,160,460][CAST(leg%4 AS INT)+1]) END AS DOUBLE) AS cum_cm FROM oj""")
+def cum_distance_offline(spark, sf):
+    return P.cum_distance_offline(_loop_events(spark, sf), K, start="BL").select("event_id", "cum_cm")
+
+
+_XY = """CASE WHEN p<160 THEN 120-120*(p/160) WHEN p<620 THEN 0 WHEN p<780 THEN 120*((p-620)/160) ELSE 120 END AS map_x,
+ CASE WHEN p<160 THEN 0 WHEN p<620 THEN 420*((p-160)/460) WHEN p<780 THEN 420 ELSE 420-420*((p-780)/460) END AS map_y,
+ CASE WHEN p<160 THEN 'bottom' WHEN p<620 THEN 'left' WHEN p<780 THEN 'top' ELSE 'right' END AS segment"""
+
+
+@query("track_csv_sinks", ("v_imu",), f"""WITH {_LEG}, x AS (SELECT *, t_us//1000/1000 AS t_rel_s FROM pos JOIN (SELECT event_id, wheel, anchor FROM le) USING (event_id)),
+ d AS (SELECT *, {_XY} FROM (SELECT *, cum_cm%1240 AS p FROM x))
+ SELECT 'wheels' AS "table", session, event_id, t_rel_s, NULL::DOUBLE AS cum_cm, NULL AS segment, NULL::DOUBLE AS map_x, NULL::DOUBLE AS map_y FROM d WHERE wheel=1
+ UNION ALL SELECT 'anchors', session, event_id, t_rel_s, NULL, NULL, NULL, NULL FROM d WHERE anchor=1
+ UNION ALL SELECT 'track', session, event_id, t_rel_s, cum_cm, segment, round(map_x,1), round(map_y,1) FROM d""")
+def track_csv_sinks(spark, sf):
+    """The three localization tables, written and read back."""
+    from ..session import run_dir
+    from ..sources import sessions as SS
+
+    rows = _legpin(spark, sf).withColumns({"t_rel_s": F.floor(F.col("t_us") / 1000) / 1000, "_p": TR.cum_to_xy(F.col("cum_cm"))})
+    name = ["session", "event_id", "t_rel_s"]
+    wheels, anchors = rows.filter("wheel = 1").select(*name), rows.filter("anchor = 1").select(*name)
+    track = rows.select(*name, "cum_cm", F.col("_p.piece").alias("segment"), F.col("_p.x").alias("map_x"), F.col("_p.y").alias("map_y"))
+    base = run_dir(spark, "track")
+    SS.track_sinks(wheels, track, anchors, base)
+    read = [spark.read.schema(df.schema).option("header", "true").csv(f"{base}/{t}").withColumn("table", F.lit(t))
+            for t, df in (("track", track), ("wheels", wheels), ("anchors", anchors))]
+    return read[0].unionByName(read[1], allowMissingColumns=True).unionByName(read[2], allowMissingColumns=True)
+
+
 @query("segment_counts", ("v_fix",), "SELECT line, CASE WHEN x<2 THEN 'near' WHEN x<6 THEN 'mid' ELSE 'far' END AS segment, count(*) AS n, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM v_fix GROUP BY 1,2")
 def segment_counts(spark, sf):
     f = B.fixes(spark, sf).withColumn("segment", F.when(F.col("x") < 2, "near").when(F.col("x") < 6, "mid").otherwise("far"))

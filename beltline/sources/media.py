@@ -28,7 +28,13 @@ def list_frames(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_wav(spark: SparkSession, path: str, chunk: int = 1 << 16, full_scale: float | None = None) -> DataFrame:
-    """Mono samples in [-1, 1] as ``(session, chunk_id, fs, samples)``; stereo is averaged.
+    """The WAV files of a folder through ``decode_wav``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", "content")
+    return decode_wav(files, chunk, full_scale)
+
+
+def decode_wav(files: DataFrame, chunk: int = 1 << 16, full_scale: float | None = None) -> DataFrame:
+    """Mono samples in [-1, 1] as ``(session, chunk_id, fs, samples)`` of (path, content); stereo is averaged.
 
     ``full_scale`` overrides the divisor (the largest value of the sample type by default).
     """
@@ -49,5 +55,4 @@ def scan_wav(spark: SparkSession, path: str, chunk: int = 1 << 16, full_scale: f
                         yield pd.DataFrame({"session": [name], "chunk_id": [i], "fs": [fs], "samples": [x.astype(np.float32)]})
                         i += 1
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", "content")
-    return files.mapInPandas(decode, "session string, chunk_id bigint, fs int, samples array<float>")
+    return files.select("path", "content").mapInPandas(decode, "session string, chunk_id bigint, fs int, samples array<float>")

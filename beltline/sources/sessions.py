@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..operators.sequences import nominal_rate
+from ..kernels.ordered import RowNo, Seq, ordered
+from ..operators.sequences import CHUNK_US, nominal_rate
 
 
 def _session(path) -> "F.Column":
@@ -39,9 +40,13 @@ def scan_clip_labels(spark: SparkSession, path: str) -> DataFrame:
     return _csv(spark, path, S.CLIP_LABELS, header="true", enforceSchema="true")
 
 
-def scan_merged_recorder(spark: SparkSession, path: str) -> DataFrame:
-    """The recorder table with wall time from the first sample; unparsable rows are skipped."""
-    rows = _csv(spark, path, S.MERGED, header="true", enforceSchema="true", mode="DROPMALFORMED").filter("t_rel_s IS NOT NULL")
+def scan_merged_recorder(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """The recorder table with wall time from the first sample; the device clock, which marks bursts, is kept.
+
+    Unparsable rows are skipped, or end the job where ``strict``.
+    """
+    mode = "FAILFAST" if strict else "DROPMALFORMED"
+    rows = _csv(spark, path, S.MERGED, header="true", enforceSchema="true", mode=mode).filter("t_rel_s IS NOT NULL")
     first = rows.groupBy("session").agg(F.min_by("t_rel_s", "t_host_us").alias("_t0"))
     return rows.join(first, "session").withColumn("t_wall", F.col("t_rel_s") - F.col("_t0")).drop("_t0")
 
@@ -51,6 +56,13 @@ def recorder_rate(rows: DataFrame) -> DataFrame:
     return nominal_rate(rows, ["session"], "t_dev_us", ["t_host_us", "t_rel_s"], positive_only=True)
 
 
+def uniform_timeline(rows: DataFrame, order=("t_host_us", "t_rel_s", "t_dev_us"), chunk_us=CHUNK_US) -> DataFrame:
+    """Adds ``fs`` and ``t`` = sample number / fs, for steps that need an even grid instead of the clocks."""
+    t, *ties = order
+    numbered = ordered(rows, Seq.by_time(["session"], t, ties, chunk_us), RowNo("_i"))
+    return numbered.join(recorder_rate(rows), "session").withColumn("t", (F.col("_i") - 1) / F.col("fs")).drop("_i", "_chunk")
+
+
 def ndjson_sink(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One staged record per line; absent senses stay explicit nulls."""
     records.write.mode(mode).option("ignoreNullFields", "false").json(path)

@@ -14,7 +14,7 @@ import check  # noqa: E402
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 CORE = """track_rollup_alerting alert_lifecycle asof_last_position nearest_frame window_label_overlap event_interval_match run_gate_wheels
 turntable_anchors cum_distance_legpin mag_gap_recovery directed_score roc_operating_points acl_audit capture_watch_match scale_imu
-stateful_alerts""".split()
+stateful_alerts scan_merged_recorder scan_wav track_csv_sinks cum_distance_offline""".split()
 NAMES = sorted(E.oracle_sql()) if os.environ.get("BELTLINE_ALL") else CORE
 
 

@@ -133,6 +133,7 @@ def yaw_rows(rate, t0=0.0):
 def test_localizer_turn_and_motion():
     state, out = feed(Localizer("BR"), yaw_rows(90.0))
     assert [o[1] for o in out] == ["anchor"]
+    assert out[0][-1] == 2_000_000                          # the host clock of the row that ended the turn
     jitter = [(0, i * 0.1, dict(ax=0.0, ay=0.0, gz=20.0 * (-1) ** i)) for i in range(60)]
     assert feed(Localizer("BR"), jitter)[1] == []
     still = [(0, i * 0.05, dict(ax=0.0, ay=0.0, gz=0.0)) for i in range(60)]
