@@ -81,3 +81,19 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         raise RuntimeError("components did not settle")
     return nodes.join(pairs.groupBy("a").agg(F.min("b").alias("root")), nodes["node"] == F.col("a"), "left") \
         .select("node", F.coalesce("root", "node").alias("root"))
+
+
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` of the edges behind ``roots`` and ``links`` (a, b) together.
+
+    Only links between different components count, and they join the roots: the earlier edges are not walked again.
+    """
+    def root_of(end: str) -> DataFrame:
+        return roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+
+    open_ = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left") \
+        .select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    tops = stored(components(open_), "tops")
+    moved = roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left") \
+        .select("node", F.coalesce("top", "root").alias("root"))
+    return moved.unionByName(tops.join(roots, "node", "left_anti").select("node", "root"))

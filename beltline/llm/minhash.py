@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import components, stored, table
+from .frames import components, extended, stored, table
 from .text import batches, mix, shingles
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -150,7 +150,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = W
 
     fits = f"least(n, n2) >= {similarity} * greatest(n, n2)"
     sizes = nodes.select(F.col("node").alias("node2"), F.col("n").alias("n2"))
-    known, found, roots = None, None, None
+    known, roots = None, None
     for r in range(pivots):
         if r == 0:
             pairs = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"), "n").distinct()
@@ -165,8 +165,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = W
         pairs = pairs.join(sizes, pairs["a"] == sizes["node2"]).where(fits).select("a", "b")
         new = compared(pairs, sets, "compared")
         known = new if known is None else known.unionByName(new)
-        found = known.where(F.col("sim") >= similarity).select("a", "b")
-        roots = stored(components(found), "roots")
+        near = new.where(F.col("sim") >= similarity).select("a", "b")
+        roots = stored(components(near) if roots is None else extended(roots, near), "roots")
 
     split = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = split.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
@@ -184,8 +184,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = W
         & (F.array_intersect("o.bands", "t.bands")[0] == F.col("o.key"))
     last = one.join(two, on).select(F.col("o.node").alias("a"), F.col("t.node").alias("b")).distinct() \
         .join(known.select("a", "b"), ["a", "b"], "left_anti").join(known.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    found = stored(found.unionByName(compared(last, sets, "compared").where(F.col("sim") >= similarity).select("a", "b")), "links")
-    roots = components(found)
+    near = compared(last, sets, "compared").where(F.col("sim") >= similarity).select("a", "b")
+    roots = extended(roots, near)
+    found = known.where(F.col("sim") >= similarity).select("a", "b").unionByName(near)
     links = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = nodes.select("node", "digest", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))

@@ -375,3 +375,14 @@ def test_stages_keep_columns(spark, docs, tmp_path):
     near = [r["text"] for r in stages.near_duplicates(spark, docs, str(tmp_path)).collect()]
     assert len(near) == len(set(near))
     assert hashlib.sha256(b"").hexdigest()  # the digests above are of UTF-8 bytes
+
+
+def test_extended_components(spark):
+    """Components grown by later links equal those of all links at once."""
+    from beltline.llm.frames import components, extended
+
+    one, two = [(1, 2), (5, 3), (8, 9)], [(2, 3), (9, 9), (9, 20), (30, 31), (31, 8), (2, 1)]
+    edges = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    grown = extended(components(edges(one)), edges(two))
+    assert sorted(map(tuple, grown.select("node", "root").collect())) == sorted(map(tuple, components(edges(one + two)).select("node", "root").collect()))
+    assert extended(components(edges(one)), edges(two).limit(0)).count() == 6
