@@ -6,6 +6,8 @@ texts agree in a register with probability equal to their probability Jaccard si
 points once its next arrival is later than every register of its text, so long texts cost about one point a shingle.
 
 Registers are banded; texts that share a band are candidates, and the Jaccard similarity of their shingle sets decides.
+Counts can part texts of equal sets, so every text has the bands of unit weights too: there the probability Jaccard
+similarity is that of the sets, and a link of similarity s is a candidate with probability 1 - (1 - s**4)**20 at least.
 Candidates of a band are compared with the band's pivot only, for a few pivots. Then texts of one band that are still in
 different classes are compared with each other, unless a bound rules a link out: their sizes, their distances to the pivot
 (the Jaccard distance is a metric), or parity sketches, which never tell more different shingles than there are. Equal
@@ -67,19 +69,33 @@ def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def all_keys(text: np.ndarray, value: np.ndarray, count: np.ndarray, n_texts: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n_texts x 2 * bands keys, which of them are new): the bands by counts, then those by unit weights.
+
+    Without a repeated shingle both are the same registers, so only texts with one have more than ``bands`` keys.
+    """
+    keys = band_keys(probminhash(text, value, count.astype(float), n_texts, bands * rows), bands, rows)
+    again = np.unique(text[count > 1])
+    own = np.isin(text, again)
+    unit = keys.copy()
+    unit[again] = band_keys(probminhash(np.searchsorted(again, text[own]), value[own], np.ones(own.sum()), len(again), bands * rows), bands, rows)
+    return np.concatenate([keys, unit], 1), np.concatenate([np.ones(keys.shape, bool), unit != keys], 1)
+
+
 def signatures(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, digest (of the text), n (distinct shingles) and bands of (doc_id, text)."""
+    """doc_id, digest (of the text), n (distinct shingles) and bands (by counts and by sets) of (doc_id, text)."""
 
     def run(parts):
         for part in parts:
             raw = [x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()]
-            n, keys = np.zeros(len(raw), np.int32), []
+            n, keys, many = np.zeros(len(raw), np.int32), [np.zeros(0, np.int64)], np.zeros(len(raw) + 1, np.int32)
             for a, b in batches([len(x) for x in raw]):
                 t, v, c = counted(*shingles(raw[a:b], width))
                 n[a:b] = np.bincount(t, minlength=b - a)
-                keys.append(band_keys(probminhash(t, v, c.astype(float), b - a, bands * rows), bands, rows))
-            flat = np.concatenate(keys) if keys else np.zeros((0, bands), np.int64)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(flat.reshape(-1)), bands).cast(pa.list_(pa.int64()))
+                key, new = all_keys(t, v, c, b - a, bands, rows)
+                keys.append(key[new])
+                many[a + 1 : b + 1] = new.sum(1)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(many, dtype=np.int32)), pa.array(np.concatenate(keys)))
             digest = pa.array([hashlib.md5(x).digest() for x in raw], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), digest, pa.array(n), lists], ["doc_id", "digest", "n", "bands"])
 

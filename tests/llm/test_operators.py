@@ -330,6 +330,24 @@ def test_near_classes_against_all_pairs(spark, docs, texts):
     assert minhash.near_classes(d.limit(0)).isEmpty()
 
 
+def test_repeats_do_not_hide_equal_sets(spark):
+    """A passage said once or 51 times more: nearly one set of shingles, but most pairs share no band by counts."""
+    rng = random.Random(21)
+    rows, want = [], {}
+    for g in range(12):
+        w = [f"w{g}x{i}" for i in range(200)]
+        rng.shuffle(w)
+        loop = w[:24] + w[:4]
+        for k, times in enumerate((1, 51)):
+            # the passage closes to a ring, so a repetition brings no new shingle
+            rows.append((10 * g + k, " ".join(loop[:24] * times + w)))
+            want[10 * g + k] = 10 * g
+    sets = {k: word_set(t) for k, t in rows}
+    assert min(jaccard(sets[c], sets[k]) for k, c in want.items()) >= 0.8
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in minhash.near_classes(d).collect()} == want
+
+
 def test_components(spark):
     e = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (7, 7), (2, 5)], "a long, b long")
     assert sorted(map(tuple, frames.components(e).collect())) == [(2, 2), (3, 2), (4, 2), (5, 2), (8, 8), (9, 8)]
