@@ -146,11 +146,11 @@ def compared(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, pivots: int = 3) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): doc_id, digest, class_id, n_links.
+    """One row for each row of ``docs`` (doc_id, text): doc_id, digest, root, class_id, n_links.
 
-    class_id is the smallest doc_id of the class of texts joined by links of at least ``similarity``; n_links counts the
+    root numbers the classes of this run. class_id is the smallest doc_id of the class of texts joined by links of at least ``similarity``; n_links counts the
     different texts that this text was found linked with. Texts without words (null, empty, punctuation) are in a class
-    with equal texts only. Null doc_ids are kept and name a class only if it has no other.
+    with equal texts only. Null doc_ids are kept and name a class only if it has no other: as ids may repeat or be null, different classes can have one class_id, never one root.
     """
     seen = stored(signatures(docs, width, bands, rows), "signatures")
     nodes = stored(seen.groupBy("digest").agg(F.first("bands").alias("bands"), F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
@@ -206,8 +206,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = W
     links = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = nodes.select("node", "digest", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    classes = named.join(names, "root").join(links, "node", "left").select("digest", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return seen.select("doc_id", "digest").join(classes, "digest").select("doc_id", "digest", "class_id", "n_links")
+    classes = named.join(names, "root").join(links, "node", "left").select("digest", "root", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return seen.select("doc_id", "digest").join(classes, "digest").select("doc_id", "digest", "root", "class_id", "n_links")
 
 
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:

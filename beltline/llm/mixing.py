@@ -26,7 +26,7 @@ MEASURES = ("length", "word", "variety", "line")
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """row, doc_id, tokens and the measures of every whole text; null texts are empty. Written."""
+    """row, doc_id, h (a hash of the text), tokens and the measures of every whole text; null texts are empty. Written."""
     text = F.coalesce("text", F.lit(""))
 
     def of(w: Column) -> Column:
@@ -34,7 +34,7 @@ def measured(docs: DataFrame) -> DataFrame:
         return F.struct(n.cast("bigint").alias("tokens"), F.log1p(n.cast("double")).alias("length"), (F.length(text) / m).alias("word"),
                         (F.size(F.array_distinct(w)) / m).alias("variety"), F.log1p(m / F.size(F.split(text, "\n"))).alias("line"))
 
-    return stored(docs.select("doc_id", let(words(text), of).alias("m")).select("doc_id", "m.*").withColumn("row", F.monotonically_increasing_id()), "measures")
+    return stored(docs.select("doc_id", F.xxhash64("text").alias("h"), let(words(text), of).alias("m")).select("doc_id", "h", "m.*").withColumn("row", F.monotonically_increasing_id()), "measures")
 
 
 def posteriors(rows: DataFrame, labels: DataFrame, domains: list[str]) -> DataFrame:
@@ -97,7 +97,7 @@ def rates(rows: DataFrame, weights: list[float], ridge: float = 1e-4, tolerance:
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, **options) -> DataFrame:
-    """row, doc_id, tokens, p, rate for every row of ``docs``, row numbering them. ``labels`` has quality.
+    """row, doc_id, h, tokens, p, rate for every row of ``docs``, row numbering them. ``labels`` has quality.
 
     Rows without words have no tokens and the rate their posterior implies. Conflicting labels of one doc_id count as
     the worse one. Unlabelled and null ids are predicted like all others.
@@ -106,7 +106,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     domains = sorted(targets)
     named = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).select(
         "doc_id", F.when(F.col("q") == 0, "low").otherwise("high").alias("domain"))
-    rows = posteriors(measured(docs), named, domains).select("row", "doc_id", "tokens", "p")
+    rows = posteriors(measured(docs), named, domains).select("row", "doc_id", "h", "tokens", "p")
     whole = sum(targets.values())
     return rates(stored(rows, "posteriors"), [targets[d] / whole for d in domains], **options)
 

@@ -28,12 +28,16 @@ def lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that of the smallest doc_id."""
+    """One document of each group stays: that of the smallest doc_id, null ids last, and then of the smallest digest.
+
+    Groups are told apart by their texts, so different texts under one doc_id, or under none, each stay.
+    """
     own = docs.select(*COLUMNS)
-    first = minhash.near_classes(own).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("d"), "digest").dropDuplicates(["d"])
+    lowest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), "digest")).alias("k")
+    first = minhash.near_classes(own).groupBy("root").agg(lowest).select("k.d", "k.digest")
     digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     kept = own.withColumn("g", digest).join(first, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("g") == F.col("digest")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return kept.dropDuplicates(["doc_id", "g"]).select(*COLUMNS)
 
 
 def uncontaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +51,8 @@ def uncontaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its rate: how often to take it so that the expected domain shares match the targets."""
-    own = docs.select(*COLUMNS)
-    out = mixing.mixed(own, table(spark, sf_dir, "labels")).groupBy("doc_id").agg(F.first("rate").alias("rate"), F.first("tokens").alias("tokens"))
+    own = docs.select(*COLUMNS).withColumn("th", F.xxhash64("text"))
+    # equal texts have equal rates and tokens
+    out = mixing.mixed(own, table(spark, sf_dir, "labels")).groupBy("doc_id", "h").agg(F.first("rate").alias("rate"), F.first("tokens").alias("tokens"))
     out = out.withColumnRenamed("doc_id", "d")
-    return own.join(out, own["doc_id"].eqNullSafe(out["d"])).drop("d")
+    return own.join(out, own["doc_id"].eqNullSafe(out["d"]) & (own["th"] == out["h"])).select(*COLUMNS, "rate", "tokens")

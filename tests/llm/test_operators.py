@@ -395,6 +395,19 @@ def test_stages_keep_columns(spark, docs, tmp_path):
     assert hashlib.sha256(b"").hexdigest()  # the digests above are of UTF-8 bytes
 
 
+def test_stages_keep_texts_of_null_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(31)
+    one, copy = prose(rng, 60), prose(rng, 60)
+    rows = [(None, one), (None, prose(rng, 5)), (None, prose(rng, 200)), (7, prose(rng, 90)), (7, prose(rng, 12)), (7, copy), (9, copy), (None, copy), (None, one), (3, None)]
+    d = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], SCHEMA).repartition(3)
+    near = stages.near_duplicates(spark, d, str(tmp_path))
+    want = [r for i, r in enumerate(rows) if i not in (6, 7, 8)]
+    assert Counter((r["doc_id"], r["text"]) for r in near.collect()) == Counter(want)
+    spark.createDataFrame([(7, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = stages.mixture(spark, d, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["text"], r["tokens"]) for r in out) == Counter((k, t, len((t or "").split())) for k, t in rows)
+
+
 def test_extended_components(spark):
     """Components grown by later links equal those of all links at once."""
     from beltline.llm.frames import components, extended
