@@ -36,6 +36,13 @@ def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def matched(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` where all of ``on`` agree; a null doc_id agrees with a null one."""
+    other = right.select(*(F.col(c).alias(f"{c}_" if c in on else c) for c in right.columns))
+    agree = [F.col(c).eqNullSafe(F.col(f"{c}_")) if c == "doc_id" else F.col(c) == F.col(f"{c}_") for c in on]
+    return left.join(other, agree, how).drop(*(f"{c}_" for c in on))
+
+
 def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """The index of (doc_id, h, text): term, doc_id, h, pos. With ``terms``, the postings of those terms only."""
     rows = docs.select("doc_id", "h", F.posexplode(words(F.lower("text"))).alias("pos", "term"))
@@ -66,15 +73,15 @@ def phrase_windows(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
 
     start = index.join(hinted(anchors.where("rank = 1")), "term").select("doc_id", "h", "key", (F.col("pos") - F.col("at")).alias("diag")).distinct()
     wanted = start.join(hinted(anchors.select("key", "n", "at", "term")), "key").withColumn("pos", F.col("diag") + F.col("at"))
-    found = wanted.join(index, ["doc_id", "h", "pos", "term"], "left_semi").groupBy("doc_id", "h", "key", "n", "diag").agg(F.countDistinct("at").alias("have"))
+    found = matched(wanted, index, ["doc_id", "h", "pos", "term"], "left_semi").groupBy("doc_id", "h", "key", "n", "diag").agg(F.countDistinct("at").alias("have"))
     left = stored(found.where(F.col("have") >= F.least(F.lit(ANCHORS), "n")).drop("have"), "diagonals")
 
     by_doc = left.groupBy("doc_id", "h").agg(F.collect_set(F.struct("key", "n", "diag")).alias("c"))
-    texts = docs.join(hinted(by_doc.select("doc_id", "h")), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
+    texts = matched(docs, hinted(by_doc.select("doc_id", "h")), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
     cut = let(exact_words(F.col("text")), lambda w: F.transform(F.col("c"), lambda c: F.struct(
         c["key"].alias("key"), c["diag"].alias("diag"),
         F.slice(w, F.greatest(c["diag"], F.lit(0)) + 1, c["n"] + F.least(c["diag"], F.lit(0))).alias("have"))))
-    pieces = texts.join(by_doc, ["doc_id", "h"]).select("doc_id", "h", F.explode(cut).alias("c")).select("doc_id", "h", "c.*")
+    pieces = matched(texts, by_doc, ["doc_id", "h"]).select("doc_id", "h", F.explode(cut).alias("c")).select("doc_id", "h", "c.*")
     pairs = pieces.join(items.select("key", "item", "n", exact_words(F.col("text")).alias("want")), "key") \
         .withColumn("off", F.greatest(-F.col("diag"), F.lit(0))).withColumn("w", F.least(F.lit(width), "n")).where(F.size("have") >= F.col("w"))
     same = F.expr("filter(sequence(0, size(have) - w), i -> slice(have, i + 1, w) = slice(want, off + i + 1, w))")
@@ -91,14 +98,15 @@ def proximity_matches(index: DataFrame, pairs: DataFrame, within: int) -> DataFr
     left = index.join(hinted(pairs), index["term"] == pairs["a"]).select("doc_id", "h", "a", "b", F.col("pos").alias("pos_a"), stretch.alias("s"))
     right = index.join(hinted(pairs.select("b").distinct()), index["term"] == F.col("b")).select(
         "doc_id", "h", "b", F.col("pos").alias("pos_b"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("s"))
-    near = left.join(right, ["doc_id", "h", "b", "s"])
+    near = matched(left, right, ["doc_id", "h", "b", "s"])
     return near.where((F.abs(F.col("pos_a") - F.col("pos_b")) <= within) & (F.col("pos_a") != F.col("pos_b"))).select("doc_id", "h", "a", "b", "pos_a", "pos_b")
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 13) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, h, n_words, n_hit, items (sorted ids as strings).
 
-    A word inside any occurrence of a window is hit, once however many windows cover it. Null texts have no words.
+    A word inside any occurrence of a window is hit, once however many windows cover it. Null texts have no words. Texts
+    under a null doc_id are searched like all others (the SQL joins by doc_id and leaves them without hits).
     """
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     hits = stored(phrase_windows(keyed, items, width), "hits")
@@ -107,7 +115,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 13) -> DataFra
     n_hit = places.groupBy("doc_id", "h").agg(F.count("*").alias("n_hit"))
     which = hits.select("doc_id", "h", F.col("item").cast("string").alias("item")).distinct() \
         .groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    found = n_hit.join(which, ["doc_id", "h"])
+    found = matched(n_hit, which, ["doc_id", "h"])
     rows = keyed.select("doc_id", "h", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     return rows.join(found, rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["h"] == found["h"]), "left").select(
         rows["doc_id"], rows["h"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),

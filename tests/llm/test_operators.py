@@ -141,6 +141,19 @@ def test_contamination_is_exact(spark):
     assert decontamination.contamination(d.limit(0), b).isEmpty() and decontamination.contamination(d, b.limit(0)).where("n_hit > 0").isEmpty()
 
 
+def test_contamination_under_null_ids(spark):
+    rng = random.Random(12)
+    one, two = prose(rng, 20), prose(rng, 13)
+    d = spark.createDataFrame([(None, one), (None, prose(rng, 4) + " " + two), (None, prose(rng, 30)), (0, one), (None, None)], "doc_id long, text string")
+    got = decontamination.contamination(d, spark.createDataFrame([(1, one), (2, two)], "item long, text string"))
+    want = [(None, 20, 20, ("1",), True), (None, 17, 13, ("2",), True), (None, 30, 0, (), False), (0, 20, 20, ("1",), True), (None, 0, 0, (), False)]
+    rows = got.withColumn("bad", decontamination.contaminated()).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]), r["bad"]) for r in rows) == Counter(want)
+    near = decontamination.proximity_matches(decontamination.postings(spark.createDataFrame([(None, 0, "a x b")], "doc_id long, h long, text string")),
+                                             spark.createDataFrame([("a", "b")], "a string, b string"), 4)
+    assert [tuple(r) for r in near.select("doc_id", "pos_a", "pos_b").collect()] == [(None, 0, 2)]
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, 0, "a x x b x x x x x b"), (2, 0, "b a")], "doc_id long, h long, text string")
     pairs = spark.createDataFrame([("a", "b")], "a string, b string")
