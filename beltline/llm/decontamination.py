@@ -5,8 +5,8 @@ the search starts from the postings of the rarest term of each window, shifts th
 (one diagonal per item and document), and keeps a diagonal only if the next rarest terms have postings at the shifted
 places. What is left is compared word by word.
 
-The words of the index are lower-cased throughout (``lower``), which leaves word borders where they are; the comparison
-lower-cases A-Z only, as the contamination rule does.
+The words of the index are those of the comparison: only A-Z are lower-cased, as the contamination rule says. (``lower``
+would make words differ by what stands around them, as with a Greek final sigma.)
 """
 
 from __future__ import annotations
@@ -45,13 +45,13 @@ def matched(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner"
 
 def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """The index of (doc_id, h, text): term, doc_id, h, pos. With ``terms``, the postings of those terms only."""
-    rows = docs.select("doc_id", "h", F.posexplode(words(F.lower("text"))).alias("pos", "term"))
+    rows = docs.select("doc_id", "h", F.posexplode(exact_words(F.col("text"))).alias("pos", "term"))
     return rows if terms is None else rows.join(hinted(terms), "term", "left_semi")
 
 
 def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term, n: how often each of ``terms`` occurs in the corpus; 0 if it does not."""
-    rows = docs.select(F.explode(words(F.lower("text"))).alias("term")).join(hinted(terms), "term", "left_semi")
+    rows = docs.select(F.explode(exact_words(F.col("text"))).alias("term")).join(hinted(terms), "term", "left_semi")
     return terms.join(rows.groupBy("term").agg(F.count("*").alias("n")), "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -63,7 +63,7 @@ def phrase_windows(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     """
     items = stored(items.select("item", F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("key", F.monotonically_increasing_id())
                    .withColumn("n", F.size(words(F.col("text")))).where("n > 0"), "items")
-    places = stored(items.select("key", "n", F.posexplode(words(F.lower("text"))).alias("at", "term")), "places")
+    places = stored(items.select("key", "n", F.posexplode(exact_words(F.col("text"))).alias("at", "term")), "places")
     freq = stored(frequencies(docs, places.select("term").distinct()), "terms")
     first = F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - width + 1), F.least(F.col("at"), F.greatest(F.lit(0), F.col("n") - width)))).alias("first")
     rank = F.row_number().over(Window.partitionBy("key", "first").orderBy("f", "at"))
@@ -74,7 +74,7 @@ def phrase_windows(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     start = index.join(hinted(anchors.where("rank = 1")), "term").select("doc_id", "h", "key", (F.col("pos") - F.col("at")).alias("diag")).distinct()
     wanted = start.join(hinted(anchors.select("key", "n", "at", "term")), "key").withColumn("pos", F.col("diag") + F.col("at"))
     found = matched(wanted, index, ["doc_id", "h", "pos", "term"], "left_semi").groupBy("doc_id", "h", "key", "n", "diag").agg(F.countDistinct("at").alias("have"))
-    left = stored(found.where(F.col("have") >= F.least(F.lit(ANCHORS), "n")).drop("have"), "diagonals")
+    left = stored(found.where(F.col("have") >= F.least(F.lit(min(ANCHORS, width)), "n")).drop("have"), "diagonals")
 
     by_doc = left.groupBy("doc_id", "h").agg(F.collect_set(F.struct("key", "n", "diag")).alias("c"))
     texts = matched(docs, hinted(by_doc.select("doc_id", "h")), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])

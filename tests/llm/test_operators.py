@@ -154,6 +154,20 @@ def test_contamination_under_null_ids(spark):
     assert [tuple(r) for r in near.select("doc_id", "pos_a", "pos_b").collect()] == [(None, 0, 2)]
 
 
+def test_windows_of_exact_words(spark):
+    """Sigmas before other punctuation than in the item; windows of fewer words than anchors."""
+    names = ["ΟΔΟΣ", "ΛΟΓΟΣ", "ΝΟΜΟΣ", "ΤΟΠΟΣ"]
+    d = spark.createDataFrame([(1, 0, " ".join(names)), (2, 0, ".".join(names) + ":a")], "doc_id long, h long, text string")
+    b = spark.createDataFrame([(1, "'".join(names) + "'B"), (2, " ".join(names))], "item long, text string")
+    got = decontamination.phrase_windows(d, b.where("item = 2"), 13).collect()
+    assert sorted((r["doc_id"], r["start"], r["length"]) for r in got) == [(1, 0, 4), (2, 0, 4)]
+    few = spark.createDataFrame([(1, 0, "x ka lo y")], "doc_id long, h long, text string")
+    long_item = spark.createDataFrame([(1, "mi ka lo re tu")], "item long, text string")
+    for width, starts in ((1, [1, 2]), (2, [1]), (3, [])):
+        assert sorted(r["start"] for r in decontamination.phrase_windows(few, long_item, width).collect()) == starts
+    assert {r["start"] for r in decontamination.phrase_windows(d, b.where("item = 1"), 4).collect()} == {0}
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, 0, "a x x b x x x x x b"), (2, 0, "b a")], "doc_id long, h long, text string")
     pairs = spark.createDataFrame([("a", "b")], "a string, b string")
