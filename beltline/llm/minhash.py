@@ -146,10 +146,11 @@ def compared(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, pivots: int = 3) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): doc_id, digest, root, class_id, n_links.
+    """One row for each row of ``docs`` (doc_id, text): doc_id, digest, root, class_id, n_links_found.
 
-    root numbers the classes of this run. class_id is the smallest doc_id of the class of texts joined by links of at least ``similarity``; n_links counts the
-    different texts that this text was found linked with. Texts without words (null, empty, punctuation) are in a class
+    root numbers the classes of this run. class_id is the smallest doc_id of the class of texts joined by links of at least ``similarity``; n_links_found
+    counts the links that the search came across, each once: those that decide the class, not all there are, and which
+    ones depends on how the rows are dealt. Texts without words (null, empty, punctuation) are in a class
     with equal texts only. Null doc_ids are kept and name a class only if it has no other: as ids may repeat or be null, different classes can have one class_id, never one root.
     """
     seen = stored(signatures(docs, width, bands, rows), "signatures")
@@ -170,15 +171,14 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = W
     for r in range(pivots):
         if r == 0:
             pairs = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"), "n").distinct()
+            pairs = pairs.join(sizes, pairs["a"] == sizes["node2"]).where(fits).select("a", "b")
         else:
             # bands whose members are in several classes get another pivot
             split = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             pick = split.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                            F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "root")).alias("p")).where("lo < hi").select("key", "p.node", "p.root")
-            pairs = split.join(pick.select("key", F.col("node").alias("p"), F.col("root").alias("proot")), "key").where("root <> proot") \
-                .select(F.col("p").alias("a"), F.col("node").alias("b"), "n").distinct()
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti").join(known.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        pairs = pairs.join(sizes, pairs["a"] == sizes["node2"]).where(fits).select("a", "b")
+                                            F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "root", "n")).alias("p")).where("lo < hi").select("key", "p.node", "p.root", "p.n")
+            pairs = split.join(pick.select("key", F.col("node").alias("p"), F.col("root").alias("proot"), F.col("n").alias("n2")), "key").where("root <> proot").where(fits) \
+                .select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
         new = compared(pairs, sets, "compared")
         known = new if known is None else known.unionByName(new)
         near = new.where(F.col("sim") >= similarity).select("a", "b")
@@ -199,16 +199,16 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = W
         & (both - differ >= similarity * (both + differ)) \
         & (F.array_intersect("o.bands", "t.bands")[0] == F.col("o.key"))
     last = one.join(two, on).select(F.col("o.node").alias("a"), F.col("t.node").alias("b")).distinct() \
-        .join(known.select("a", "b"), ["a", "b"], "left_anti").join(known.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+        .join(known.select("a", "b"), ["a", "b"], "left_anti")
     near = compared(last, sets, "compared").where(F.col("sim") >= similarity).select("a", "b")
     roots = extended(roots, near)
     found = known.where(F.col("sim") >= similarity).select("a", "b").unionByName(near)
-    links = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    links = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links_found"))
     named = nodes.select("node", "digest", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    classes = named.join(names, "root").join(links, "node", "left").select("digest", "root", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return seen.select("doc_id", "digest").join(classes, "digest").select("doc_id", "digest", "root", "class_id", "n_links")
+    classes = named.join(names, "root").join(links, "node", "left").select("digest", "root", "class_id", F.coalesce("n_links_found", F.lit(0)).alias("n_links_found"))
+    return seen.select("doc_id", "digest").join(classes, "digest").select("doc_id", "digest", "root", "class_id", "n_links_found")
 
 
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:
-    return near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+    return near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links_found")

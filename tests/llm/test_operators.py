@@ -372,7 +372,9 @@ def test_repeats_do_not_hide_equal_sets(spark):
     sets = {k: word_set(t) for k, t in rows}
     assert min(jaccard(sets[c], sets[k]) for k, c in want.items()) >= 0.8
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r["doc_id"]: r["class_id"] for r in minhash.near_classes(d).collect()} == want
+    got = minhash.near_classes(d).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == want
+    assert {r["n_links_found"] for r in got} == {1}
 
 
 def test_components(spark):
