@@ -55,6 +55,19 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def looked_up(rows: DataFrame, values: DataFrame, keys: list[str], value: str, share: float = 1e-4, how: str = "inner") -> DataFrame:
+    """``rows`` with ``value`` of ``values`` (keys, n, value: not null), where n counts the rows of each key in ``rows``.
+
+    Keys with more than ``share`` of all of n, at most 1 / share of them, are joined as a broadcast; no other is hot. ``how``
+    is inner or left, for rows without a value.
+    """
+    total = values.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") > share * total
+    known = rows.join(F.broadcast(values.where(often).select(*keys, value)), keys, "left")
+    rest = known.where(F.col(value).isNull()).drop(value).join(values.where(~often).select(*keys, value), keys, how)
+    return known.where(F.col(value).isNotNull()).unionByName(rest)
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of ``edges`` (a, b): one row (node, root), root the smallest node of its component.
 

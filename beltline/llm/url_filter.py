@@ -13,7 +13,7 @@ judged URLs that the models do not see: the score that parts their accepted from
 The models are tables, one for each order, that grow with the URLs. The table of order k has one row for each string of k + 1
 characters; it gets its shorter contexts by a join on the last k of them, which as many rows share as there are
 characters, so no key of these joins is hot. URLs meet the models by their own windows of ``ORDER`` + 1 characters: windows
-that make up more than a share ``HEAVY`` of all, of which there are at most 1 / HEAVY, are joined as a broadcast, the others by a shuffle.
+that make up a large share of all, which can only be few, are joined as a broadcast, the others by a shuffle (``frames.looked_up``).
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import stored, table
+from .frames import looked_up, stored, table
 
-#: Characters of context; the share of all windows beyond which one is broadcast; width of a calibration bin and their number on each side.
-ORDER, HEAVY, BIN, BINS = 5, 1e-4, 0.01, 1000
+#: Characters of context; width of a calibration bin and their number on each side.
+ORDER, BIN, BINS = 5, 0.01, 1000
 #: Stand before the first and after the last character of a URL.
 BEGIN, END = "\x02", "\x03"
 
@@ -86,18 +86,6 @@ def ratios(tables: list[DataFrame]) -> DataFrame:
     return below.select("w", "n", F.round((F.ln("p_a") - F.ln("p_r")) * 1e9).cast("long").alias("lr"))
 
 
-def looked_up(rows: DataFrame, values: DataFrame, keys: list[str], value: str, share: float = HEAVY) -> DataFrame:
-    """``rows`` with ``value`` of ``values`` (keys, n, value: not null), where n counts the rows of each key.
-
-    Keys with more than ``share`` of all rows, at most 1 / share of them, are joined as a broadcast; no other is hot.
-    """
-    total = values.agg(F.sum("n")).first()[0] or 0
-    often = F.col("n") > share * total
-    known = rows.join(F.broadcast(values.where(often).select(*keys, value)), keys, "left")
-    rest = known.where(F.col(value).isNull()).drop(value).join(values.where(~often).select(*keys, value), keys)
-    return known.where(F.col(value).isNotNull()).unionByName(rest)
-
-
 def threshold(scored: DataFrame, bin_: float = BIN, bins: int = BINS) -> float:
     """The edge of a bin that parts accepted (at or above it) from rejected scores with the least sum of error rates.
 

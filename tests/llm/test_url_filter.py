@@ -8,7 +8,7 @@ from collections import Counter
 
 import pytest
 
-from beltline.llm import url_filter as U
+from beltline.llm import frames, url_filter as U
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("allow", "example.org", "/es/1"), ("block", "com", "/bad"), ("allow", "com", "/bad")]
 
@@ -92,7 +92,7 @@ def test_no_evidence_allows(spark):
 def test_often_looked_up_keys_are_joined_once(spark):
     rows = spark.range(1000).selectExpr("CASE WHEN id < 700 THEN 0 ELSE id END AS k")
     values = rows.groupBy("k").count().selectExpr("k", "count AS n", "k * 2 AS x")
-    assert sorted(map(tuple, U.looked_up(rows, values, ["k"], "x", 0.1).collect())) == sorted([(0, 0)] * 700 + [(i, 2 * i) for i in range(700, 1000)])
+    assert sorted(map(tuple, frames.looked_up(rows, values, ["k"], "x", 0.1).collect())) == sorted([(0, 0)] * 700 + [(i, 2 * i) for i in range(700, 1000)])
 
 
 @pytest.mark.parametrize("accepted,rejected,want", [([0.055, 0.2], [-0.3, 0.004], 0.01), ([0.1], [], 0.0), ([-0.5], [0.5], -0.5)])
