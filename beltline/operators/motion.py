@@ -143,6 +143,15 @@ def debounce_runs(grid: DataFrame, keys, t="t_us", state="stopped", step_us=50_0
 
 # --- position ---------------------------------------------------------------------------------
 
+def leg_distance(wheels: Column, corners: Column, wheels_at_corner: Column, start="BR") -> Column:
+    """Distance after so many wheels and corners: from the corner reached last, at most its leg; before any, that of the wheels."""
+    leg = corners - 1 + CORNERS.index(start)
+    at = F.pmod(leg, F.lit(4)).cast("int") + 1
+    base = LAP * F.floor(leg / 4) + F.element_at(F.array(*[F.lit(s) for s in STARTS]), at)
+    length = F.element_at(F.array(*[F.lit(s) for s in LEGS]), at)
+    return F.when(corners == 0, WHEEL_CM * wheels).otherwise(base + F.least(WHEEL_CM * (wheels - wheels_at_corner), length))
+
+
 def cum_distance_legpin(events: DataFrame, keys, t="t_us", tie="event_id", start="BR", chunk_us=CHUNK_US) -> DataFrame:
     """Distance along the loop after every wheel / anchor event (``wheel``, ``anchor``: 0/1, ``stopped``).
 
@@ -153,13 +162,7 @@ def cum_distance_legpin(events: DataFrame, keys, t="t_us", tie="event_id", start
     moved = F.when((F.col("wheel") == 1) & ~F.col("stopped"), 1).otherwise(0)
     rows = ordered(events, seq, RunSum("_w", moved), RunSum("_a", "anchor"))
     rows = ordered(rows, seq, Fill("_w0", F.when(F.col("anchor") == 1, F.col("_w"))))
-    si = CORNERS.index(start)
-    leg = F.col("_a") - 1 + si
-    at = (leg % 4).cast("int")
-    base = LAP * F.floor(leg / 4) + F.element_at(F.array(*[F.lit(s) for s in STARTS]), at + 1)
-    length = F.element_at(F.array(*[F.lit(s) for s in LEGS]), at + 1)
-    since = WHEEL_CM * (F.col("_w") - F.col("_w0"))
-    cum = F.when(F.col("_a") == 0, WHEEL_CM * F.col("_w")).otherwise(base + F.least(since, length))
+    cum = leg_distance(F.col("_w"), F.col("_a"), F.col("_w0"), start)
     return rows.withColumn("cum_cm", cum.cast("double")).drop("_w", "_a", "_w0")
 
 

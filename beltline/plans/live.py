@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import messages as M
+from ..streaming import localizer as LO
 from ..streaming import processors as SP
 from ..streaming import runs as R
 from . import bindings as B
@@ -11,6 +12,10 @@ from .matching import _ASOF
 from .registry import query
 
 
+#: How much later than newer rows a row may come, and the pause after which an idle device is forgotten.
+DELAY, IDLE_US = "30 minutes", 6 * 3600 * 1_000_000
+
+
 def live_events(spark, sf):
     s = R.stream_files(spark, sf, "events.parquet").select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props",
@@ -23,7 +28,28 @@ def stateful_asof(spark, sf):
     e = live_events(spark, sf).filter(F.col("event_type").isin("click", "error"))
     rows = e.select("line", "container_id", "event_id", "ts_us", (F.col("event_type") == "error").cast("int").alias("kind"),
                     (F.col("value") / 10).alias("x"), (F.col("k") / 10).alias("y"))
-    return R.drain(spark, "asof", SP.keyed(rows, SP.LastFix()))
+    return R.drain_ordered(spark, "asof", rows, SP.LastFix(), DELAY)
+
+
+@query("state_ttl", ("ev",), f"""WITH s AS (SELECT container_id, ts_us, sum(b) OVER (PARTITION BY container_id ORDER BY ts_us) AS g FROM (SELECT *,
+  CASE WHEN ts_us-lag(ts_us) OVER (PARTITION BY container_id ORDER BY ts_us)<={IDLE_US} THEN 0 ELSE 1 END AS b FROM ev))
+ SELECT container_id, min(ts_us) AS opened_us, max(ts_us) AS last_us, max(ts_us)+{IDLE_US} AS evicted_us, count(*) AS n FROM s GROUP BY container_id, g""")
+def state_ttl(spark, sf):
+    """Every stay of a device in state: opened by its first row, evicted after a pause, opened anew by a later row."""
+    return R.drain_ordered(spark, "ttl", live_events(spark, sf).select("container_id", "event_id", "ts_us"), SP.Activity(IDLE_US), DELAY)
+
+
+@query("stateful_asof_ttl", ("v_scores", "v_fix", "ev"), f"""WITH s AS (SELECT event_id, sum(b) OVER (PARTITION BY container_id ORDER BY ts_us) AS g FROM (SELECT *,
+  CASE WHEN ts_us-lag(ts_us) OVER (PARTITION BY container_id ORDER BY ts_us)<={IDLE_US} THEN 0 ELSE 1 END AS b FROM ev WHERE event_type IN ('click','error'))),
+ f AS (SELECT container_id, ts_us, s.g FROM ev JOIN s USING (event_id) WHERE event_type='click'),
+ j AS (SELECT a.*, s.g, f.g AS fg FROM ({_ASOF}) a JOIN s USING (event_id) LEFT JOIN f ON f.container_id=a.container_id AND f.ts_us=a.t_host_us)
+ SELECT line, container_id, event_id, ts_us, CASE WHEN g=fg THEN x END AS x, CASE WHEN g=fg THEN y END AS y, CASE WHEN g=fg THEN t_host_us END AS pos_t_host_us FROM j""")
+def stateful_asof_ttl(spark, sf):
+    """The live as-of join with forgetting: a position does not outlive the pause that evicts its device."""
+    e = live_events(spark, sf).filter(F.col("event_type").isin("click", "error"))
+    rows = e.select("line", "container_id", "event_id", "ts_us", (F.col("event_type") == "error").cast("int").alias("kind"),
+                    (F.col("value") / 10).alias("x"), (F.col("k") / 10).alias("y"))
+    return R.drain_ordered(spark, "asof-ttl", rows, SP.LastFix().forgetting(IDLE_US), DELAY)
 
 
 @query("stateful_alerts", ("v_alerts",), "SELECT * FROM v_alerts")
@@ -34,8 +60,8 @@ def stateful_alerts(spark, sf):
                      F.when(F.col("event_type") == "signup", "dismiss").otherwise("bearing wear").alias("label"))
     both = F.when(F.col("event_type").isin("purchase", "signup"), F.array(score, label)).otherwise(F.array(score))
     rows = e.select("container_id", "event_id", "ts_us", F.explode(both).alias("m")).select("container_id", "event_id", "ts_us", "m.*")
-    out = R.drain_upserts(spark, "alerts", SP.keyed(rows, SP.Alerts(), "Update"), ["container_id", "alert_id"], "version")
-    return out.drop("version")
+    out = R.drain_ordered(spark, "alerts", rows, SP.Alerts(), DELAY)
+    return R.newest(out, ["container_id", "alert_id"], "version").drop("version")
 
 
 @query("stateful_splitter", ("ev",), """SELECT s.event_id, round((s.k-50)*300/32768*coalesce(c.acc,4),9) AS acc_g, CAST(coalesce(c.acc,4) AS BIGINT) AS acc_range_g FROM
@@ -44,7 +70,7 @@ def stateful_alerts(spark, sf):
 def stateful_splitter(spark, sf):
     rows = live_events(spark, sf).select("container_id", "event_id", "ts_us", (F.col("event_type") != "signup").cast("int").alias("kind"),
                                          (2 + F.col("k") % 15).alias("acc_range"), ((F.col("k") - 50) * 300).alias("raw"))
-    out = R.drain(spark, "splitter", SP.keyed(rows, SP.Ranges()))
+    out = R.drain_ordered(spark, "splitter", rows, SP.Ranges(), DELAY)
     return out.select("event_id", F.round("acc_g", 9).alias("acc_g"), "acc_range_g")
 
 
@@ -53,7 +79,7 @@ def stateful_stage(spark, sf):
     """Online staging of raw window scores (the tests compare it with the batch form)."""
     rows = live_events(spark, sf).select(F.concat(F.lit("s"), (F.col("user_id") % 8).cast("string")).alias("session"), "event_id", "ts_us",
                                          F.least(F.col("value") / 100, F.lit(1.0)).alias("v"))
-    return R.drain(spark, "stage", SP.keyed(rows, SP.Stages(v_thr=0.45, dwell=3, release=4)))
+    return R.drain_ordered(spark, "stage", rows, SP.Stages(v_thr=0.45, dwell=3, release=4), DELAY)
 
 
 @query("stateful_shadow", ("ev",), """WITH d AS (SELECT container_id, CASE WHEN k<20 THEN abs(k/1000) WHEN user_id<40 THEN abs((k%30)/1000) ELSE abs((k%50)/150-0.02) END AS d FROM ev)
@@ -62,7 +88,7 @@ def stateful_stage(spark, sf):
 def stateful_shadow(spark, sf):
     d = F.when(F.col("k") < 20, F.col("k") / 1000).when(F.col("user_id") < 40, F.col("k") % 30 / 1000).otherwise(F.col("k") % 50 / 150 - 0.02)
     rows = live_events(spark, sf).select("container_id", "event_id", "ts_us", F.lit(0.0).alias("old_score"), d.alias("new_score"))
-    out = R.drain_upserts(spark, "shadow", SP.keyed(rows, SP.Shadow(), "Update"), ["container_id"], "n")
+    out = R.newest(R.drain_ordered(spark, "shadow", rows, SP.Shadow(), DELAY), ["container_id"], "n")
     return out.select("container_id", "n", F.round("sum_abs_delta", 6).alias("sum_abs_delta"), F.round("max_abs_delta", 6).alias("max_abs_delta"), "verdict")
 
 
@@ -74,12 +100,12 @@ def stateful_capture(spark, sf):
         "line", "event_id", "ts_us", (F.col("event_type") == "view").cast("int").alias("kind"),
         F.concat(F.lit("seg-"), (F.col("k") % 17 + 1).cast("string")).alias("segment"), F.concat(F.lit("fault-"), (F.col("k") % 5).cast("string")).alias("label"),
         ((F.col("k") >= 97) & (F.col("event_type") == "purchase")).alias("stop"))
-    return R.drain(spark, "capture", SP.keyed(rows, SP.Capture()))
+    return R.drain_ordered(spark, "capture", rows, SP.Capture(), DELAY)
 
 
 @query("stateful_localizer")
 def stateful_localizer(spark, sf):
-    """Position fixes from interleaved camera, inertial and magnetic rows (state machine; unit-tested on golden scenarios)."""
+    """Position fixes from interleaved camera, inertial and magnetic rows, in recorded time (tests: golden scenarios, one slice or many)."""
     e = live_events(spark, sf)
     k = F.col("k")
     rows = e.select(
@@ -88,7 +114,7 @@ def stateful_localizer(spark, sf):
         F.when(F.col("event_type") == "view", 2).when(F.col("event_type") == "signup", 1).otherwise(0).alias("kind"),
         ((k - 50) / 1000).alias("ax"), ((k * 7 % 100 - 50) / 1000).alias("ay"), (F.col("value") - 50).alias("gz"), (k * 37 % 100 - 30).cast("double").alias("mx"),
         (k * 53 % 100 - 20).cast("double").alias("my"), (k / 100).alias("dark"), (F.col("value") / 100).alias("net"))
-    return R.drain(spark, "localizer", SP.positions(rows, SP.Localizer(start_corner="BL", win_s=2.0)))
+    return LO.placed(R.drain_ordered(spark, "localizer", rows, LO.Localizer(win_s=2.0), "1 second"), "BL")
 
 
 @query("stream_tumbling_rate", ("v_scores",), f"""SELECT * FROM (SELECT ts_us//300000000*300000000 AS window_us, disposition, count(*) AS n, sum(bytes)/300.0::DOUBLE AS bytes_per_s FROM {_POLICED} GROUP BY 1,2)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, run_dir
+from .ordered import END_US, TIME, Ordered, keyed
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -26,12 +27,13 @@ def subject_filter(df: DataFrame, pattern: str, subject: str = "subject") -> Dat
     return df.filter(F.rlike(F.col(subject), subject_regex(F.lit(pattern))))
 
 
-def stream_files(spark: SparkSession, folder: str, name: str, files_per_batch: int = 100) -> DataFrame:
+def stream_files(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A stream over the table ``folder/name``, one file or a folder of part files.
 
-    The size of a micro-batch is bounded by its files.
+    The size of a micro-batch is bounded by its files: ``spark.beltline.filesPerBatch``, 100 where it is unset.
     """
     spark = stateful_session(spark)
+    files_per_batch = spark.conf.get("spark.beltline.filesPerBatch", "100")
     path = f"{folder}/{name}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     single = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
@@ -49,22 +51,51 @@ def drain(spark: SparkSession, name: str, stream: DataFrame, mode: str = "append
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def drain_upserts(spark: SparkSession, name: str, stream: DataFrame, keys, version: str) -> DataFrame:
-    """Update-mode streams: every batch appends its changed rows and the newest version per key is the table.
+def newest(rows: DataFrame, keys, version: str) -> DataFrame:
+    """The row of the highest version for each key."""
+    cols = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), version).alias("r")).select(*keys, "r.*")
 
-    Batches land in folders named by batch id, so a replayed batch overwrites itself (exactly once).
-    """
-    base = run_dir(spark, name)
+
+def batch_writer(out: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` sink: batches land in folders named by batch id, so a replayed batch overwrites itself (exactly once)."""
 
     def write(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
+        df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    return write
+
 
-    q = stream.writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint").foreachBatch(write).trigger(
-        availableNow=True).start()
+def drain_upserts(spark: SparkSession, name: str, stream: DataFrame, keys, version: str) -> DataFrame:
+    """Update-mode streams: every batch appends its changed rows and the newest version per key is the table."""
+    base = run_dir(spark, name)
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint").foreachBatch(
+        batch_writer(f"{base}/out")).trigger(availableNow=True).start()
     q.awaitTermination()
-    rows = spark.read.schema(stream.schema).parquet(f"{base}/out/batch=*")
-    cols = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), version).alias("r")).select(*keys, "r.*")
+    return newest(spark.read.schema(stream.schema).parquet(f"{base}/out/batch=*"), keys, version)
+
+
+def drain_ordered(spark: SparkSession, name: str, rows: DataFrame, processor: Ordered, delay: str = "10 minutes", progress: list | None = None) -> DataFrame:
+    """Everything that ``processor`` puts out for the stream ``rows``, to its end.
+
+    What is there now is processed first; then a mark beyond all event times lets the watermark release what
+    still waits, and idle keys go. ``progress`` collects the engine's figures of each micro-batch.
+    """
+    base = run_dir(spark, name)
+    spark.createDataFrame([], rows.schema).write.parquet(f"{base}/marks")
+    stream = keyed(rows, processor, delay, marks=spark.readStream.schema(rows.schema).parquet(f"{base}/marks"))
+
+    q = stream.writeStream.outputMode("append").option("checkpointLocation", f"{base}/checkpoint").foreachBatch(batch_writer(f"{base}/out")).start()
+    try:
+        q.processAllAvailable()
+        mark = [F.lit(END_US if f.name == TIME else None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+        spark.range(1).select(*mark).write.mode("append").parquet(f"{base}/marks")
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    if progress is not None:
+        progress.extend(q.recentProgress)
+    return spark.read.schema(stream.schema).parquet(f"{base}/out/batch=*")
 
 
 def sink_tables(folder: str) -> Callable[[DataFrame, int], None]:

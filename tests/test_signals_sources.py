@@ -1,8 +1,7 @@
-"""Signal helpers, file sources, SQL functions, messages and the live localizer on golden scenarios."""
+"""Signal helpers, file sources, SQL functions and messages."""
 
 import struct
 import wave
-from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 from beltline.functions import spectral as S
 from beltline.operators import lifecycle, messages
 from beltline.sources import logs, media, sessions
-from beltline.streaming.processors import Localizer
 
 
 def gain(sos, f):
@@ -116,47 +114,3 @@ def test_message_size_fixpoint(spark):
     base = spark.range(90, 1010).select(messages.json_size_fixpoint(F.col("id")).alias("b"), "id").collect()
     for r in base:
         assert r.b == r.id + len(str(r.b))
-
-
-def feed(loc, rows):
-    state, out = loc.start(), []
-    for kind, t, kw in rows:
-        row = SimpleNamespace(kind=kind, ts_us=int(round(t * 1e6)), event_id=0, **kw)
-        out += loc.step(state, row)
-    return state, out
-
-
-def yaw_rows(rate, t0=0.0):
-    return [(0, t0 + i * 0.1, dict(ax=0.0, ay=0.0, gz=rate if 10 <= i < 20 else 0.0)) for i in range(35)]
-
-
-def test_localizer_turn_and_motion():
-    state, out = feed(Localizer("BR"), yaw_rows(90.0))
-    assert [o[1] for o in out] == ["anchor"]
-    assert out[0][-1] == 2_000_000                          # the host clock of the row that ended the turn
-    jitter = [(0, i * 0.1, dict(ax=0.0, ay=0.0, gz=20.0 * (-1) ** i)) for i in range(60)]
-    assert feed(Localizer("BR"), jitter)[1] == []
-    still = [(0, i * 0.05, dict(ax=0.0, ay=0.0, gz=0.0)) for i in range(60)]
-    assert feed(Localizer(), still)[0]["stopped"]
-    shake = [(0, i * 0.05, dict(ax=0.2 * (-1) ** i, ay=0.0, gz=0.0)) for i in range(60)]
-    assert not feed(Localizer(), shake)[0]["stopped"]
-
-
-def test_localizer_wheels_and_legs():
-    def wheel(t):
-        return [(2, t, dict(dark=0.6, net=1.0)), (2, t + 0.1, dict(dark=0.1, net=0.0))]
-
-    loc = Localizer("BL")
-    state, _ = feed(loc, wheel(0) + wheel(1))
-    assert loc._cum(state) == 30
-    assert feed(loc, [(2, 0, dict(dark=0.6, net=0.0)), (2, 1, dict(dark=0.1, net=0.0))])[1] == []   # static shadow
-    state["stopped"] = True
-    for row in wheel(5):
-        loc.step(state, SimpleNamespace(kind=2, ts_us=int(row[1] * 1e6), event_id=0, **row[2]))
-    assert loc._cum(state) == 30                            # idle wheel is not counted
-    loc._corner(state)
-    assert loc._cum(state) == 160
-    state["wheels"] += 40
-    assert loc._cum(state) == 620                           # capped at the leg
-    loc._corner(state)
-    assert loc._cum(state) == 620
