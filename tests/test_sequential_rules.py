@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 
+from beltline.kernels import automata
 from beltline.kernels.automata import greedy_spacing
 from beltline.kernels.ordered import Seq
 from beltline.operators import baseline, evaluate, motion, sequences, staging
@@ -39,6 +40,24 @@ def test_stage_machine_matches_replay(spark):
     assert len(set(want)) > 2
 
 
+def test_finite_state_scan_on_both_levels(spark, monkeypatch):
+    """Many chunks in several groups of the upper level, a null key, chunks without rows, columns that ride along."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(automata, "FAN", 4)
+    n, table = 900, rng.integers(0, 6, (5, 6))
+    pdf = pd.DataFrame({"key": rng.choice(["hot", "b", None], n, p=[0.8, 0.1, 0.1]), "t": rng.permutation(n * 3)[:n] - 700, "x": rng.integers(0, 5, n), "note": [f"r{i}" for i in range(n)]})
+    got = automata.finite_state_scan(spark.createDataFrame(pdf), Seq.by_time(["key"], "t", [], 37), "x", table, "state", start=2).toPandas()
+    assert got.columns.tolist() == ["key", "t", "x", "note", "_chunk", "state"] and len(got) == n
+    for key in ("hot", "b", None):
+        part = got[got.key.isna() if key is None else got.key == key].sort_values("t")
+        state, want = 2, []
+        for x in part.x:
+            state = table[x, state]
+            want.append(state)
+        assert part.state.tolist() == want
+    assert got.set_index("note").x.to_dict() == pdf.set_index("note").x.to_dict()
+
+
 def test_stage_golden(spark):
     table, start = staging.stage_table(3, 2), 2
 
