@@ -11,6 +11,7 @@ from ..operators import sequences as Q
 from ..operators import staging as ST
 from . import bindings as B
 from .matching import RUNS_SQL, _laps
+from .oracle_views import staged_sql
 from .registry import query
 from .signals import CENTRED, FS, TF, centred_windows
 
@@ -374,13 +375,16 @@ def _staged(spark, sf):
     return ST.stage_machine(s, K, "center_us", "win_id", "rn", "v", v_thr=0.45, dwell=3, release=4)
 
 
-@query("stage_machine")
+_STAGED = "WITH RECURSIVE " + staged_sql("SELECT session, win_id AS id, rn, avg(score) OVER (PARTITION BY session ORDER BY rn ROWS 9 PRECEDING) AS v FROM v_win", 0.45, 3, 4)
+
+
+@query("stage_machine", ("v_win",), _STAGED + " SELECT session, id AS win_id, stage, trend FROM staged")
 def stage_machine(spark, sf):
     """Severity stages (sequential rule; replayed row by row in the tests)."""
     return _staged(spark, sf).select("session", "win_id", "stage", "trend")
 
 
-@query("stage_histogram")
+@query("stage_histogram", ("v_win",), _STAGED + ' SELECT session, ' + ', '.join(f'count(*) FILTER (WHERE stage={k}) AS "{k}"' for k in range(4)) + ' FROM staged GROUP BY 1')
 def stage_histogram(spark, sf):
     return _staged(spark, sf).groupBy("session").pivot("stage", [0, 1, 2, 3]).count().na.fill(0)
 

@@ -9,6 +9,7 @@ from ..streaming import runs as R
 from . import bindings as B
 from .boards import _CMD, _POLICED
 from .matching import _ASOF
+from .oracle_views import staged_sql
 from .registry import query
 
 
@@ -74,7 +75,8 @@ def stateful_splitter(spark, sf):
     return out.select("event_id", F.round("acc_g", 9).alias("acc_g"), "acc_range_g")
 
 
-@query("stateful_stage")
+@query("stateful_stage", ("ev",), "WITH RECURSIVE " + staged_sql("""SELECT session, event_id AS id, v, row_number() OVER (PARTITION BY session ORDER BY ts_us, event_id) AS rn
+  FROM (SELECT 's'||(user_id%8) AS session, event_id, ts_us, least(value/100,1.0::DOUBLE) AS v FROM ev)""", 0.45, 3, 4) + " SELECT session, id AS event_id, stage, trend FROM staged")
 def stateful_stage(spark, sf):
     """Online staging of raw window scores (the tests compare it with the batch form)."""
     rows = live_events(spark, sf).select(F.concat(F.lit("s"), (F.col("user_id") % 8).cast("string")).alias("session"), "event_id", "ts_us",

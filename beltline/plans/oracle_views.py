@@ -62,6 +62,21 @@ view("v_spans", (), """SELECT *, start_us+dur AS end_us, dur/1000 AS duration_ms
     FROM lineitem JOIN orders ON l_orderkey=o_orderkey)""")
 
 
+def staged_sql(source: str, v_thr: float, dwell: int, release: int) -> str:
+    """Severity stages of ``source`` (session, id, rn, v), one row after another: ``WITH`` items up to ``staged`` (session, id, rn, stage, trend)."""
+    return f"""sl AS (SELECT session, id, rn, v, CASE WHEN count(*) OVER f < 3 THEN 0 ELSE regr_slope(v, rn) OVER f END AS slope
+  FROM ({source}) WINDOW f AS (PARTITION BY session ORDER BY rn ROWS 59 PRECEDING)),
+st AS (SELECT session, 0::BIGINT AS rn, 0 AS stage, 0 AS up, 0 AS down FROM sl GROUP BY 1
+  UNION ALL SELECT session, rn, CASE
+    WHEN target>stage AND (target=1 OR up>={dwell}) THEN CASE WHEN stage>=1 THEN least(target, stage+1) ELSE target END
+    WHEN target>stage THEN greatest(stage, 1) WHEN target<stage AND down>={release} THEN target ELSE stage END, up, down
+  FROM (SELECT *, CASE WHEN up=0 THEN 0 WHEN up<{dwell} THEN 1 WHEN slope>0.001 AND stage>=2 THEN 3 ELSE 2 END AS target FROM (
+    SELECT sl.session, sl.rn, st.stage, sl.slope, CASE WHEN sl.v>={v_thr} THEN least(st.up+1, {dwell}) ELSE 0 END AS up,
+      CASE WHEN sl.v>={v_thr} THEN 0 ELSE least(st.down+1, {release}) END AS down FROM st JOIN sl ON sl.session=st.session AND sl.rn=st.rn+1))),
+staged AS (SELECT sl.session, sl.id, sl.rn, st.stage, CASE WHEN slope>0.001 THEN 'rising' WHEN slope<-0.001 THEN 'falling' ELSE 'stable' END AS trend
+  FROM sl JOIN st ON sl.session=st.session AND sl.rn=st.rn)"""
+
+
 def with_views(names, body: str) -> str:
     """``WITH`` clause for the named views and whatever they need, then the body."""
     order: list[str] = []
@@ -78,6 +93,8 @@ def with_views(names, body: str) -> str:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order)
     lead = body.lstrip()
+    if lead[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{lead[15:]}"
     if lead[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{lead[5:]}"
     return f"WITH {ctes}\n{body}"
