@@ -11,6 +11,7 @@ threshold is the lowest one at which the accepted of those are right often enoug
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -75,22 +76,28 @@ def snippets(raw: bytes, rng: np.random.Generator, lengths: tuple[int, ...]) ->
     return out
 
 
-def training_pieces(docs: DataFrame, per_language: int, lengths: tuple[int, ...], seed: int) -> DataFrame:
-    """(lang, fold, piece) of up to about ``per_language`` documents of each language, drawn by a hash of their text."""
-    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
-    share = {r["lang"]: min(1.0, per_language / r["n"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not share:
+def training_pieces(docs: DataFrame, per_language: int, lengths: tuple[int, ...], seed: int) -> DataFrame | None:
+    """(lang, fold, piece) of about ``per_language`` different texts of each language: those of the lowest hashes, copies once.
+
+    The hashes are compared on 62 bits with the share that is wanted of a language's different texts, so a language of
+    any size has its texts drawn. None if there is no labelled text.
+    """
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0").select("lang", "text", F.xxhash64("text", F.lit(seed)).alias("h"))
+    counts = labelled.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()
+    if not counts:
         return None
-    limit = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * 1_000_000))])
-    drawn = labelled.withColumn("h", F.xxhash64("text", F.lit(seed))).where(F.pmod("h", F.lit(1_000_000)) < limit[F.col("lang")])
+    limit = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1 << 62, (per_language << 62) // r["n"]))])
+    drawn = labelled.where(F.col("h").bitwiseAND(F.lit((1 << 62) - 1)) < limit[F.col("lang")]).dropDuplicates(["lang", "h"])
 
     def run(parts):
         for part in parts:
             lang, fold, piece = [], [], []
             for name, h, text in zip(part.column("lang").to_pylist(), part.column("h").to_pylist(), part.column("text").to_pylist()):
                 raw = text.lower().encode()
-                for x in snippets(raw, np.random.default_rng(h & 0x7FFFFFFF), lengths):
-                    lang.append(name), fold.append(h // 1_000_000 % 5), piece.append(x)
+                rng = np.random.default_rng(h & 0x7FFFFFFF)
+                mine = int(rng.integers(5))
+                for x in snippets(raw, rng, lengths):
+                    lang.append(name), fold.append(mine), piece.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(fold, pa.int64()), pa.array(piece, pa.binary())],
                                              ["lang", "fold", "piece"])
 
@@ -99,8 +106,9 @@ def training_pieces(docs: DataFrame, per_language: int, lengths: tuple[int, ...]
 
 def fit(docs: DataFrame, per_language: int = 1500, lengths: tuple[int, ...] = (24, 80, 240, 700), bits: int = 15, dim: int = 12,
         epochs: int = 4, rate: float = 0.4, precision: float = 0.99, most_rejecting: float = 0.5, seed: int = 7) -> LanguageModel | None:
-    """Train on (text, lang). ``per_language`` bounds the labelled documents drawn (about so many for each language),
-    ``lengths`` the bytes kept of each; the driver holds those pieces only. None if there is no labelled text."""
+    """Train on (text, lang). ``per_language`` bounds the labelled texts drawn (about so many different ones for each
+    language), ``lengths`` the bytes kept of each, 1,044 in all by default; the driver holds those pieces only, their
+    subwords in two flat arrays. None if there is no labelled text."""
     pieces = training_pieces(docs, per_language, lengths, seed)
     if pieces is None:
         return None
@@ -113,7 +121,13 @@ def fit(docs: DataFrame, per_language: int = 1500, lengths: tuple[int, ...] = (2
         u, c = np.unique(ids, return_counts=True)
         return u, (c / max(1, len(ids))).astype(np.float32)
 
-    bags = [bag(r[2]) for r in rows]
+    ids, weights, ends = array("H" if bits <= 16 else "I"), array("f"), [0]
+    for r in rows:
+        u, c = bag(r[2])
+        ids.frombytes(u.astype(ids.typecode).tobytes())
+        weights.frombytes(c.tobytes())
+        ends.append(len(ids))
+    ids, weights = np.frombuffer(ids, ids.typecode), np.frombuffer(weights, np.float32)
     label = np.array([names.index(r[0]) for r in rows])
     train = np.flatnonzero([r[1] > 0 for r in rows])
     held = np.flatnonzero([r[1] == 0 for r in rows])
@@ -122,7 +136,7 @@ def fit(docs: DataFrame, per_language: int = 1500, lengths: tuple[int, ...] = (2
     steps, at = max(1, epochs * len(train)), 0
     for _ in range(epochs):
         for i in rng.permutation(train):
-            u, c = bags[i]
+            u, c = ids[ends[i] : ends[i + 1]], weights[ends[i] : ends[i + 1]]
             step = np.float32(rate * (1 - at / steps))
             h = c @ embed[u]
             z = h @ out + bias
