@@ -107,12 +107,29 @@ def training_pieces(docs: DataFrame, per_language: int, lengths: tuple[int, ...]
 def fit(docs: DataFrame, per_language: int = 1500, lengths: tuple[int, ...] = (24, 80, 240, 700), bits: int = 15, dim: int = 12,
         epochs: int = 4, rate: float = 0.4, precision: float = 0.99, most_rejecting: float = 0.5, seed: int = 7) -> LanguageModel | None:
     """Train on (text, lang). ``per_language`` bounds the labelled texts drawn (about so many different ones for each
-    language), ``lengths`` the bytes kept of each, 1,044 in all by default; the driver holds those pieces only, their
-    subwords in two flat arrays. None if there is no labelled text."""
+    language), ``lengths`` the bytes kept of each, 1,044 in all by default. One task trains on these pieces, whose number does
+    not grow with the table; only the model reaches the driver. None if there is no labelled text."""
     pieces = training_pieces(docs, per_language, lengths, seed)
     if pieces is None:
         return None
-    rows = sorted((r["lang"], r["fold"], bytes(r["piece"])) for r in pieces.collect())
+
+    def run(parts):
+        rows = sorted(x for part in parts for x in zip(*(part.column(c).to_pylist() for c in ("lang", "fold", "piece"))))
+        if rows:
+            m = trained(rows, bits, dim, epochs, rate, precision, most_rejecting, seed)
+            yield pa.RecordBatch.from_pydict({"names": [m.names], "scores": [m.scores.tobytes()], "bias": [m.bias.tobytes()], "temperature": [m.temperature],
+                                              "reject_below": [m.reject_below]})
+
+    found = pieces.repartition(1).mapInArrow(run, "names array<string>, scores binary, bias binary, temperature double, reject_below double").collect()
+    if not found:
+        return None
+    m = found[0]
+    scores = np.frombuffer(bytes(m["scores"]), np.float32).reshape(1 << bits, len(m["names"]))
+    return LanguageModel(list(m["names"]), scores, np.frombuffer(bytes(m["bias"]), np.float32), m["temperature"], m["reject_below"], bits)
+
+
+def trained(rows: list[tuple[str, int, bytes]], bits: int, dim: int, epochs: int, rate: float, precision: float, most_rejecting: float, seed: int) -> LanguageModel:
+    """The model of sorted (lang, fold, piece): SGD on the folds from 1, temperature and threshold from fold 0. Subwords are held in two flat arrays."""
     names = sorted({r[0] for r in rows})
     rng = np.random.default_rng(seed)
 
