@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..kernels.ordered import Lag, Lead, RowNo, RunMax, Seq, islands, ordered, row_frame
+from ..kernels.ordered import Lag, Lead, RowNo, RunMax, RunSum, Seq, islands, ordered, row_frame
 from ..kernels.ranges import overlapping, points_in_intervals, touching
 from ..session import cut_lineage
 
@@ -179,13 +179,72 @@ def event_interval_match(detections, truths, keys, det_id, truth_id, tol, bucket
         tag(truths, hit_t, truth_id, "truth", "found", "missed"))
 
 
+def _ranked(runs: DataFrame, truths: DataFrame, keys, pad: int, block: int) -> DataFrame:
+    """Runs with lb and ub: how many truths end too early for the run, and how many begin early enough."""
+    def counted(left, at, other, of, first: int, out: str):
+        # ``first`` says whether a truth at the same place is counted
+        both = left.withColumns({"_at": at, "_truth": F.lit(0)}).unionByName(
+            other.select(*keys, of.alias("_at"), F.lit(1).alias("_truth")), allowMissingColumns=True)
+        both = both.withColumn("_tie", F.col("_truth") * (1 - 2 * first))
+        seq = Seq(tuple(keys), ("_at", "_tie"), f"(_at - pmod(_at, {block}L)) div {block}L", "_cell")
+        return ordered(both, seq, RunSum(out, "_truth")).filter("_truth = 0").drop("_at", "_truth", "_tie", "_cell")
+
+    lower = counted(runs, F.col("a"), truths, F.col("z") + 2 * pad, 1, "lb")
+    return counted(lower, F.col("z") + 2 * pad, truths, F.col("a"), 0, "ub")
+
+
+def _taken(p: int, lb, ub) -> tuple[int, int]:
+    """Runs in order, each taking the first free truth in [lb, ub): the next free one after them, and how many were taken."""
+    n = 0
+    for low, high in zip(lb, ub):
+        at = max(p, low)
+        if at < high:
+            p, n = at + 1, n + 1
+    return p, n
+
+
+def _match_in_order(runs: DataFrame, truths: DataFrame, keys, pad: int, block: int) -> DataFrame:
+    """keys, matched: pairs of an in-order one-to-one match, where neither runs nor truths lie within each other.
+
+    The first free truth only moves on, so it is all that a stretch of runs hands to the next. Runs are cut into chunks by their
+    place. On entering one the free truth lies between the first that reaches its first run and the first
+    that the run before cannot reach: a few, as such a truth lies within reach of both. Each chunk is
+    matched for every one of them, the summaries are chained along the key, and nothing is matched twice.
+    """
+    import pandas as pd
+
+    seq = Seq(tuple(keys), ("a", "z"), f"(a - pmod(a, {block}L)) div {block}L", "_cell")
+    rows = ordered(_ranked(runs, truths, keys, pad, block), seq, Lag("_before", "ub")).filter("ub > lb")
+    group = [*keys, "_cell"]
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in group)
+
+    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["a", "z"])
+        lb, ub, low = pdf["lb"].tolist(), pdf["ub"].tolist(), int(pdf["lb"].iloc[0])
+        before = pdf["_before"].iloc[0]
+        high = low if pd.isna(before) else max(low, int(before))
+        ends = [_taken(p, lb, ub) for p in range(low, high + 1)]
+        return pd.DataFrame([{**{g: pdf[g].iloc[0] for g in group}, "low": low, "leave": [e for e, _ in ends], "n": [n for _, n in ends]}])
+
+    summaries = rows.select(*group, "a", "z", "lb", "ub", "_before").groupBy(*group).applyInPandas(summarise, f"{kinds}, low bigint, leave array<bigint>, n array<bigint>")
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, matched = 0, 0
+        for low, leave, n in pdf.sort_values("_cell")[["low", "leave", "n"]].itertuples(index=False):
+            i = max(p, low) - low
+            p, matched = int(leave[i]), matched + int(n[i])
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "matched": matched}])
+
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return summaries.groupBy(*keys).applyInPandas(chain, f"{kinds}, matched bigint")
+
+
 def greedy_interval_match(runs: DataFrame, truths: DataFrame, keys, pad=3, block=100_000) -> DataFrame:
-    """Detected, false-positive and missed counts of an in-order one-to-one match.
+    """Detected, false-positive and missed counts of an in-order one-to-one match: each run takes the first free truth within reach.
 
-    Runs and truths of one activity stretch (padded spans that chain together) form a group; no run
-    can take a truth from another stretch, so each stretch is matched by itself.  With a single run
-    or a single truth the outcome follows from the counts, as neighbours in a chain always touch;
-    only stretches with several of both are replayed in order.
+    Runs are matched chunk by chunk, so a recording without a pause is no single task. That needs runs, and truths, that do
+    not lie within each other, as runs of frames do; where some do, their activity stretch (padded spans that chain
+    together) is matched by itself, replayed in order.
     """
     import pandas as pd
 
@@ -193,33 +252,33 @@ def greedy_interval_match(runs: DataFrame, truths: DataFrame, keys, pad=3, block
     rows = runs.select(*keys, F.lit(1).alias("is_run"), F.col("first_no").alias("a"), F.col("last_no").alias("z")).unionByName(
         truths.select(*keys, F.lit(0).alias("is_run"), F.col("first_no").alias("a"), F.col("last_no").alias("z")))
     seq = Seq(tuple(keys), ("a", "z", "is_run"), f"(a - pmod(a, {block}L)) div {block}L")
-    rows = ordered(rows, seq, RunMax("_top", "z"))
+    own = [RunMax(f"_top{k}", F.when(F.col("is_run") == k, F.col("z"))) for k in (0, 1)]
+    rows = ordered(rows, seq, RunMax("_top", "z"), *own)
     rows = islands(rows, seq, ["a", "_top"], f"cur.a - prev._top >= {2 * pad}", "stretch")
-    # The table of spans is small next to the frames and read twice below.
-    rows = cut_lineage(rows.select(*keys, "stretch", "is_run", "a", "z"))
+    within = F.col("z") < F.when(F.col("is_run") == 1, F.col("_top1")).otherwise(F.col("_top0"))
+    # The table of spans is small next to the frames and read several times below.
+    rows = cut_lineage(rows.select(*keys, "stretch", "is_run", "a", "z", within.alias("within")))
+    nested = cut_lineage(rows.filter("within").select(*keys, "stretch").distinct())
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = missed = detected = 0
+        matched = 0
         for _, part in pdf.sort_values(["stretch", "a", "z"]).groupby("stretch", sort=False):
             free = list(part.loc[part.is_run == 0, ["a", "z"]].itertuples(index=False, name=None))
             for a, z in part.loc[part.is_run == 1, ["a", "z"]].itertuples(index=False, name=None):
-                detected += 1
                 i = next((i for i, (ga, gz) in enumerate(free) if min(z, gz) - max(a, ga) + 2 * pad > 0), None)
-                if i is None:
-                    fp += 1
-                else:
+                if i is not None:
                     free.pop(i)
-            missed += len(free)
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "detected": detected, "fp": fp, "fn": missed}])
-
-    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", detected bigint, fp bigint, fn bigint"
-    size = rows.groupBy(*keys, "stretch").agg(F.sum("is_run").alias("r"), F.sum(1 - F.col("is_run")).alias("g"))
-    many = (F.col("r") >= 2) & (F.col("g") >= 2)
-    matched = F.least("r", "g", F.lit(1))
-    easy = size.filter(~many).select(*keys, F.col("r").alias("detected"), (F.col("r") - matched).alias("fp"), (F.col("g") - matched).alias("fn"))
-    hard = rows.join(size.filter(many).select(*keys, "stretch"), [*keys, "stretch"])
-    per = hard.groupBy(*keys, F.expr("stretch div 200")).applyInPandas(match, schema).unionByName(easy)
-    return per.groupBy(*keys).agg(F.sum("detected").alias("detected"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+                    matched += 1
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "matched": matched}])
+
+    flat = rows.join(nested, [*keys, "stretch"], "left_anti")
+    pairs = _match_in_order(flat.filter("is_run = 1").select(*keys, "a", "z"), flat.filter("is_run = 0").select(*keys, "a", "z"), keys, pad, block)
+    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", matched bigint"
+    deep = rows.join(nested, [*keys, "stretch"], "left_semi").drop("within").groupBy(*keys, F.expr("stretch div 200")).applyInPandas(match, schema)
+    sizes = rows.groupBy(*keys).agg(F.sum("is_run").alias("detected"), F.sum(1 - F.col("is_run")).alias("truths"))
+    found = pairs.unionByName(deep).groupBy(*keys).agg(F.sum("matched").alias("_m"))
+    matched = F.coalesce("_m", F.lit(0))
+    return sizes.join(found, keys, "left").select(*keys, "detected", (F.col("detected") - matched).alias("fp"), (F.col("truths") - matched).alias("fn"))
 
 
 def dedupe_anchors(gyro: DataFrame, recovered: DataFrame, keys, within_us=4_000_000) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as Window_
 from pyspark.sql import functions as F
 
 from ..kernels.ordered import Fill, Lag, Seq, ordered
 from ..operators.messages import parse_cfg
+from ..session import cut_lineage
 
 # Record layout (little-endian) and type tags.
 MAGIC = b"IMULOG01"
@@ -66,8 +68,141 @@ def explode_logs(files: DataFrame, name="path", content="content", batch=20_000)
     return files.select(name, content).mapInPandas(run, f"file string, ord bigint, t_start_us bigint, baud bigint, {RECORD}")
 
 
-def scan_logs(spark: SparkSession, path: str) -> DataFrame:
-    return explode_logs(spark.read.format("binaryFile").load(path))
+#: The record types a walk may meet; records that have to follow one another to accept a place as a start.
+TYPES = frozenset((META, CMD, IMU, STATUS, CAMERA, AUDIO))
+IN_A_ROW = 32
+
+
+def opened(path: str):
+    """A seekable stream over a file of any store that Arrow or the machine itself can open."""
+    if "://" not in path and not path.startswith("file:"):
+        return open(path, "rb")
+    if path.startswith("file:"):
+        return open("/" + path[5:].lstrip("/"), "rb")
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path)
+    return store.open_input_file(name)
+
+
+class Window:
+    """Bytes of a file from ``at`` on, read ahead in blocks as a walk asks for them."""
+
+    def __init__(self, stream, size: int, block: int = 1 << 20):
+        self.stream, self.size, self.block, self.start, self.data = stream, size, block, 0, b""
+
+    def bytes(self, at: int, n: int) -> bytes:
+        """``n`` bytes at ``at``, fewer at the end of the file."""
+        if at < self.start or at + n > self.start + len(self.data):
+            self.stream.seek(at)
+            self.start, self.data = at, self.stream.read(min(max(n, self.block), max(0, self.size - at)))
+        return self.data[at - self.start : at - self.start + n]
+
+    def head(self, at: int) -> tuple[int, int] | None:
+        """(type, place of the next record) of the record at ``at``; None if it is cut off."""
+        h = self.bytes(at, RECORD_HEADER)
+        if len(h) < RECORD_HEADER:
+            return None
+        after = at + RECORD_HEADER + int.from_bytes(h[9:11], "little")
+        return None if after > self.size else (h[0], after)
+
+
+def resynchronised(w: Window, low: int, high: int) -> int:
+    """The first place in [low, high) from which records follow one another, known types all, ``IN_A_ROW`` times or to the end; -1."""
+    for at in range(low, high):
+        place, n = at, 0
+        while n < IN_A_ROW and (h := w.head(place)) is not None and h[0] in TYPES:
+            place, n = h[1], n + 1
+        if n == IN_A_ROW or n and h is None:
+            return at
+    return -1
+
+
+def log_ranges(spark: SparkSession, path: str, range_bytes: int = 64 << 20) -> DataFrame:
+    """file, size, low, high of the byte ranges of all log files under ``path``; one row for each range, none of file content."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    rows = [(x.getPath().toString(), x.getLen()) for x in found if x.isFile()]
+    files = spark.createDataFrame(rows, "file string, size bigint").repartition(max(1, len(rows)))
+    return files.select("file", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.col("size") - 1), F.lit(range_bytes))).alias("low")) \
+        .withColumn("high", F.least(F.col("low") + range_bytes, F.col("size")))
+
+
+def _range_starts(ranges: DataFrame) -> DataFrame:
+    """``ranges`` with start, the place of the first record (given, or else guessed), leave, where the walk from it leaves the range, and n, its records.
+
+    The first range of a file starts behind the file's header, if that is one. A range without a start, in the midst of a long
+    record, has -1 for both.
+    """
+    def run(batches):
+        for pdf in batches:
+            starts, leaves, counts = [], [], []
+            for file, size, low, high, given in zip(pdf["file"], pdf["size"], pdf["low"], pdf["high"], pdf["given"]):
+                with opened(file) as stream:
+                    w = Window(stream, int(size))
+                    if given >= -1:
+                        at = int(given)
+                    elif low == 0:
+                        at = FILE_HEADER if w.bytes(0, 8) == MAGIC and size >= FILE_HEADER else -1
+                    else:
+                        at = resynchronised(w, int(low), int(high))
+                    starts.append(at)
+                    n = 0
+                    while 0 <= at < high and (h := w.head(at)) is not None:
+                        at, n = h[1], n + 1
+                    leaves.append(at)
+                    counts.append(n)
+            yield pdf.assign(start=starts, leave=leaves, n=counts)
+
+    return ranges.mapInPandas(run, "file string, size bigint, low bigint, high bigint, given bigint, start bigint, leave bigint, n bigint")
+
+
+def scan_logs(spark: SparkSession, path: str, range_bytes: int = 64 << 20, batch: int = 20_000) -> DataFrame:
+    """``(file, ord, t_start_us, baud, rec_type, t_host_us, payload)`` of all whole records, read in byte ranges.
+
+    A range guesses its first record by a chain of lengths and walks on; its neighbours confirm the guess, as a walk must
+    arrive where the next one starts. Ranges that were guessed wrong (a payload may look like records) are walked
+    again from where their neighbour arrived, until all agree, so the records are those of one walk over the
+    file. ``at`` is the record's place in it. A cut-off tail ends a file; unreadable headers give no rows.
+    """
+    order = Window_.partitionBy("file").orderBy("low")
+    known = cut_lineage(_range_starts(log_ranges(spark, path, range_bytes).withColumn("given", F.lit(-2).cast("bigint")).repartition(F.col("file"), F.col("low"))))
+    while True:
+        # where the walk before arrives: at a start in this range, or beyond it, where it has none; a stop before it (cut-off tail) leaves none either
+        came = F.lag("leave").over(order)
+        want = F.when(F.col("low") == 0, F.col("start")).when((came >= F.col("low")) & (came < F.col("high")), came).otherwise(-1)
+        passed = F.when((came >= F.col("high")), came).otherwise(-1)
+        checked = known.withColumns({"want": want, "passed": passed})
+        wrong = cut_lineage(checked.where("start <> want OR (want = -1 AND low > 0 AND leave <> passed)"))
+        if wrong.isEmpty():
+            break
+        again = _range_starts(wrong.select("file", "size", "low", "high", F.col("want").alias("given")).repartition(F.col("file"), F.col("low")))
+        again = again.join(wrong.select("file", "low", "want", "passed"), ["file", "low"]).withColumn("leave", F.when(F.col("want") == -1, F.col("passed")).otherwise(F.col("leave")))
+        rest = known.join(wrong.select("file", "low"), ["file", "low"], "left_anti")
+        known = cut_lineage(rest.unionByName(again.select(*known.columns)))
+
+    cols = ["file", "ord", "t_start_us", "baud", "rec_type", "t_host_us", "payload"]
+
+    def read(batches):
+        for pdf in batches:
+            for file, size, high, at, number in zip(pdf["file"], pdf["size"], pdf["high"], pdf["start"], pdf["first"]):
+                with opened(file) as stream:
+                    w = Window(stream, int(size))
+                    head = w.bytes(0, FILE_HEADER)
+                    start, baud = int.from_bytes(head[8:16], "little"), int.from_bytes(head[16:20], "little")
+                    rows, at = [], int(at)
+                    while at < high and (h := w.head(at)) is not None:
+                        data = w.bytes(at, h[1] - at)
+                        rows.append((file, int(number), start, baud, h[0], int.from_bytes(data[1:9], "little"), data[RECORD_HEADER:]))
+                        at, number = h[1], number + 1
+                        if len(rows) == batch:
+                            yield pd.DataFrame(rows, columns=cols)
+                            rows = []
+                    yield pd.DataFrame(rows, columns=cols)
+
+    first = F.coalesce(F.sum("n").over(order.rowsBetween(Window_.unboundedPreceding, -1)), F.lit(0))
+    starts = known.withColumn("first", first).where("n > 0").select("file", "size", "low", "high", "start", "first").repartition(F.col("file"), F.col("low"))
+    return starts.mapInPandas(read, f"file string, ord bigint, t_start_us bigint, baud bigint, {RECORD}")
 
 
 # Payload layouts.

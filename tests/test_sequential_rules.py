@@ -182,6 +182,33 @@ def test_greedy_interval_match(spark):
     assert (got.detected, got.fp, got.fn) == (30, fp, 30 - len(used))
 
 
+def in_order(runs, truths, pad):
+    used, fp = set(), 0
+    for a, z in runs:
+        i = next((i for i, (p, q) in enumerate(truths) if i not in used and min(z, q) - max(a, p) + 2 * pad > 0), None)
+        used |= {i} if i is not None else set()
+        fp += i is None
+    return len(runs), fp, len(truths) - len(used)
+
+
+def test_interval_match_without_a_pause(spark):
+    """One recording whose spans all chain together, cut into many chunks; long runs over many truths; nested spans; one side empty."""
+    rng = np.random.default_rng(12)
+
+    def disjoint(n, step, length):
+        a = np.cumsum(rng.integers(1, step, n)) + np.cumsum(np.r_[0, (size := rng.integers(0, length, n))[:-1]])
+        return [(int(x), int(x + k)) for x, k in zip(a, size)]
+
+    cases = {"dense": (disjoint(400, 4, 3), disjoint(380, 4, 3)), "long": (disjoint(60, 3, 30), disjoint(500, 4, 2)), "wide": (disjoint(500, 4, 2), disjoint(60, 3, 30)),
+             "same": ([(i * 2, i * 2) for i in range(300)],) * 2, "nested": ([(0, 500), (3, 9), (20, 30)], sorted([(1, 400), (2, 3), (25, 26)])), "alone": (disjoint(5, 9, 2), []),
+             "missed": ([], disjoint(6, 9, 2))}
+    rows = [[(k, a, z) for k, pair in cases.items() for a, z in pair[i]] for i in (0, 1)]
+    runs, truths = (spark.createDataFrame(r, "key string, first_no long, last_no long") for r in rows)
+    for pad, block in ((3, 17), (1, 64), (3, 100_000)):
+        got = {r.key: (r.detected, r.fp, r.fn) for r in sequences.greedy_interval_match(runs, truths, ["key"], pad, block).collect()}
+        assert got == {k: in_order(*pair, pad) for k, pair in cases.items()}
+
+
 def test_runs_golden(spark):
     def spans(flags, k=3):
         pdf = pd.DataFrame({"s": "a", "t": np.arange(len(flags)) * 10, "id": np.arange(len(flags)), "f": np.array(flags, bool)})

@@ -87,6 +87,36 @@ def test_wav_and_log_files(spark, tmp_path):
     assert merged.count() == 10 and {r.baud for r in merged.collect()} == {115200}
 
 
+def log_bytes(rng, n, tail=b"", nested=False):
+    """A log of ``n`` records of all types; payloads are noise, or look like records themselves."""
+    out = [b"IMULOG01" + struct.pack("<QI", 5, 115200)]
+    for i in range(n):
+        size = int(rng.integers(0, 60))
+        body = rng.bytes(size)
+        if nested and i % 3 == 0:
+            body = b"".join(struct.pack("<BQH", 0x10, 7, 4) + b"fake" for _ in range(60))
+        out.append(struct.pack("<BQH", [1, 2, 0x10, 0x20, 0x30, 0x40][i % 6], 1000 + i, len(body)) + body)
+    return b"".join(out) + tail
+
+
+def test_logs_are_read_in_ranges(spark, tmp_path):
+    """Small ranges against one walk over each file: noise, payloads that look like records, long records over whole ranges, cut-off tails."""
+    rng = np.random.default_rng(4)
+    long = struct.pack("<BQH", 0x40, 9, 6_500) + rng.bytes(6_500)
+    files = {"noise": log_bytes(rng, 900), "cut": log_bytes(rng, 300, b"\x10" + rng.bytes(9)), "cut2": log_bytes(rng, 300, struct.pack("<BQH", 0x10, 9, 500) + b"short"),
+             "nested": log_bytes(rng, 120, nested=True), "long": log_bytes(rng, 50) + long + log_bytes(rng, 50)[20:], "bare": log_bytes(rng, 0), "bad": b"nope" * 2000, "empty": b""}
+    for name, data in files.items():
+        (tmp_path / f"{name}.log").write_bytes(data)
+    got = {}
+    for r in logs.scan_logs(spark, str(tmp_path / "*.log"), range_bytes=2_000, batch=50).collect():
+        got.setdefault(r.file.rsplit("/", 1)[1][:-4], []).append((r.ord, r.rec_type, r.t_host_us, bytes(r.payload)))
+    for name, data in files.items():
+        want = [(i, *x) for i, x in enumerate(logs._walk(data))] if data[:8] == logs.MAGIC else []
+        assert sorted(got.get(name, [])) == want, name
+    ranges = logs.log_ranges(spark, str(tmp_path / "noise.log"), 2_000)
+    assert ranges.count() > 10 and ranges.agg(F.sum(F.col("high") - F.col("low"))).first()[0] == len(files["noise"])
+
+
 def test_sql_functions(spark):
     from beltline.functions.sql import register
 
