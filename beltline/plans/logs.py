@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import run_dir
 from ..sources import logs as L
 from . import bindings as B
 from .registry import query
@@ -61,6 +62,32 @@ def explode_log_files(spark, sf):
         F.count(F.lit(1)).alias("n_records"), F.sum(F.split("file", r"\|")[1].cast("bigint")).alias("id_sum"))
 
 
+@query("scan_log_ranges", ("ev",), """SELECT container_id AS file, count(*) AS n_records, CAST(sum(ord) AS BIGINT) AS ord_sum, CAST(sum(n) AS BIGINT) AS payload_bytes,
+ CAST(max(ts_us) AS BIGINT) AS last_us FROM (SELECT *, row_number() OVER (PARTITION BY container_id, ts_us//86400000000 ORDER BY ts_us, event_id)-1 AS ord,
+ CASE WHEN event_type='click' THEN 24 WHEN event_type='view' THEN 18 WHEN event_type='purchase' THEN 8+CASE WHEN k>20 THEN length(props) ELSE 0 END
+  WHEN event_type='error' THEN 8+length(props) ELSE 18 END AS n FROM ev) GROUP BY 1""")
+def scan_log_ranges(spark, sf):
+    """Log files of a device and day, with cut-off tails, written by Spark to the shared folder and read back in small byte ranges."""
+    folder = run_dir(spark, "logs")
+    head = b"IMULOG01" + struct.pack("<QI", B.ORIGIN_US, 115200)
+    day = F.expr("ts_us div 86400000000")
+    files = framed(spark, sf).groupBy("container_id", day.alias("day")).agg(F.sort_array(F.collect_list(F.struct("ts_us", "event_id", "data"))).alias("r")) \
+        .select(F.concat_ws("+", "container_id", F.col("day").cast("string")).alias("name"), F.col("r.data").alias("records"))
+
+    def write(batches):
+        for pdf in batches:
+            for name, parts in zip(pdf["name"], pdf["records"]):
+                L.saved(f"{folder}/{name}.log", head + b"".join(parts) + b"\x10\xff")
+            yield pdf[["name"]]
+
+    spark.createDataFrame([], "name string").write.parquet(f"{folder}/names")
+    files.mapInPandas(write, "name string").write.mode("append").parquet(f"{folder}/names")
+    r = L.scan_logs(spark, f"{folder}/*.log", range_bytes=1024)
+    device = F.split(F.regexp_extract("file", r"([^/]+)\.log$", 1), r"\+")[0]
+    return r.groupBy(device.alias("file")).agg(F.count(F.lit(1)).alias("n_records"), F.sum("ord").alias("ord_sum"),
+                                               F.sum(F.octet_length("payload")).cast("bigint").alias("payload_bytes"), F.max("t_host_us").alias("last_us"))
+
+
 @query("scale_imu", ("ev",), f"""WITH {_RNG} SELECT event_id AS ord, round((k-50)*300/32768*r,9) AS acc_x_g, round((k-50)*50/32768*2000,9) AS gyr_x_dps, round(23+k*5/512,9) AS temp_c,
  CASE WHEN event_type='click' THEN round((k-50)*7/256,9) ELSE 0 END AS mag_x_ut, round((ts_us-1704067200000000)/1e6,6) AS t_rel_s FROM ev JOIN rg USING (event_id) WHERE event_type IN ('click','view')""")
 def scale_imu(spark, sf):

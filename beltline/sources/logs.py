@@ -85,6 +85,21 @@ def opened(path: str):
     return store.open_input_file(name)
 
 
+def saved(path: str, data: bytes) -> None:
+    """Write a file in whatever store ``path`` names; a repeated task writes the same again."""
+    if "://" not in path and not path.startswith("file:"):
+        with open(path, "wb") as out:
+            out.write(data)
+    elif path.startswith("file:"):
+        saved("/" + path[5:].lstrip("/"), data)
+    else:
+        from pyarrow import fs
+
+        store, name = fs.FileSystem.from_uri(path)
+        with store.open_output_stream(name) as out:
+            out.write(data)
+
+
 class Window:
     """Bytes of a file from ``at`` on, read ahead in blocks as a walk asks for them."""
 
