@@ -64,36 +64,78 @@ def operating_point(df: DataFrame, keys, fpr_target: float, score="score", y="y"
         (1 - F.sum(hit * F.col("y")) / F.greatest(F.lit(1), F.sum("y"))).alias("fnr"))
 
 
-def poisson_weight(*parts: Column) -> Column:
-    """A Poisson(1) draw that depends only on ``parts`` (safe to recompute after a lost task)."""
-    u = F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) / float(1 << 52)
-    cdf, p, w = 0.0, float(np.exp(-1)), F.lit(0)
-    for k in range(1, 12):
-        cdf += p
-        p /= k
-        w = w + (u > cdf).cast("int")
-    return w
+POISSON_UNIT, POISSON_LUMP = 1, 16  # means of the two draws that make up any whole mean
+
+
+def poisson_cdf(mean: int) -> list[float]:
+    """The distribution function of a Poisson variable as far as a 52 bit draw can tell it from 1."""
+    out, p, c, k = [], float(np.exp(-mean)), 0.0, 0
+    while 1 - c > 2.0 ** -52 and k < 20 * mean + 20:
+        c += p
+        out.append(c)
+        k += 1
+        p *= mean / k
+    return out
+
+
+def poisson_total(m: Column, *parts: Column) -> Column:
+    """A Poisson draw of whole mean ``m``: lumps of 16 and units, each drawn from the md5 of ``parts`` and its number.
+
+    Sums of Poisson draws are Poisson, so this is exact for any ``m``, and a value that stands for many rows costs a
+    sixteenth of them. It depends on nothing but ``parts`` and is the same after a lost task.
+    """
+    lumps, cdf = (m / POISSON_LUMP).cast("bigint"), {k: F.array(*[F.lit(c) for c in poisson_cdf(k)]) for k in (POISSON_UNIT, POISSON_LUMP)}
+
+    def draw(i: Column) -> Column:
+        u = F.conv(F.substring(F.md5(F.concat_ws("|", *[x.cast("string") for x in (*parts, i)])), 1, 13), 16, 10).cast("double") / float(1 << 52)
+        below = F.when(i < lumps, cdf[POISSON_LUMP]).otherwise(cdf[POISSON_UNIT])
+        return F.size(F.filter(below, lambda c: c <= u)).cast("bigint")
+
+    count = lumps + F.pmod(m, F.lit(POISSON_LUMP))
+    return F.when(m > 0, F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.greatest(count, F.lit(1)) - 1), F.lit(0).cast("bigint"),
+                                     lambda s, i: s + draw(i))).otherwise(F.lit(0).cast("bigint"))
 
 
 def bootstrap_mean_ci(df: DataFrame, keys, ident, value, b=1000, seed=0) -> DataFrame:
-    """Mean with its 95 % interval from Poisson resampling; replicates combine before the shuffle."""
-    w = poisson_weight(F.lit(seed), F.col("_r"), F.col(ident))
-    reps = df.select(*keys, ident, value, F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("_r")).groupBy(*keys, "_r").agg(
-        (F.sum(w * F.col(value)) / F.sum(w)).alias("_m"))
+    """Mean with its 95 % interval from Poisson resampling of the distinct values.
+
+    Equal values of a key are one row, named by the least ``ident`` among them; its weight in a replicate is one draw
+    with the number of rows as mean. Only distinct values and one sum per replicate and task are shuffled. Null and NaN
+    values are left out, as are null keys.
+    """
+    keys = list(keys)
+    v = F.col(value).cast("double")
+    per = df.select(*keys, ident, v.alias("_v")).filter("_v IS NOT NULL AND NOT isnan(_v)").groupBy(*keys, "_v").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(ident).alias("_id"))
+    w = poisson_total(F.col("_n"), F.lit(seed), F.col("_r"), F.col("_id"))
+    reps = per.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).withColumn("_w", w).groupBy(*keys, "_r").agg(
+        F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum("_w")).alias("_m"))
     ci = reps.groupBy(*keys).agg(F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975))).alias("_ci"))
-    mean = df.groupBy(*keys).agg(F.avg(value).alias("mean"))
-    return mean.join(ci, list(keys)).select(*keys, "mean", F.col("_ci")[0].alias("lo"), F.col("_ci")[1].alias("hi"))
+    mean = per.groupBy(*keys).agg((F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"))
+    return mean.join(ci, keys).select(*keys, "mean", F.col("_ci")[0].alias("lo"), F.col("_ci")[1].alias("hi"))
+
 
+def bootstrap_auc_ci(df: DataFrame, keys, ident, score="score", y="y", b=200, seed=0, bands=64) -> DataFrame:
+    """AUC with its 95 % interval from Poisson resampling of the distinct scores, classes drawn apart.
 
-def bootstrap_auc_ci(df: DataFrame, keys, ident, score="score", y="y", b=200, seed=0) -> DataFrame:
+    The distinct scores are dealt to tasks by bands of their order and meet their replicates only there; a band hands on
+    its own wins and class weights, which are summed over the bands of a replicate. Replicates without a class are left out.
+    """
     keys = list(keys)
-    w = poisson_weight(F.lit(seed), F.col("_r"), F.col(ident))
-    reps = df.select(*keys, F.col(score).cast("double").alias("s"), F.col(y).alias("y"), ident,
-                     F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("_r")).withColumn("_w", w)
-    k = [*keys, "_r"]
-    # Replicates of one key share its bands, so a replicate is no larger a task than the key itself.
-    cum = cumulative_by_value(reps, k, "s", {"pos": "sum(_w * y)", "neg": "sum(_w * (1 - y))"}, bands=16)
-    a = cum.groupBy(*k).agg(F.try_divide(F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("_a"))
+    rows = _labelled(df.withColumn("_ident", F.col(ident)), [*keys, "_ident"], score, y)
+    per = rows.groupBy(*keys, "s").agg(F.sum("y").alias("_p"), F.sum(1 - F.col("y")).alias("_q"), F.min("_ident").alias("_id"))
+    cuts = per.groupBy(*keys).agg(F.percentile_approx("s", [i / bands for i in range(1, bands)], 16 * bands).alias("_cuts"))
+    band = F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= F.col("s")))
+    dealt = per.join(cuts, keys).withColumn("_band", band).drop("_cuts").repartition(*keys, "_band")
+    drawn = dealt.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).select(
+        *keys, "_band", "_r", "s", *[poisson_total(F.col(n), F.lit(seed), F.lit(c), F.col("_r"), F.col("_id")).alias(n) for n, c in (("_p", "p"), ("_q", "n"))])
+    k = [*keys, "_band", "_r"]
+    upto = F.sum("_q").over(Window.partitionBy(*k).orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
+    inside = drawn.withColumn("_c", upto).groupBy(*k).agg(
+        F.sum(F.col("_p") * (F.col("_c") - F.col("_q") / 2)).alias("_u"), F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
+    lower = F.coalesce(F.sum("_q").over(Window.partitionBy(*keys, "_r").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    a = inside.withColumn("_l", lower).groupBy(*keys, "_r").agg(
+        F.try_divide(F.sum(F.col("_u") + F.col("_p") * F.col("_l")), (F.sum("_p") * F.sum("_q")).cast("double")).alias("_a"))
     ci = a.groupBy(*keys).agg(F.percentile("_a", F.array(F.lit(0.025), F.lit(0.975))).alias("_ci"))
     return auc(df, keys, score, y).join(ci, keys).select(*keys, "auc", F.col("_ci")[0].alias("lo"), F.col("_ci")[1].alias("hi"))
 

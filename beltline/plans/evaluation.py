@@ -139,15 +139,32 @@ def operating_point_fpr(spark, sf):
     return o.select("recording", F.round("thr", 6).alias("thr"), F.round("fpr", 9).alias("fpr"), F.round("fnr", 9).alias("fnr"))
 
 
-@query("bootstrap_ci")
+def _poisson_sql(mean: str, *parts: str) -> str:
+    """A list of the draws that ``poisson_total`` sums, for a row whose mean is the column ``mean``."""
+    u = f"CAST('0x'||substr(md5(concat_ws('|',{','.join(parts)},i)),1,13) AS BIGINT)/4503599627370496::DOUBLE"
+    lists = [str(V.poisson_cdf(k)) + "::DOUBLE[]" for k in (V.POISSON_LUMP, V.POISSON_UNIT)]
+    return (f"coalesce(list_sum(list_transform(range(CAST({mean}//16+{mean}%16 AS BIGINT)), "
+            f"lambda i: len(list_filter(CASE WHEN i<{mean}//16 THEN {lists[0]} ELSE {lists[1]} END, lambda c: c<={u})))),0)")
+
+
+@query("bootstrap_ci", ("v_clips",), f"""WITH d AS (SELECT recording, score, count(*) AS n, min(clip) AS id FROM v_clips WHERE score IS NOT NULL GROUP BY 1,2),
+ w AS (SELECT recording, score, r, {_poisson_sql('n', '0', 'r', 'id')} AS w FROM d, range(500) t(r)),
+ m AS (SELECT recording, sum(w*score)/nullif(sum(w),0) AS m FROM w GROUP BY recording, r),
+ c AS (SELECT recording, quantile_cont(m,0.025) AS lo, quantile_cont(m,0.975) AS hi FROM m GROUP BY 1)
+ SELECT recording, round(mean,6) AS mean, round(lo,6) AS lo, round(hi,6) AS hi FROM (SELECT recording, avg(score) AS mean FROM v_clips GROUP BY 1) JOIN c USING (recording)""")
 def bootstrap_ci(spark, sf):
     """95 % interval of the mean by hashed Poisson resampling."""
-    return V.bootstrap_mean_ci(clips(spark, sf), ["recording"], "clip", "score", b=500)
+    return _r(V.bootstrap_mean_ci(clips(spark, sf), ["recording"], "clip", "score", b=500), ["recording"])
 
 
-@query("bootstrap_auc_ci")
+@query("bootstrap_auc_ci", ("v_clips",), f"""WITH {_AUC}, d AS (SELECT recording, score, count(*) FILTER (y=1) AS p, count(*) FILTER (y=0) AS q, min(clip) AS id FROM v_clips GROUP BY 1,2),
+ x AS (SELECT recording, score, r, {_poisson_sql('p', '0', "'p'", 'r', 'id')} AS p, {_poisson_sql('q', '0', "'n'", 'r', 'id')} AS q FROM d, range(100) t(r)),
+ k AS (SELECT recording, r, p, q, sum(q) OVER (PARTITION BY recording, r ORDER BY score) AS c FROM x),
+ m AS (SELECT recording, sum(p*(c-q/2.0::DOUBLE))/nullif(sum(p)*sum(q),0) AS a FROM k GROUP BY recording, r),
+ c AS (SELECT recording, quantile_cont(a,0.025) AS lo, quantile_cont(a,0.975) AS hi FROM m GROUP BY 1)
+ SELECT recording, round(u/(p*n),6) AS auc, round(lo,6) AS lo, round(hi,6) AS hi FROM au LEFT JOIN w USING (recording) JOIN c USING (recording)""")
 def bootstrap_auc_ci(spark, sf):
-    return V.bootstrap_auc_ci(clips(spark, sf), ["recording"], "clip", b=100)
+    return _r(V.bootstrap_auc_ci(clips(spark, sf), ["recording"], "clip", b=100), ["recording"])
 
 
 @query("avg_rank", ("v_clips",), "SELECT clip, recording, rank() OVER (PARTITION BY recording ORDER BY score)+(count(*) OVER (PARTITION BY recording, score)-1)/2 AS rank FROM v_clips")
