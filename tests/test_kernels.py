@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from beltline.kernels.ordered import (BackFill, Fill, Lag, Lead, RowNo, RunMax, RunSum, Seq,
                                       cumulative_by_value, islands, ordered, range_frame, row_frame)
@@ -70,13 +71,10 @@ def test_row_and_range_frames(spark, frame):
         assert r.n == ((other >= r.t - 40) & (other <= r.t + 10)).sum()
 
 
-def test_exact_percentiles_bracketed(spark, frame, monkeypatch):
-    import beltline.kernels.quantiles as Q
-
+def test_exact_percentiles_bracketed(spark, frame):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"key": np.where(rng.random(30_000) < 0.6, "hot", "b"),
                         "x": np.round(rng.lognormal(0, 2, 30_000), 3)})
-    monkeypatch.setattr(Q, "_SMALL", 500)
     got = exact_percentiles(spark.createDataFrame(pdf), ["key"], "x",
                             {"lo": 0.0, "med": 0.5, "p99": 0.99, "hi": 1.0}).toPandas().set_index("key")
     for key, part in pdf.groupby("key"):
@@ -86,6 +84,29 @@ def test_exact_percentiles_bracketed(spark, frame, monkeypatch):
     np.testing.assert_allclose(got.med[0], np.median(pdf.x))
 
 
+def test_exact_percentiles_of_groups_of_every_size(spark):
+    """Ranks next to a bracket count as well, as the brackets of small groups hold one value."""
+    rng = np.random.default_rng(6)
+    pdf = pd.concat([pd.DataFrame({"key": n, "x": np.round(rng.normal(0, 3, n), 1)}) for n in (*range(1, 40), 500, 2501, 6000)])
+    probs = {"p0": 0.0, "p1": 0.001, "p10": 0.1, "q1": 0.25, "third": 1 / 3, "med": 0.5, "p95": 0.95, "p999": 0.999, "p100": 1.0}
+    got = exact_percentiles(spark.createDataFrame(pdf), ["key"], "x", probs).toPandas().set_index("key")
+    assert len(got) == 42
+    for key, part in pdf.groupby("key"):
+        np.testing.assert_allclose(got.loc[key, list(probs)].astype(float), np.quantile(part.x, list(probs.values())), atol=1e-12)
+
+
+def test_exact_percentiles_of_one_value_of_a_long_tail_and_of_nothing(spark):
+    rng = np.random.default_rng(7)
+    tail = np.concatenate([rng.pareto(0.5, 60_000), np.full(40_000, 2.0), [1e300, -1e300]])
+    df = spark.createDataFrame(pd.DataFrame({"x": tail}))
+    got = exact_percentiles(df, [], "x", {"a": 0.3, "b": 0.9995, "c": 1.0}).first()
+    np.testing.assert_allclose([got.a, got.b, got.c], np.quantile(tail, [0.3, 0.9995, 1.0]))
+    assert exact_percentiles(df.select(F.lit(3.0).alias("x")), [], "x", {"a": 0.9}).first().a == 3.0
+    none = df.filter("x IS NULL")
+    assert exact_percentiles(none.withColumn("k", F.lit(1)), ["k"], "x", {"a": 0.5}).count() == 0
+    assert exact_percentiles(none, [], "x", {"a": 0.5}).count() == 0
+
+
 def test_cumulative_by_value(spark, frame):
     got = cumulative_by_value(to_spark(spark, frame), ["key"], "x", {"n": "count(1)"}, bands=7).toPandas()
     for r in got.itertuples():
