@@ -49,7 +49,7 @@ def labels(spark, sf) -> DataFrame:
 
 
 def deploys(spark, sf) -> DataFrame:
-    e = _container(events(spark, sf)).filter("event_type = 'error' AND value >= 150")
+    e = _container(events(spark, sf)).filter("event_type = 'error'")
     return e.select("event_id", "ts_us", "line", F.lit(None).cast("string").alias("model_version"),
                     F.lit("from console").alias("detail"))
 

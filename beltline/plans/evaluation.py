@@ -268,7 +268,7 @@ def session_dataset_stats(spark, sf):
         "session", F.coalesce("session", F.lit("TOTAL")))
 
 
-@query("strongest_tonal_topk", ("v_win",), """WITH t AS (SELECT session, win_id, center_us AS t_us, 'squeal' AS type, score FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY score DESC, win_id) AS r FROM v_win WHERE score<0.9) WHERE r<=12)
+@query("strongest_tonal_topk", ("v_win",), """WITH t AS (SELECT session, win_id, center_us AS t_us, 'squeal' AS type, score FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY score DESC, win_id) AS r FROM v_win WHERE score<0.98) WHERE r<=12)
  SELECT * FROM t UNION ALL SELECT session, win_id, center_us, 'energy', score FROM v_win WHERE score>=0.98""")
 def strongest_tonal_topk(spark, sf):
     """Top 12 squeals per session (rank filter, pruned before the shuffle) merged with the energy events by time."""
@@ -276,7 +276,7 @@ def strongest_tonal_topk(spark, sf):
 
     w = B.window_scores(spark, sf)
     rank = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("score"), "win_id"))
-    s = w.filter("score < 0.9").withColumn("r", rank).filter("r <= 12").withColumn("type", F.lit("squeal"))
+    s = w.filter("score < 0.98").withColumn("r", rank).filter("r <= 12").withColumn("type", F.lit("squeal"))
     e = w.filter("score >= 0.98").withColumn("type", F.lit("energy"))
     cols = ["session", "win_id", F.col("center_us").alias("t_us"), "type", "score"]
     return s.select(*cols).unionByName(e.select(*cols)).orderBy("session", "t_us")

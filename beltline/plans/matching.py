@@ -210,9 +210,9 @@ def merge_modalities_timeline(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy("session", "t_us", "id")
 
 
-@query("dedupe_anchors", ("v_imu",), """WITH g AS (SELECT DISTINCT session, t_us FROM v_imu WHERE event_type='click' AND value>60), r AS (SELECT DISTINCT session, t_us FROM v_imu WHERE event_type='view' AND value>60)
+@query("dedupe_anchors", ("v_imu",), """WITH g AS (SELECT DISTINCT session, t_us FROM v_imu WHERE event_type='click'), r AS (SELECT DISTINCT session, t_us FROM v_imu WHERE event_type='view')
  SELECT session, t_us, 'gyro' AS source FROM g UNION ALL SELECT session, t_us, 'mag' FROM r WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.session=r.session AND abs(g.t_us-r.t_us)<4000000)""")
 def dedupe_anchors(spark, sf):
-    e = B.imu(spark, sf).filter("value > 60")
+    e = B.imu(spark, sf)
     return Q.dedupe_anchors(e.filter("event_type = 'click'").select("session", "t_us").distinct(),
                             e.filter("event_type = 'view'").select("session", "t_us").distinct(), ["session"])

@@ -30,7 +30,7 @@ view("v_alerts", ("v_tl",), """SELECT s.event_id AS alert_id, s.ts_us, s.contain
         FROM v_tl WHERE kind=0 AND anomaly_score>=0.6) s
   LEFT JOIN (SELECT * FROM v_tl WHERE kind=1) l ON s.container_id=l.container_id AND s.epoch=l.epoch WHERE rn=1""")
 view("v_deploys", ("ev",), """SELECT event_id, ts_us, line, 'pdm-anomaly@retrained-'||row_number() OVER (ORDER BY ts_us, event_id)
-  AS model_version, 'from console' AS detail FROM ev WHERE event_type='error' AND value>=150""")
+  AS model_version, 'from console' AS detail FROM ev WHERE event_type='error'""")
 view("v_model_events", ("v_labels", "v_deploys"), """SELECT ts_us, event_id, line, 'retrain_queued' AS event_type,
   NULL AS model_version, 'queued from 5 label(s)' AS detail FROM (SELECT *, row_number() OVER (ORDER BY ts_us, event_id) AS n
   FROM v_labels WHERE label<>'dismiss') WHERE n%5=0

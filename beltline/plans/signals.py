@@ -161,9 +161,20 @@ def tonal_score(spark, sf):
     return _r(X.tonal_score(centred_windows(spark, sf).select("vec_id", "sig"), FS, 12.0).drop("sig"), ["vec_id", "pitch_hz"])
 
 
-@query("clip_acoustic_features")
+_CLIP_BANDS = [0, 4, 8, 12, 16, 24, 32]
+_CLIP = f"""{CENTRED}, cf AS (SELECT vec_id, w, i-w*8 AS j, x*(0.5::DOUBLE-0.5::DOUBLE*cos(2*pi()*(i-w*8)/15)) AS x FROM c, range(6) r(w) WHERE i>=w*8 AND i<w*8+16),
+ cp AS (SELECT vec_id, w, f, pow(sum(x*cos(2*pi()*f*j/16)),2)+pow(sum(x*sin(2*pi()*f*j/16)),2) AS p FROM cf, range(9) r(f) GROUP BY 1,2,3),
+ ca AS (SELECT vec_id, f*4 AS hz, avg(p) AS p FROM cp GROUP BY 1,2),
+ cs AS (SELECT vec_id, max(p) FILTER (hz>=12)/(median(p) FILTER (hz>=12)+1e-12) AS tonal, sum(p) FILTER (hz>=16)/(sum(p)+1e-12) AS hf_ratio, sum(p*hz)/(sum(p)+1e-12) AS centroid,
+  {", ".join(f"sum(p) FILTER (hz>={a} AND hz<{b}) AS band_{a}_{b}" for a, b in zip(_CLIP_BANDS, _CLIP_BANDS[1:]))} FROM ca GROUP BY 1),
+ ct AS (SELECT vec_id, unit, sqrt(avg(x*x)) AS rms, max(abs(x))/(sqrt(avg(x*x))+1e-9) AS crest, avg(pow(x,4))/pow(sqrt(avg(x*x))+1e-12,4) AS kurtosis FROM c GROUP BY 1,2)"""
+_CLIP_NAMES = ["rms", "crest", "kurtosis", "tonal", "hf_ratio", "centroid", *(f"band_{a}_{b}" for a, b in zip(_CLIP_BANDS, _CLIP_BANDS[1:]))]
+
+
+@query("clip_acoustic_features", ("v_x",), f"WITH {_CLIP} SELECT vec_id, unit, {', '.join(f'round({c},6) AS {c}' for c in _CLIP_NAMES)} FROM ct JOIN cs USING (vec_id)")
 def clip_acoustic_features(spark, sf):
-    return X.clip_acoustic_features(B.signal_windows(spark, sf).select("vec_id", "unit", "sig"), FS, [0, 4, 8, 12, 16, 24, 32], 12.0, 16.0, nfft=16).drop("sig")
+    f = X.clip_acoustic_features(B.signal_windows(spark, sf).select("vec_id", "unit", "sig"), FS, _CLIP_BANDS, 12.0, 16.0, nfft=16).drop("sig")
+    return _r(f, ["vec_id", "unit"])
 
 
 def _tiles(spark, sf, us=10_000_000):
