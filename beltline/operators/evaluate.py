@@ -288,11 +288,157 @@ def kinematic_speed(faults: DataFrame, key: str, box_len_m=0.4, roller_d_m=0.05)
 
 # --- similarity clusters ----------------------------------------------------------------------
 
-def correlation_clusters(df: DataFrame, keys, ident: str, vec: str, threshold=0.5, block=512) -> DataFrame:
+def _fields(df: DataFrame, names) -> str:
+    return "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in names)
+
+
+def _matrix(rows: pd.DataFrame) -> np.ndarray:
+    return np.stack(rows["_z"].to_numpy()).astype(float)
+
+
+def _correlation(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Correlations of standardised rows and the angles between them; a row without variation is at 90 degrees to all."""
+    corr = x @ y.T / x.shape[1]
+    size = np.sqrt((x * x).mean(axis=1))[:, None] * np.sqrt((y * y).mean(axis=1))[None, :]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cos = np.nan_to_num(corr / size, nan=0.0, posinf=0.0, neginf=0.0)
+    return corr, np.arccos(np.clip(cos, -1.0, 1.0))
+
+
+def _first_earlier(early: pd.DataFrame, late: pd.DataFrame, corr: np.ndarray, threshold: float) -> np.ndarray:
+    """Of each late row (columns of ``corr``) the first earlier row above the threshold, -1 for none."""
+    at = early["_i"].to_numpy()
+    hit = (corr > threshold) & (at[:, None] < late["_i"].to_numpy()[None, :])
+    return np.where(hit.any(axis=0), at[hit.argmax(axis=0)], -1)
+
+
+def _by_pivot(rows: DataFrame, group, rank: str, pivots: int, block: int, threshold: float) -> DataFrame:
+    """(group, _i, _pivot, _angle, _parent): the nearest of the first ``pivots`` rows of a group (by ``rank``), the angle
+    to it, and the first of those rows that is earlier and above the threshold (-1: none)."""
+    rows = rows.withColumn("_blk", slot(F.col(rank) - 1, block))
+    last = rows.groupBy(*group).agg(F.max("_blk").alias("_last"))
+    copies = rows.filter(F.col(rank) <= pivots).drop("_blk").join(last, group).withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last"))))
+    cols = [*group, "_blk", "_i", "_z"]
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, a = pdf[pdf._is_pivot].sort_values("_i"), pdf[~pdf._is_pivot]
+        corr, angle = _correlation(_matrix(p), _matrix(a))
+        near = angle.argmin(axis=0)
+        out = a[[*group, "_i"]].copy()
+        out["_pivot"], out["_angle"] = p["_i"].to_numpy()[near], angle[near, np.arange(len(a))]
+        out["_parent"] = _first_earlier(p, a, corr, threshold)
+        return out
+
+    both = rows.select(*cols, F.lit(False).alias("_is_pivot")).unionByName(copies.select(*cols, F.lit(True).alias("_is_pivot")))
+    return both.groupBy(*group, "_blk").applyInPandas(deal, _fields(rows, group) + "_i bigint, _pivot bigint, _angle double, _parent bigint")
+
+
+def _near_leaves(leaves: DataFrame, keys, reach: float, block: int) -> DataFrame:
+    """(keys, _home, _leaf): leaves that may hold an earlier partner of an open row of ``_leaf``, by the triangle inequality."""
+    n = ordered(leaves, Seq(tuple(keys), ("_leaf",), "_leaf div 100000"), RowNo("_l")).withColumn("_t", slot(F.col("_l") - 1, block))
+    n = n.join(n.groupBy(*keys).agg(F.max("_t").alias("_last")), keys)
+    cols = ["_leaf", "_z", "_rad", "_first", "_open_last"]
+    early = n.select(*keys, *cols, F.col("_t").alias("_a"), F.explode(F.sequence("_t", "_last")).alias("_b"), F.lit(True).alias("_early"))
+    late = n.select(*keys, *cols, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_t"))).alias("_a"), F.col("_t").alias("_b"), F.lit(False).alias("_early"))
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf._early], pdf[~pdf._early]
+        angle = _correlation(_matrix(a), _matrix(b))[1]
+        close = angle <= a["_rad"].to_numpy()[:, None] + b["_rad"].to_numpy()[None, :] + reach
+        ways = [(a, b, close)] + ([(b, a, close.T)] if pdf["_a"].iat[0] != pdf["_b"].iat[0] else [])
+        out = []
+        for home, query, ok in ways:
+            i, j = np.nonzero(ok & (home["_first"].to_numpy()[:, None] < query["_open_last"].to_numpy()[None, :]))
+            part = home.iloc[i][[*keys]].copy()
+            part["_home"], part["_leaf"] = home["_leaf"].to_numpy()[i], query["_leaf"].to_numpy()[j]
+            out.append(part)
+        return pd.concat(out)
+
+    return early.unionByName(late).groupBy(*keys, "_a", "_b").applyInPandas(near, _fields(leaves, keys) + "_home bigint, _leaf bigint")
+
+
+def partner_candidates(rows: DataFrame, keys, threshold: float, block: int, pivots: int, rounds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What has to be compared to find each row's first earlier partner, of rows (keys, _i numbered from 1, _z standardised).
+
+    Rows are dealt to the nearest of the key's first ``pivots`` rows. In each such cell the first ``pivots`` rows become
+    centres of leaves, rows close to one join it, and the others try again with the first of them, ``rounds`` times; who
+    is left forms wide leaves. A row with a partner among the key's first rows is finished; one with a partner among
+    centres need only look before that. For the others two leaves can hold partners only if the angle between their
+    centres is at most both radii and the threshold's angle. Close means that uncorrelated leaves are told apart so.
+
+    Returns (keys, _i, _parent) found on the way, the rows with ``_leaf`` and ``_piece`` (at most ``block`` rows in the
+    leaf's order), and (keys, _home, _piece, _i): which row has to be compared with which piece of which leaf.
+    """
+    # angles are known to about 1e-8; no angle bounds the partners under a negative threshold
+    reach = float(np.arccos(min(threshold, 1.0))) + 1e-6 if threshold >= 0 else 2 * float(np.pi)
+    tight = 0.4 * max(float(np.pi) / 2 - reach, 0.0)
+    first = _by_pivot(rows, keys, "_i", pivots, block, threshold).select(
+        *keys, "_i", F.col("_pivot").alias("_cell"), F.col("_parent").alias("_sure"), F.lit(None).cast("bigint").alias("_best"))
+    cell = Seq((*keys, "_cell"), ("_i",), "_i div 100000")
+    cols = [*keys, "_i", "_z", "_cell", "_sure", "_best"]
+    loose, parts = cut_lineage(ordered(rows.join(first, [*keys, "_i"]).select(*cols), cell, RowNo("_r")).select(*cols, "_r")), []
+    for k in range(rounds):
+        dealt = _by_pivot(loose, [*keys, "_cell"], "_r", pivots, block, threshold).select(*keys, "_i", "_pivot", "_angle", F.col("_parent").alias("_hit"))
+        best = F.least("_best", F.when(F.col("_hit") >= 0, F.col("_hit")))
+        tried = cut_lineage(loose.drop("_r").join(dealt, [*keys, "_i"]).withColumn("_best", best))
+        close = F.col("_angle") <= tight
+        parts.append(tried.filter(close).withColumn("_leaf", F.col("_pivot")))
+        rest = tried.filter(~close)
+        if k == rounds - 1 or tight == 0.0:
+            parts.append(rest.withColumn("_leaf", -F.col("_pivot")))
+            break
+        loose = cut_lineage(ordered(rest.select(*cols), cell, RowNo("_r")).select(*cols, "_r"))
+        if loose.isEmpty():
+            break
+    members = parts[0]
+    for part in parts[1:]:
+        members = members.unionByName(part)
+    # all rows before row pivots + 1 are pivots, so up to there the first step has decided
+    opened = (F.col("_sure") < 0) & (F.col("_i") > pivots + 1)
+    home = ordered(members, Seq((*keys, "_leaf"), ("_i",), "_i div 100000"), RowNo("_r"))
+    home = cut_lineage(home.select(*keys, "_i", "_z", "_leaf", "_angle", "_sure", "_best", opened.alias("_open"), slot(F.col("_r") - 1, block).alias("_piece")))
+    leaves = home.groupBy(*keys, "_leaf").agg(
+        F.max("_angle").alias("_rad"), F.min("_i").alias("_first"), F.coalesce(F.max(F.when(F.col("_open"), F.col("_i"))), F.lit(-1)).alias("_open_last"))
+    leaves = leaves.withColumn("_i", F.abs("_leaf")).join(rows.select(*keys, "_i", "_z"), [*keys, "_i"]).drop("_i")
+    pairs = _near_leaves(leaves, keys, reach, block)
+    starts = home.groupBy(*keys, "_leaf", "_piece").agg(F.min("_i").alias("_first")).groupBy(*keys, F.col("_leaf").alias("_home")).agg(
+        F.sort_array(F.collect_list("_first")).alias("_starts"))
+    before = F.coalesce("_best", "_i")
+    n = F.size(F.filter("_starts", lambda f: f < F.col("_before")))
+    want = home.filter("_open").select(*keys, "_i", "_leaf", before.alias("_before")).join(pairs, [*keys, "_leaf"]).join(starts, [*keys, "_home"]).withColumn("_n", n)
+    want = want.filter("_n > 0").select(*keys, "_home", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n").cast("bigint") - 1)).alias("_piece"), "_i")
+    found = home.select(*keys, "_i", F.when(F.col("_sure") >= 0, F.col("_sure")).otherwise(F.col("_best")).alias("_parent")).filter("_parent IS NOT NULL")
+    return found, home, cut_lineage(want)
+
+
+def first_partners(rows: DataFrame, keys, threshold: float, block: int, pivots: int, rounds: int) -> DataFrame:
+    """(keys, _i, _parent): the first earlier row of the key above the threshold, for rows that have one.
+
+    A piece and ``block`` of the rows that ask for it are one matrix product; a piece in demand is copied.
+    """
+    found, home, want = partner_candidates(rows, keys, threshold, block, pivots, rounds)
+    piece = [*keys, "_home", "_piece"]
+    demand = want.groupBy(*piece).agg((slot(F.count(F.lit(1)) - 1, block) + 1).alias("_parts"))
+    late = want.join(demand, piece).join(rows.select(*keys, "_i", "_z"), [*keys, "_i"]).select(
+        *piece, F.pmod(F.xxhash64("_i"), F.col("_parts")).alias("_q"), "_i", "_z", F.lit(False).alias("_early"))
+    early = home.withColumnRenamed("_leaf", "_home").join(demand, piece).select(
+        *piece, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)).alias("_q"), "_i", "_z", F.lit(True).alias("_early"))
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf._early].sort_values("_i"), pdf[~pdf._early]
+        out = b[[*keys, "_i"]].copy()
+        out["_parent"] = _first_earlier(a, b, _correlation(_matrix(a), _matrix(b))[0], threshold) if len(b) else -1
+        return out[out["_parent"] >= 0]
+
+    compared = early.unionByName(late).groupBy(*piece, "_q").applyInPandas(tile, _fields(rows, keys) + "_i bigint, _parent bigint")
+    return found.unionByName(compared).groupBy(*keys, "_i").agg(F.min("_parent").alias("_parent"))
+
+
+def correlation_clusters(df: DataFrame, keys, ident: str, vec: str, threshold=0.5, block=512, pivots=64, rounds=4) -> DataFrame:
     """Greedy clusters of correlated vectors: each row joins the first earlier row above ``threshold``.
 
-    Rows are compared tile by tile (``block`` x ``block``, a matrix product per task) and a tile
-    gives at most one candidate parent per row; chains of parents are then shortened by doubling.
+    Caps around pivots tell which blocks of rows have to be compared (``partner_candidates``); chains of parents are
+    then shortened by doubling.
     """
     keys = list(keys)
     n = F.size("_v")
@@ -302,29 +448,8 @@ def correlation_clusters(df: DataFrame, keys, ident: str, vec: str, threshold=0.
     rows = rows.withColumn("_sd", F.sqrt(var) + 1e-9).select(
         *keys, ident, F.transform("_v", lambda v: ((v - F.col("_mean")) / F.col("_sd")).cast("double")).alias("_z"))
     seq = Seq(tuple(keys), (ident,), f"{ident} div 100000")
-    rows = ordered(rows, seq, RowNo("_i")).select(*keys, ident, "_i", "_z")
-    last = rows.groupBy(*keys).agg(F.max("_i").alias("_N"))
-    blk = slot(F.col("_i") - 1, block)
-    rows = rows.join(last, keys).withColumn("_blk", blk)
-    top = slot(F.col("_N") - 1, block)
-    # As an earlier row a row meets its own and later blocks, as a later row its own and earlier ones.
-    early = rows.withColumn("_o", F.explode(F.sequence(F.col("_blk"), top))).select(*keys, F.col("_blk").alias("_a"), F.col("_o").alias("_b"), "_i", "_z", F.lit(True).alias("_early"))
-    late = rows.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blk")))).select(
-        *keys, F.col("_o").alias("_a"), F.col("_blk").alias("_b"), "_i", "_z", F.lit(False).alias("_early"))
-
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf._early].sort_values("_i"), pdf[~pdf._early].sort_values("_i")
-        x, y = np.stack(a["_z"].to_numpy()), np.stack(b["_z"].to_numpy())
-        hit = ((x @ y.T) / x.shape[1] > threshold) & (a["_i"].to_numpy()[:, None] < b["_i"].to_numpy()[None, :])
-        some = hit.any(axis=0)
-        first = a["_i"].to_numpy()[hit.argmax(axis=0)]
-        out = b.loc[some, [*keys, "_i"]].copy()
-        out["_parent"] = first[some]
-        return out
-
-    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + (", " if keys else "") + "_i bigint, _parent bigint"
-    cand = early.unionByName(late).groupBy(*keys, "_a", "_b").applyInPandas(tile, schema)
-    best = cand.groupBy(*keys, "_i").agg(F.min("_parent").alias("_parent"))
+    rows = cut_lineage(ordered(rows, seq, RowNo("_i")).select(*keys, ident, F.col("_i").cast("bigint").alias("_i"), "_z"))
+    best = first_partners(rows.drop(ident), keys, threshold, block, pivots, rounds)
     tree = cut_lineage(rows.select(*keys, ident, "_i").join(best, [*keys, "_i"], "left").withColumn("_parent", F.coalesce("_parent", "_i")))
     while True:
         up = tree.select(*keys, F.col("_i").alias("_parent"), F.col("_parent").alias("_up"))

@@ -367,9 +367,13 @@ def active_learning_round(spark, sf):
     return ML.active_learning(model_rows(spark, sf), "doc_id", _MF, rounds=2, trees=10)
 
 
-@query("correlation_clusters")
+@query("correlation_clusters", ("v_x",), """WITH RECURSIVE z AS (SELECT vec_id, unit, i, (x-avg(x) OVER w)/(stddev_pop(x) OVER w+1e-9) AS z FROM v_x WINDOW w AS (PARTITION BY vec_id)),
+ c AS (SELECT b.vec_id AS id, a.vec_id AS earlier, sum(a.z*b.z)/64 AS c FROM z a JOIN z b ON a.unit=b.unit AND a.i=b.i AND a.vec_id<b.vec_id GROUP BY 1,2),
+ p AS (SELECT id, min(earlier) AS parent FROM c WHERE c>0.35 GROUP BY 1),
+ t AS (SELECT DISTINCT unit, vec_id, vec_id AS place FROM v_x UNION ALL SELECT t.unit, t.vec_id, p.parent FROM t JOIN p ON p.id=t.place),
+ r AS (SELECT unit, vec_id, min(place) AS root FROM t GROUP BY 1,2) SELECT unit, vec_id, dense_rank() OVER (PARTITION BY unit ORDER BY root)-1 AS location FROM r""")
 def correlation_clusters(spark, sf):
-    """Greedy similarity clusters of windows per unit (brute-forced in the tests)."""
+    """Greedy similarity clusters of windows per unit."""
     return V.correlation_clusters(B.signal_windows(spark, sf), ["unit"], "vec_id", "sig", 0.35)
 
 

@@ -2,6 +2,8 @@
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 from beltline.kernels import automata
 from beltline.kernels.automata import greedy_spacing
@@ -106,20 +108,47 @@ def test_route_variants(spark):
     assert len(set(want.values())) >= 3
 
 
-def test_correlation_clusters(spark):
+def greedy_clusters(x, threshold):
+    z = (x - x.mean(1, keepdims=True)) / (x.std(1, keepdims=True) + 1e-9)
+    corr = z @ z.T / x.shape[1]
+    hit = np.triu(corr > threshold, 1)
+    out, n = [], 0
+    for some, first in zip(hit.any(axis=0), hit.argmax(axis=0)):
+        out.append(out[first] if some else n)
+        n += not some
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.5, -0.2])
+def test_correlation_clusters(spark, threshold):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(4, 12))
     x = base[rng.integers(0, 4, 60)] + rng.normal(0, 0.7, (60, 12))
-    pdf = pd.DataFrame({"key": "k", "id": np.arange(60), "v": x.tolist()})
-    got = evaluate.correlation_clusters(spark.createDataFrame(pdf), ["key"], "id", "v", 0.5, block=17).toPandas().sort_values("id")
+    x[[7, 40]] = 3.0  # no variation: correlated with nothing
+    x[[20, 50, 51]] = x[3]
+    pdf = pd.DataFrame({"key": ["k"] * 50 + ["l"] * 10, "id": np.arange(60), "v": x.tolist()})
+    got = evaluate.correlation_clusters(spark.createDataFrame(pdf), ["key"], "id", "v", threshold, block=17, pivots=5, rounds=2).toPandas().sort_values("id")
+    assert got.location.tolist() == greedy_clusters(x[:50], threshold) + greedy_clusters(x[50:], threshold)
+
+
+def test_correlation_clusters_compare_few_pairs(spark):
+    rng = np.random.default_rng(7)
+    n, pivots, rounds = 2400, 16, 3
+    x = np.repeat(rng.normal(size=(n // 20, 64)), 20, axis=0) + rng.normal(0, 0.1, (n, 64))
+    x[::9] = x[5] + rng.normal(0, 0.1, (len(x[::9]), 64))  # a group of a ninth of all rows
+    x = x[rng.permutation(n)]
+    df = spark.createDataFrame(pd.DataFrame({"key": "k", "id": np.arange(n), "v": x.tolist()}))
+    got = evaluate.correlation_clusters(df, ["key"], "id", "v", 0.85, block=64, pivots=pivots, rounds=rounds).toPandas().sort_values("id")
+    assert got.location.tolist() == greedy_clusters(x, 0.85)
     z = (x - x.mean(1, keepdims=True)) / (x.std(1, keepdims=True) + 1e-9)
-    corr = z @ z.T / 12
-    want, n = [], 0
-    for j in range(60):
-        first = next((i for i in range(j) if corr[i, j] > 0.5), None)
-        want.append(n if first is None else want[first])
-        n += first is None
-    assert got.location.tolist() == want
+    rows = spark.createDataFrame(pd.DataFrame({"key": "k", "_i": np.arange(n) + 1, "_z": z.tolist()}))
+    _, home, want = evaluate.partner_candidates(rows, ["key"], 0.85, 64, pivots, rounds)
+    pieces = home.groupBy("key", F.col("_leaf").alias("_home"), "_piece").agg(F.count("*").alias("n"))
+    compared = want.join(pieces, ["key", "_home", "_piece"]).agg(F.sum("n")).collect()[0][0]
+    leaves = home.select("_leaf").distinct().count()
+    print("rows with pieces", compared, "leaves", leaves, "all pairs", n * (n - 1) // 2)
+    # rows with pieces, centres with centres, rows with the pivots of each step
+    assert compared + leaves**2 / 2 + (1 + rounds) * pivots * n < n * (n - 1) / 2 / 5
 
 
 def test_dead_reckoning(spark):

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from beltline.functions import spectral as S
-from beltline.operators import lifecycle, messages
+from beltline.operators import features, lifecycle, messages
 from beltline.sources import logs, media, sessions
 
 
@@ -144,3 +144,30 @@ def test_message_size_fixpoint(spark):
     base = spark.range(90, 1010).select(messages.json_size_fixpoint(F.col("id")).alias("b"), "id").collect()
     for r in base:
         assert r.b == r.id + len(str(r.b))
+
+
+def test_roi_motion_compares_with_trusted_predecessor(spark):
+    rng = np.random.default_rng(3)
+    gray = rng.uniform(0, 255, (6, 64))
+    t = [0, 10, 20, 5_000_000, 5_000_010, 5_000_020]  # the fourth frame comes too late to be compared
+    df = spark.createDataFrame(pd.DataFrame({"key": "a", "t": t, "gray": gray.tolist()}))
+    got = features.roi_dark_motion(df, ["key"], ["t"]).toPandas().sort_values("t")
+    pick = [y * 8 + x for y in range(2, 6) for x in range(2, 6)]
+    for k, (dark, net) in enumerate(zip(got.dark, got.net)):
+        moved = np.abs(gray[k] - gray[k - 1]) if k not in (0, 3) else np.zeros(64)
+        assert np.isclose(dark, (gray[k][pick] < 0.6 * np.median(gray[k])).mean())
+        assert np.isclose(net, max(0.0, moved[pick].mean() - np.median(moved)))
+
+
+def test_clip_spectrum_of_short_and_exact_clips(spark):
+    rng = np.random.default_rng(4)
+    clips = [rng.normal(size=n).tolist() for n in (8, 16, 17, 40)]
+    df = spark.createDataFrame(pd.DataFrame({"id": range(4), "sig": clips}))
+    got = features.clip_acoustic_features(df, 64.0, [0, 16, 40, 80], 12.0, 500.0, nfft=16).toPandas().sort_values("id")
+    assert (got.band_0_16[:2] == 0).all() and (got.band_0_16[2:] > 0).all()
+    assert (got.hf_ratio == 0).all() and (got.band_40_80 == 0).all()
+    x = np.array(clips[3]) - np.mean(clips[3])
+    p = np.mean([np.abs(np.fft.rfft(x[s:s + 16] * np.hanning(16))) ** 2 for s in (0, 8, 16)], axis=0)
+    assert np.isclose(got.band_16_40[3], p[4:].sum()) and np.isclose(got.tonal[3], p[3:].max() / np.median(p[3:]))
+    none = features.clip_acoustic_features(df, 64.0, [0, 16], 500.0, 12.0, nfft=16)
+    assert none.where("tonal IS NOT NULL").isEmpty()
