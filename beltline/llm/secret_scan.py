@@ -1,16 +1,18 @@
 """Secrets in texts, told apart by who has them.
 
 Patterns propose candidates. The corpus decides: the value of a candidate, as a hash, is counted by distinct
-repositories and distinct owners. A value that several owners hold is an example everybody copied; one that stays with
-a few owners looks like a live credential. Undeclared tokens (long random strings outside the patterns) are reported
-only if they are owner-specific.
+repositories and distinct owners, and both decide. A value that several owners hold, or that one owner has in many
+repositories, is an example everybody copied; one that stays with a few of both looks like a live credential. Undeclared
+tokens (long random strings outside the patterns) are reported only if they are owner-specific.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +54,11 @@ def spans(text: str, bits: float, runs: bool = True) -> list[tuple[int, int, str
         out += [(m.start(), m.end(), "access", m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     if runs:
         out += [(m.start(), m.end(), "hex", m[0]) for m in HEX.finditer(text)]
-        base = list(out)
+        base = sorted((s, e) for s, e, _, _ in out)
+        starts, reach = [s for s, _ in base], list(accumulate((e for _, e in base), max))
         for m in TOKEN.finditer(text):
-            if random_looking(m[0], bits) and not any(s < m.end() and m.start() < e for s, e, _, _ in base):
+            before = bisect_left(starts, m.end())  # base spans that start before the token ends
+            if random_looking(m[0], bits) and not (before and reach[before - 1] > m.start()):
                 out.append((m.start(), m.end(), "token", m[0]))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
@@ -94,32 +98,40 @@ def scan(docs: DataFrame, bits: float = 3.5) -> DataFrame:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """value, n_repos, n_owners over the corpus. Distinct (value, owner, repo) first, so that hot values meet combined."""
-    rows = candidates.select("repo", "owner", F.explode("found.value").alias("value")).groupBy("value", "owner", "repo").agg(F.lit(1).alias("one"))
-    return rows.groupBy("value", "owner").agg(F.count("*").alias("n")).groupBy("value").agg(
-        F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
+    """value, n_rows, n_repos, n_owners over the corpus. Counted by (value, owner, repo) first, so that hot values meet combined."""
+    rows = candidates.select("repo", "owner", F.explode(F.array_distinct("found.value")).alias("value")).groupBy("value", "owner", "repo").agg(F.count("*").alias("n"))
+    owners = rows.groupBy("value", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("repos"))
+    return owners.groupBy("value").agg(F.sum("n").alias("n_rows"), F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def find_secrets(docs: DataFrame, max_owners: int = 1, bits: float = 3.5) -> DataFrame:
-    """One row for each row of ``docs`` (doc, repo, owner, text): its candidates, each with ``live``.
+def find_secrets(docs: DataFrame, max_owners: int = 1, max_repos: int = 10, bits: float = 3.5) -> DataFrame:
+    """One row for each row of ``docs`` (doc, repo, owner, text): its candidates, each with ``n_repos``, ``n_owners`` and ``live``.
 
-    live: at most ``max_owners`` owners hold the value. Null and empty texts have no candidates; null repositories and
-    owners each count as one. Repeated rows are reported each. ``token`` candidates that are not live are dropped.
+    live: at most ``max_owners`` owners hold the value, in at most ``max_repos`` repositories together (a repository of
+    two owners counts for each). Null and empty texts have no candidates; null repositories and owners each count as
+    one, so a value of many repositories without a named owner is no live one. Repeated rows are reported each and
+    count as one repository. ``token`` candidates that are not live are dropped.
     """
     found = stored(scan(docs.withColumn("repo", F.coalesce(F.col("repo").cast("string"), F.lit("")))
                         .withColumn("owner", F.coalesce(F.col("owner").cast("string"), F.lit(""))), bits)
                    .withColumn("row", F.monotonically_increasing_id()), "secrets")
-    live = ownership(found).where(F.col("n_owners") <= max_owners).select("value")
-    flat = found.select("row", F.explode("found").alias("f")).select("row", "f.*")
-    own = flat.join(live, "value", "left_semi").groupBy("row").agg(F.collect_set("value").alias("live"))
-    marked = found.join(own, "row", "left").withColumn("live", F.coalesce("live", F.array().cast("array<string>")))
+    held = stored(ownership(found), "holders")
+    total = held.agg(F.sum("n_rows")).first()[0] or 0
+    # fewer than 1000 values can lie in more than a thousandth of the rows; no other one is hot
+    often = F.broadcast(held.where(F.col("n_rows") * 1000 > total))
+    flat = found.select("row", F.explode(F.array_distinct("found.value")).alias("value"))
+    counts = flat.join(often, "value").unionByName(flat.join(often.select("value"), "value", "left_anti").join(held, "value"))
+    by_row = counts.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("value", F.struct("n_repos", "n_owners")))).alias("held"))
+    marked = found.join(by_row, "row", "left")
     return marked.select("doc", "repo", "owner", F.expr(
         "filter(transform(found, f -> named_struct('start', f.start, 'end', f.end, 'kind', f.kind, 'value', f.value,"
-        " 'live', array_contains(live, f.value))), f -> f.kind <> 'token' OR f.live)").alias("found"))
+        " 'n_repos', held[f.value].n_repos, 'n_owners', held[f.value].n_owners,"
+        f" 'live', held[f.value].n_owners <= {int(max_owners)} AND held[f.value].n_repos <= {int(max_repos)})),"
+        " f -> f.kind <> 'token' OR f.live)").alias("found"))
 
 
 def op8_secret_ownership(spark, sf_dir: str) -> DataFrame:
-    """Every document is a repository of its own; its source is the owner."""
+    """Every document is a repository of its own; its source is the owner. ``holders``: repositories/owners of each span."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("repo"), F.col("source").alias("owner"), "text")
     one = "concat(f.kind, ':', f.start, ':', f.end)"
     return find_secrets(docs).select(
@@ -127,4 +139,5 @@ def op8_secret_ownership(spark, sf_dir: str) -> DataFrame:
         *(F.expr(f"CAST(size(filter(found, f -> f.kind = '{k}')) AS LONG)").alias(f"n_{k}") for k in ("assign", "access", "hex")),
         F.expr(f"sha2(array_join(transform(filter(found, f -> f.kind <> 'token'), f -> {one}), ','), 256)").alias("base_sha256"),
         F.expr(f"array_join(transform(found, f -> {one}), ',')").alias("spans"),
-        F.expr("CAST(size(filter(found, f -> f.live)) AS LONG)").alias("n_live"))
+        F.expr("CAST(size(filter(found, f -> f.live)) AS LONG)").alias("n_live"),
+        F.expr("array_join(transform(found, f -> concat(f.n_repos, '/', f.n_owners)), ',')").alias("holders"))
