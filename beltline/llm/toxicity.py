@@ -1,9 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Tokens become symbols: insult and threat words (weighted), targets, negators, reporters, quotes, others. Three small
-transducers read them: negation (a negator governs the next tokens of its clause), reported speech (a reporter or an
-open quote governs the rest of the clause), and target (an addressed person before or after). Their composition is one
-automaton; running it over a clause yields, for each insult or threat, its weight in the context that governs it.
+Tokens become symbols: insults (weighted by the lexicon), threat words, intent words, targets, negators, reporters,
+quotes, breaks, others. Five small transducers read them: insult (emits the token's weight), threat (an intent word
+arms the threat words of its clause), target (an addressed person before the match or after it), negation (a negator
+governs the next tokens of its clause) and reported speech (a reporter or an open quote governs the rest). Their
+composition is one automaton; running it over a clause yields, for each insult or threat, its weight, the context that
+governs it and whether it addresses somebody.
 
 The grammar's frame is fixed; the insult lexicon is learned from labelled documents. Units are words and word stems
 (leading 4 to 6 characters), weighed by log-odds, strongest first, each on the toxic documents that no stronger unit
@@ -16,7 +18,11 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass
+from functools import reduce
+from heapq import heapify, heappop, heappush
 from itertools import product
+from operator import or_
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,36 +45,67 @@ STEMS = (4, 5, 6)
 CONTEXTS = 4  # plain, negated, reported, both
 
 
+class Emit(NamedTuple):
+    """What an arc says about the token it reads."""
+
+    share: float = 0.0    # of the token's lexicon weight
+    weight: float = 0.0   # of its own
+    context: int = 0      # 1 negated, 2 reported
+    person: int = 0       # 1: somebody was addressed before
+    backward: int = 0     # 1: this token addresses the matches before it
+
+
 class Transducer:
-    """arcs[state][symbol] -> next state; ``mark[state]`` is what the state says about the token that is read in it."""
+    """arcs[state][symbol] -> (next state, emission); ``*`` stands for symbols without an arc, which else keep the state."""
+
+    def __init__(self, *arcs: dict[str, tuple[int, Emit]], always: tuple[Emit, ...] = ()):
+        self.arcs, self.always = arcs, always or (Emit(),) * len(arcs)
+
+    def step(self, state: int, symbol: str) -> tuple[int, Emit]:
+        to, said = self.arcs[state].get(symbol) or self.arcs[state].get("*") or (state, Emit())
+        return to, joint(said, self.always[state])
+
+
+def joint(*said: Emit) -> Emit:
+    return Emit(*(max(x) if name != "context" else reduce(or_, x) for name, x in zip(Emit._fields, zip(*said))))
 
-    def __init__(self, arcs: list[dict[str, int]], mark: list[int]):
-        self.arcs, self.mark = arcs, mark
 
-    def step(self, state: int, symbol: str) -> int:
-        return self.arcs[state].get(symbol, self.arcs[state].get("*", state))
+def to(state: int, **said) -> tuple[int, Emit]:
+    return state, Emit(**said)
 
 
+#: Symbols: insult, threat word, both, intent, target, negator, reporter, quote, break, other.
+SYMBOLS = ("i", "t", "b", "w", "p", "n", "r", '"', ".", "*")
+THREAT_WEIGHT = 3.0
+INSULTING = Transducer({"i": to(0, share=1.0), "b": to(0, share=1.0)})
+#: An intent word arms the threat words after it, up to the break.
+THREATENING = Transducer({"w": to(1)}, {"t": to(1, weight=THREAT_WEIGHT), "b": to(1, weight=THREAT_WEIGHT), ".": to(0)})
+#: States: nobody yet, somebody addressed, a match that waits for its target.
+ADDRESSING = Transducer(
+    {"p": to(1), "i": to(2), "t": to(2), "b": to(2)},
+    {"i": to(1, person=1), "t": to(1, person=1), "b": to(1, person=1), ".": to(0)},
+    {"p": to(1, backward=1), ".": to(0)})
 #: A negator reaches three tokens on; a break ends its reach.
-NEGATING = Transducer([{"n": 3, "*": 0}, {"n": 3, ".": 0, "*": 0}, {"n": 3, ".": 0, "*": 1}, {"n": 3, ".": 0, "*": 2}], [0, 1, 1, 1])
+NEGATING = Transducer({"n": to(3)}, *({"n": to(3), ".": to(0), "*": to(left)} for left in (0, 1, 2)), always=(Emit(), *(Emit(context=1),) * 3))
 #: A reporter governs its clause, a quote what it encloses.
-REPORTING = Transducer([{"r": 1, '"': 2}, {".": 0, '"': 2}, {'"': 0}], [0, 2, 2])
-#: Somebody is addressed.
-ADDRESSING = Transducer([{"p": 1}, {".": 0}], [0, 4])
+REPORTING = Transducer({"r": to(1), '"': to(2)}, {".": to(0), '"': to(2)}, {'"': to(0)}, always=(Emit(), Emit(context=2), Emit(context=2)))
 
 
-def compose(*machines: Transducer) -> Transducer:
-    """All machines reading the same symbols: the product automaton, marks added."""
-    symbols = ["i", "t", "p", "n", "r", '"', ".", "*"]
+def compose(*machines: Transducer) -> list[dict[str, tuple[int, Emit]]]:
+    """All machines reading the same symbols: arcs of the product automaton with joint emissions; state 0 is the start."""
     states = list(product(*(range(len(m.arcs)) for m in machines)))
     number = {s: k for k, s in enumerate(states)}
-    arcs = [{x: number[tuple(m.step(q, x) for m, q in zip(machines, s))] for x in symbols} for s in states]
-    return Transducer(arcs, [sum(m.mark[q] for m, q in zip(machines, s)) for s in states])
 
+    def arc(state, symbol):
+        steps = [m.step(q, symbol) for m, q in zip(machines, state)]
+        return number[tuple(q for q, _ in steps)], joint(*(said for _, said in steps))
 
-GRAMMAR = compose(NEGATING, REPORTING, ADDRESSING)
-_CLASS = {w: c for c, ws in (("p", TARGET), ("r", REPORT), ("n", NEGATION)) for w in ws}
-_THREAT, _INTENT = set(THREAT), set(INTENT)
+    return [{x: arc(s, x) for x in SYMBOLS} for s in states]
+
+
+GRAMMAR = compose(INSULTING, THREATENING, ADDRESSING, NEGATING, REPORTING)
+_THREAT = set(THREAT)
+_CLASS = {w: c for c, ws in (("p", TARGET), ("r", REPORT), ("n", NEGATION), ("w", INTENT), ("t", THREAT), (".", BREAK), ('"', QUOTE)) for w in ws}
 
 
 @dataclass
@@ -102,17 +139,17 @@ def clauses(tokens: list[str]) -> list[list[str]]:
 
 def clause_matches(part: list[str], lexicon: Lexicon, state: int = 0) -> tuple[list[tuple[int, float, int]], int]:
     """((context 0-3, weight, addressed 0/1) of every insult and threat of a clause, the state after it)."""
-    out, intent = [], False
+    out: list[tuple[int, float, int]] = []
     for t in part:
-        weight = lexicon.weight(t)
-        if t in _THREAT and intent:
-            weight = max(weight, 3.0)
-        symbol = "i" if weight > 0 else "." if t in BREAK else '"' if t in QUOTE else _CLASS.get(t, "*")
+        own, symbol = lexicon.weight(t), _CLASS.get(t, "*")
+        if own > 0:
+            symbol = "b" if symbol == "t" else "i"
+        state, said = GRAMMAR[state][symbol]
+        weight = max(said.share * own, said.weight)
         if weight > 0:
-            mark = GRAMMAR.mark[state]
-            out.append((mark & 3, weight, 1 if mark & 4 else 0))
-        intent = intent or t in _INTENT
-        state = GRAMMAR.step(state, symbol)
+            out.append((said.context, weight, said.person))
+        if said.backward:
+            out = [(context, w, 1) for context, w, _ in out]
     return out, state
 
 
@@ -157,17 +194,20 @@ def units_of(text: str) -> set[str]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int, seed: int) -> DataFrame:
-    """(text, toxic) of about ``most`` labelled documents of each class, drawn by a hash of the id, equal texts once."""
+    """(text, toxic) of about ``most`` labelled documents of each class, drawn by a hash of the id, one text for each id
+    (the one with the least hash), equal texts once. The draw is fine enough for any number of labels."""
     lab = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     count = {r["toxic"]: r["n"] for r in lab.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000))
-    limit = F.lit(0)
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 62))
+    limit = F.lit(0).cast("bigint")
     for k, n in count.items():
-        limit = F.when(F.col("toxic") == k, int(1_000_000 * min(1.0, most / n))).otherwise(limit)
+        limit = F.when(F.col("toxic") == k, F.lit((1 << 62) * min(most, n) // n)).otherwise(limit)
     ids = lab.where(draw < limit)
-    # bounded: about 2 * most rows of two numbers
-    rows = docs.join(F.broadcast(ids), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
-    return stored(rows.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "toxic")
+    text = F.coalesce("text", F.lit(""))
+    # bounded: about most rows of two numbers for each class
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(
+        F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select("x.h", "x.text", "toxic")
+    return stored(rows.groupBy("h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "toxic")
 
 
 def unit_counts(rows: DataFrame) -> DataFrame:
@@ -186,9 +226,41 @@ def unit_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "unit string, n long, t long").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 8000, candidates: int = 3000, least: int = 3, seed: int = 5) -> ToxicityModel:
-    """``most`` bounds the documents drawn of each class, ``candidates`` the units looked at; the driver holds those
-    units and, for each document drawn, which of them it has. Without labels the seed lexicon alone decides."""
+def cover(units: list[str], docs_of: list[np.ndarray], toxic: np.ndarray, least: int) -> list[tuple[str, int, int]]:
+    """(unit, toxic documents that no earlier unit explains, clean documents) in the order of choice.
+
+    The unit with the most unexplained toxic documents for few clean ones comes next, a word before its stems, later
+    names before earlier ones. Gains only fall, so a unit is counted again only when it comes to the top.
+    """
+    open_ = toxic.copy()
+    clean = [int((~toxic[d]).sum()) for d in docs_of]
+
+    def entry(u: int) -> tuple[float, int, int]:
+        gain = int(open_[docs_of[u]].sum())
+        return -(gain - 5 * clean[u] - (0.1 if units[u].endswith("*") else 0)), -u, gain
+
+    heap, out = [entry(u) for u in range(len(units))], []
+    heapify(heap)
+    while heap:
+        known = heappop(heap)
+        u = -known[1]
+        now = entry(u)
+        if now[2] < least:
+            continue
+        if now != known:
+            heappush(heap, now)
+            continue
+        if now[2] <= 5 * clean[u]:
+            break
+        out.append((units[u], now[2], clean[u]))
+        open_[docs_of[u]] = False
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = 8000, least: int = 3, seed: int = 5) -> ToxicityModel:
+    """``most`` bounds the documents drawn of each class; the driver holds the units of these that are frequent (in
+    ``least`` toxic documents) and far more so in toxic ones, and which documents have them, as numbers. Without labels
+    of both classes the seed lexicon alone decides."""
     rows = sample(docs, labels, most, seed)
     size = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     bad, good = size.get(1, 0), size.get(0, 0)
@@ -197,41 +269,29 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 8000, candidates: int =
         return ToxicityModel(seeds, np.array([2.0, 0, 0, 0, 0, 0, 0, 0, 0.5]), -2.0)
     odds = F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (good + 1))
     rate = F.col("t") / bad * good
-    listed = unit_counts(rows).where((F.col("t") >= least) & (odds > 1.5) & ((F.col("n") - F.col("t")) * 10 <= rate)) \
-        .orderBy(F.desc("t"), "unit").limit(candidates).select("unit").collect()
+    listed = unit_counts(rows).where((F.col("t") >= least) & (odds > 1.5) & ((F.col("n") - F.col("t")) * 10 <= rate)).select("unit").collect()
     units = sorted(r["unit"] for r in listed)
     place = {u: i for i, u in enumerate(units)}
 
     def have(parts):
         for part in parts:
-            got = [sorted(place[u] for u in units_of(x) & place.keys()) for x in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(got, pa.list_(pa.int32()))], ["toxic", "units"])
-
-    seen = rows.mapInArrow(have, "toxic int, units array<int>").where("size(units) > 0").collect()
-    docs_of: dict[int, set[int]] = defaultdict(set)
-    toxic = np.array([bool(r["toxic"]) for r in seen], bool)
-    for i, r in enumerate(seen):
-        for u in r["units"]:
-            docs_of[u].add(i)
-    open_, words, stems = {i for i in range(len(seen)) if toxic[i]}, {w: 3.0 for w in INSULT_SEED}, {}
-    members = {u: (np.fromiter(d, int), d) for u, d in docs_of.items()}
-    while members:
-        gain = {u: len(d & open_) for u, (_, d) in members.items()}
-        members = {u: m for u, m in members.items() if gain[u] >= least}
-        if not members:
-            break
-        clean = {u: int((~toxic[m[0]]).sum()) for u, m in members.items()}
-        # many open toxic documents for few clean ones; a whole word before its stems
-        best = max(members, key=lambda u: (gain[u] - 5 * clean[u] - (0.1 if units[u].endswith("*") else 0), units[u]))
-        if gain[best] <= 5 * clean[best]:
-            break
-        weight = float(np.log((gain[best] + 0.5) / (bad + 1)) - np.log((clean[best] + 0.5) / (good + 1)))
-        unit = units[best]
+            got = [np.array(sorted(place[u] for u in units_of(x) & place.keys()), np.int32).tobytes() for x in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(got, pa.binary())], ["toxic", "units"])
+
+    seen = rows.mapInArrow(have, "toxic int, units binary").where("length(units) > 0").collect()
+    toxic = np.array([r["toxic"] > 0 for r in seen], bool)
+    numbers = [np.frombuffer(r["units"], np.int32) for r in seen]
+    flat = np.concatenate([*numbers, np.zeros(0, np.int32)])
+    doc = np.repeat(np.arange(len(seen)), [len(x) for x in numbers])
+    order = np.argsort(flat, kind="stable")
+    docs_of = np.split(doc[order], np.searchsorted(flat[order], np.arange(1, len(units)))) if units else []
+    words, stems = {w: 3.0 for w in INSULT_SEED}, {}
+    for unit, gain, clean in cover(units, docs_of, toxic, least):
+        weight = max(float(np.log((gain + 0.5) / (bad + 1)) - np.log((clean + 0.5) / (good + 1))), 0.5)
         if unit.endswith("*"):
-            stems[unit[:-1]] = max(weight, 0.5)
+            stems[unit[:-1]] = weight
         else:
-            words[unit] = max(weight, 0.5)
-        open_ -= members.pop(best)[1]
+            words[unit] = weight
     lexicon = Lexicon(words, stems)
 
     def table_(parts):
@@ -259,7 +319,8 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) ->
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """Of (doc_id, text): doc_id, score. Null and empty texts have no clause, so the model's score for none."""
+    """Of (doc_id, text): doc_id, score, one row for each row. Null and empty texts have no clause, so the model's score
+    for none; equal texts have equal scores; a text of any length is read whole, and other columns are not looked at."""
 
     def run(parts):
         for part in parts:
@@ -271,7 +332,8 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents. A null doc_id has no label to learn from and is not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     model = fit(docs, labels.where(~held))
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
