@@ -140,10 +140,13 @@ def annotations(spark, sf):
                     F.col("event_type").alias("tags")).orderBy("ts_us")
 
 
-@query("score_series", ("v_scores",), f"SELECT ts_us, anomaly_score FROM v_scores WHERE container_id='cnc-7' AND {_IN} ORDER BY ts_us")
-def score_series(spark, sf):
-    s = D.in_window(B.scores(spark, sf), LO, HI).filter("container_id = 'cnc-7'")
-    return s.select("ts_us", "anomaly_score").orderBy("ts_us")
+@query("score_series", ("v_scores",), f"SELECT container_id, event_id, ts_us, anomaly_score FROM v_scores WHERE {_IN} ORDER BY container_id, ts_us, event_id")
+def score_series(spark, sf, container: str | None = None):
+    """The score panel of every container, or of the one that the board's variable names."""
+    s = D.in_window(B.scores(spark, sf), LO, HI)
+    if container is not None:
+        s = s.filter(F.col("container_id") == container)
+    return s.select("container_id", "event_id", "ts_us", "anomaly_score").orderBy("container_id", "ts_us", "event_id")
 
 
 @query("container_variable", ("v_scores",), "SELECT DISTINCT container_id FROM v_scores ORDER BY 1")
