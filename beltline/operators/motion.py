@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels.automata import greedy_spacing
-from ..kernels.ordered import (Fill, Lag, Lead, RowNo, RunSum, Seq, cumulative_by_value, islands, ordered, range_frame,
+from ..kernels.ordered import (Fill, Lag, Lead, RowNo, RunSum, Seq, beside, cumulative_by_value, frame_moments, islands, ordered,
                                row_frame, slot)
 from ..kernels.quantiles import exact_percentiles
 from ..kernels.ranges import points_in_intervals, touching
@@ -56,12 +56,14 @@ def turntable_anchors(df: DataFrame, keys, t="t_us", tie="event_id", yaw="gz", s
 
 # --- moving or stopped ------------------------------------------------------------------------
 
-def vibration_energy(df: DataFrame, keys, t="t_us", win_us=400_000, chunk_us=600_000_000) -> DataFrame:
+def _vibration() -> Column:
+    return F.sqrt(F.col("ax_var") + F.col("ay_var"))
+
+
+def vibration_energy(df: DataFrame, keys, t="t_us", win_us=400_000) -> DataFrame:
     """Horizontal vibration over the trailing window; null with two samples or fewer."""
-    e = F.sqrt(F.pow(F.col("_sx"), 2) + F.pow(F.col("_sy"), 2))
-    framed = range_frame(df, keys, t, win_us, 0, {
-        "_sx": F.stddev_pop("ax"), "_sy": F.stddev_pop("ay"), "_n": F.count(F.lit(1))}, chunk_us)
-    return framed.withColumn("energy", F.when(F.col("_n") > 2, e)).drop("_sx", "_sy", "_n")
+    m = frame_moments(df, df, keys, t, win_us, 0, {"ax": F.col("ax"), "ay": F.col("ay")})
+    return beside(df, m.select(*keys, t, F.when(F.col("rows") > 2, _vibration()).alias("energy")), [*keys, t])
 
 
 def grid_points(df: DataFrame, keys, t, step_us, chunk_us=CHUNK_US) -> DataFrame:
@@ -77,15 +79,13 @@ def grid_points(df: DataFrame, keys, t, step_us, chunk_us=CHUNK_US) -> DataFrame
     return grid.select(*keys, (F.col("_t0") + F.col("g") * step).alias(t))
 
 
-def grid_vibration(df: DataFrame, keys, t="t_us", win_us=400_000, step_us=50_000, chunk_us=600_000_000) -> DataFrame:
+def grid_vibration(df: DataFrame, keys, t="t_us", win_us=400_000, step_us=50_000) -> DataFrame:
     """Vibration in ``[g - win, g + win)`` at every grid point; 0 with two samples or fewer."""
     keys = list(keys)
-    grid = grid_points(df, keys, t, step_us).withColumn("_g", F.lit(True))
-    both = df.select(*keys, t, "ax", "ay").unionByName(grid, allowMissingColumns=True)
-    framed = range_frame(both, keys, t, win_us, win_us - 1, {
-        "_sx": F.stddev_pop("ax"), "_sy": F.stddev_pop("ay"), "_n": F.count("ax")}, chunk_us).filter("_g")
-    e = F.when(F.col("_n") > 2, F.sqrt(F.pow(F.col("_sx"), 2) + F.pow(F.col("_sy"), 2))).otherwise(0.0)
-    return framed.select(*keys, t, e.alias("energy"))
+    grid = grid_points(df, keys, t, step_us)
+    m = frame_moments(df, grid, keys, t, win_us, win_us - 1, {"ax": F.col("ax"), "ay": F.col("ay")})
+    framed = beside(grid, m.filter("ax_n > 2").select(*keys, t, _vibration().alias("energy")), [*keys, t])
+    return framed.select(*keys, t, F.coalesce("energy", F.lit(0.0)).alias("energy"))
 
 
 def hysteresis_state(df: DataFrame, keys, t="t_us", ties=(), energy="energy", lo=0.025, hi=0.06, chunk_us=CHUNK_US) -> DataFrame:

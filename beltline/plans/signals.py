@@ -145,7 +145,7 @@ def wobble_features(spark, sf):
 
 @query("rms_envelope", ("v_imu",), "SELECT event_id, round(sqrt(avg(ax*ax) OVER (PARTITION BY session ORDER BY t_us RANGE BETWEEN 1000000 PRECEDING AND 1000000 FOLLOWING)),6) AS env FROM v_imu")
 def rms_envelope(spark, sf):
-    return X.rms_envelope(B.imu(spark, sf), K, "t_us", "ax", 1_000_000, 60_000_000).select("event_id", F.round("env", 6).alias("env"))
+    return X.rms_envelope(B.imu(spark, sf), K, "t_us", "ax", 1_000_000).select("event_id", F.round("env", 6).alias("env"))
 
 
 @query("band_energy_features")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beltline.kernels.ordered import (BackFill, Fill, Lag, Lead, RowNo, RunMax, RunSum, Seq,
-                                      cumulative_by_value, islands, ordered, range_frame, row_frame)
+                                      cumulative_by_value, frame_moments, islands, ordered, range_frame, row_frame)
 from beltline.kernels.quantiles import exact_percentiles
 from beltline.kernels.ranges import overlapping, points_in_intervals
 
@@ -133,3 +133,46 @@ def test_interval_joins(spark, frame):
     m = iv.merge(other, on="key")
     m = m[(m.s <= m.e2) & (m.s2 <= m.e)]
     assert sorted(zip(pairs.iv, pairs.iv2)) == sorted(zip(m.iv, m.iv2))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_frame_moments_equal_brute_force(spark):
+    """Dense and empty stretches, ties, null values, frames of one cell, negative times."""
+    rng = np.random.default_rng(5)
+    t = np.r_[rng.integers(-200, 200, 300), rng.integers(5000, 5010, 200), [900, 901]]
+    x = np.where(rng.random(len(t)) < 0.1, np.nan, 1e6 + rng.random(len(t)))
+    pts = pd.DataFrame({"key": ["a", "b"] * (len(t) // 2), "t": t, "x": x})
+    asked = pd.DataFrame({"key": ["a"] * 60 + ["b"] * 60, "t": list(range(-230, 250, 8)) * 2})
+    asked = pd.concat([asked, pts[["key", "t"]]]).drop_duplicates()
+    sp, sa = to_spark(spark, pts).withColumn("x", F.nanvl("x", F.lit(None))), to_spark(spark, asked)
+    for before, after in ((40, 10), (0, 0), (25, 24)):
+        got = frame_moments(sp, sa, ["key"], "t", before, after, {"x": F.col("x")}).toPandas().set_index(["key", "t"])
+        n = 0
+        for key, at in asked.itertuples(index=False):
+            inside = pts[(pts.key == key) & (pts.t >= at - before) & (pts.t <= at + after)]
+            if len(inside) == 0:
+                assert (key, at) not in got.index
+                continue
+            n += 1
+            row, known = got.loc[(key, at)], inside.x.dropna()
+            assert (row["rows"], row.x_n) == (len(inside), len(known))
+            if len(known):
+                assert abs(row.x_mean - known.mean()) < 1e-8 and abs(row.x_var - known.var(ddof=0)) < 1e-8
+        assert n == len(got)
+
+
+def test_frames_over_time_take_no_time_by_rows_in_reach(spark):
+    """No moving frame is read again for each row, and no row is paired with each window around it."""
+    from beltline.operators import features, motion
+
+    cols = ("ax", "ay", "gx", "gy", "gz")
+    df = spark.createDataFrame([("a", i * 1000, i, *[float(i % 7)] * 5) for i in range(50)], "key string, t_us bigint, event_id bigint, " + ", ".join(f"{c} double" for c in cols))
+    c = df.select("key", F.col("event_id").alias("win_id"), F.col("t_us").alias("center_us"))
+    for out in (motion.vibration_energy(df, ["key"]), motion.grid_vibration(df, ["key"]), features.rms_envelope(df, ["key"], "t_us", "ax", 10_000),
+                features.window_gyro_rms(df, c, ["key"], "win_id", win_us=20_000)):
+        plan = plan_of(out)
+        assert "RangeFrame, -" not in plan and out.count() > 0
+        assert not any("Join Inner" in line and ">=" in line for line in plan.splitlines())
