@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import motion as P
 from ..operators import sequences as Q
 from ..operators import track as TR
+from ..session import cut_lineage
 from . import bindings as B
 from .matching import _LAPPED, _laps
 from .registry import query
@@ -73,7 +74,9 @@ _DW = f"""{_EN}, c AS (SELECT session, event_id, t_us, CASE WHEN energy>0.045 TH
 
 
 def _dwell(spark, sf):
-    return P.dwell_state(_energy(spark, sf), K, lo=0.03, hi=0.045)
+    # read by several passes
+    e = cut_lineage(_energy(spark, sf).select("session", "event_id", "t_us", "energy"))
+    return P.dwell_state(e, K, lo=0.03, hi=0.045)
 
 
 @query("dwell_state", ("v_imu",), f"WITH {_DW} SELECT event_id, stopped FROM dw")
