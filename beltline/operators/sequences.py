@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels.ordered import Lag, Lead, RowNo, RunMax, RunSum, Seq, islands, ordered, row_frame
-from ..kernels.ranges import overlapping, points_in_intervals, touching
+from ..kernels.ranges import last_covering, points_in_intervals, touching, widest_overlap
 from ..session import cut_lineage
 
 CHUNK_US = 60_000_000     # a minute of one key per chunk
@@ -135,10 +135,10 @@ def sliding_sample_windows(df: DataFrame, keys, index, n: int, step: int) -> Dat
 
 def window_label_overlap(windows, labels, keys, win_id, t0, t1, min_overlap=0.5, bucket=5_000_000) -> DataFrame:
     """Majority-overlap label; null unless it covers ``min_overlap`` of the window; the earlier label wins ties."""
-    pairs = overlapping(windows, labels, keys, (t0, t1), ("start_us", "end_us"), bucket)
-    cover = F.least(t1, "end_us") - F.greatest(t0, "start_us")
-    best = pairs.withColumn("_ov", cover).filter("_ov > 0").groupBy(*keys, win_id).agg(
-        F.max("_ov").alias("_ov"), F.min_by("label", F.struct(-F.col("_ov"), "start_us", "label_id")).alias("label"))
+    named = labels.withColumn("_named", F.struct("label_id", "label"))
+    found = widest_overlap(windows.select(*keys, win_id, t0, t1), named, keys, (t0, t1), ("start_us", "end_us"), "label_id", "_named", bucket)
+    best = found.groupBy(*keys, win_id).agg(
+        F.max("_ov").alias("_ov"), F.min_by("_ident", F.struct(-F.col("_ov"), "_start", "_ident.label_id"))["label"].alias("label"))
     done = windows.join(best, [*keys, win_id], "left")
     enough = F.col("_ov") >= min_overlap * (F.col(t1) - F.col(t0))
     return done.withColumn("label", F.when(enough, F.col("label"))).drop("_ov")
@@ -156,8 +156,9 @@ def label_center(windows, labels, keys, win_id, center, names=None, bucket=5_000
 def multi_class_label(windows, labels, keys, win_id, center, classes: dict[str, int], bucket=5_000_000) -> DataFrame:
     """Class of the last label (in start order) that covers the centre, its id, or -1."""
     wanted = labels.filter(F.col("label").isin(*classes))
-    hit = points_in_intervals(windows.select(*keys, win_id, center), wanted, keys, center, "start_us", "end_us", bucket)
-    best = hit.groupBy(*keys, win_id).agg(F.max_by(F.struct("label", "label_id"), F.struct("start_us", "label_id")).alias("_l"))
+    named = wanted.withColumn("_named", F.struct("label_id", "label"))
+    hit = last_covering(windows.select(*keys, win_id, center), named, keys, center, "start_us", "end_us", "label_id", "_named", bucket)
+    best = hit.groupBy(*keys, win_id).agg(F.max_by("_ident", center).alias("_l"))
     value = F.lit(-1)
     for name, v in classes.items():
         value = F.when(F.col("_l.label") == name, F.lit(v)).otherwise(value)

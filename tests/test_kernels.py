@@ -176,3 +176,28 @@ def test_frames_over_time_take_no_time_by_rows_in_reach(spark):
         plan = plan_of(out)
         assert "RangeFrame, -" not in plan and out.count() > 0
         assert not any("Join Inner" in line and ">=" in line for line in plan.splitlines())
+
+
+def test_labels_of_windows_without_pairs(spark):
+    """Latest cover and widest overlap of nested, equal, touching and distant intervals; empty sides and null keys."""
+    from beltline.operators import sequences
+
+    rng = np.random.default_rng(8)
+    iv = pd.DataFrame({"key": rng.choice(["a", "b", "only"], 90), "label_id": np.arange(90), "start_us": rng.integers(0, 300, 90)})
+    iv["end_us"], iv["label"] = iv.start_us + rng.integers(0, 60, 90), rng.choice(["u", "v"], 90)
+    w = pd.DataFrame({"key": rng.choice(["a", "b", "none", None], 200), "win_id": np.arange(200), "center": rng.integers(-30, 390, 200)})
+    half = rng.integers(1, 30, 200)
+    w["t0"], w["t1"] = w.center - half, w.center + half
+    sw, si = spark.createDataFrame(w), spark.createDataFrame(iv)
+    over = sequences.window_label_overlap(sw, si, ["key"], "win_id", "t0", "t1", 0.3, 25)
+    last = sequences.multi_class_label(sw, si, ["key"], "win_id", "center", {"u": 1, "v": 0}, 25)
+    assert not any("Join Inner" in line for df in (over, last) for line in plan_of(df).splitlines())
+    got = {r.win_id: r.label for r in over.collect()}
+    held = {r.win_id: (r.y, r.segment_id) for r in last.collect()}
+    assert len(got) == len(held) == len(w)
+    for r in w.itertuples():
+        near = [(min(r.t1, i.end_us) - max(r.t0, i.start_us), -i.start_us, -i.label_id, i.label) for i in iv.itertuples() if i.key == r.key]
+        best = max([n for n in near if n[0] > 0], default=None)
+        assert got[r.win_id] == (best[3] if best and best[0] >= 0.3 * (r.t1 - r.t0) else None)
+        cover = max([(i.start_us, i.label_id, i.label) for i in iv.itertuples() if i.key == r.key and i.start_us <= r.center < i.end_us], default=None)
+        assert held[r.win_id] == ((1 if cover[2] == "u" else 0, cover[1]) if cover else (-1, -1))
