@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -78,22 +80,56 @@ def poisson_cdf(mean: int) -> list[float]:
     return out
 
 
+def poisson_draws(m: Column) -> Column:
+    """How many draws make up a Poisson variable of whole mean ``m``: lumps of 16 and units."""
+    return (m / POISSON_LUMP).cast("bigint") + F.pmod(m, F.lit(POISSON_LUMP))
+
+
+def poisson_draw(m: Column, i: Column, *parts: Column) -> Column:
+    """Draw ``i`` of a Poisson variable of whole mean ``m``, from the md5 of ``parts`` and ``i``.
+
+    Sums of Poisson draws are Poisson, so the sum over ``poisson_draws(m)`` is exact for any ``m``, and a value that stands for
+    many rows costs a sixteenth of them. It depends on nothing but ``parts`` and is the same after a lost task. The 52 bits are
+    compared as hexadecimal text with the distribution function, in one compiled expression.
+    """
+    bits = F.substring(F.md5(F.concat_ws("|", *[x.cast("string") for x in (*parts, i)])), 1, 13)
+
+    def inverse(mean: int) -> Column:
+        cuts = [math.ceil(c * (1 << 52)) for c in poisson_cdf(mean)]
+        cuts = [f"{c:013x}" for c in cuts if c < 1 << 52]
+        out = F.when(bits < cuts[0], 0)
+        for k, c in enumerate(cuts[1:], 1):
+            out = out.when(bits < c, k)
+        return out.otherwise(len(cuts)).cast("bigint")
+
+    return F.when(i < (m / POISSON_LUMP).cast("bigint"), inverse(POISSON_LUMP)).otherwise(inverse(POISSON_UNIT))
+
+
 def poisson_total(m: Column, *parts: Column) -> Column:
-    """A Poisson draw of whole mean ``m``: lumps of 16 and units, each drawn from the md5 of ``parts`` and its number.
+    """All draws of a Poisson variable of whole mean ``m`` in one row; queries that draw much give each draw a row instead."""
+    zero = F.lit(0).cast("bigint")
+    last = F.greatest(poisson_draws(m), F.lit(1)) - 1
+    return F.when(m > 0, F.aggregate(F.sequence(zero, last), zero, lambda s, i: s + poisson_draw(m, i, *parts))).otherwise(zero)
+
+
+#: Replicates that are drawn by one task for a value; tasks share the work also where there are few values.
+REPLICATES = 20
+
+
+def _replicated(per: DataFrame, b: int, *by: str) -> DataFrame:
+    """``per`` for each replicate ``_r`` below ``b``, dealt by ``by`` and blocks ``_block`` of replicates.
 
-    Sums of Poisson draws are Poisson, so this is exact for any ``m``, and a value that stands for many rows costs a
-    sixteenth of them. It depends on nothing but ``parts`` and is the same after a lost task.
+    The number of partitions is given, as Spark would put small tables into one task, whatever they grow to.
     """
-    lumps, cdf = (m / POISSON_LUMP).cast("bigint"), {k: F.array(*[F.lit(c) for c in poisson_cdf(k)]) for k in (POISSON_UNIT, POISSON_LUMP)}
+    spark = per.sparkSession
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = per.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((b - 1) // REPLICATES)))).repartition(parts, *by, "_block")
+    first = F.col("_block") * REPLICATES
+    return blocks.withColumn("_r", F.explode(F.sequence(first, F.least(first + REPLICATES, F.lit(b)) - 1)))
 
-    def draw(i: Column) -> Column:
-        u = F.conv(F.substring(F.md5(F.concat_ws("|", *[x.cast("string") for x in (*parts, i)])), 1, 13), 16, 10).cast("double") / float(1 << 52)
-        below = F.when(i < lumps, cdf[POISSON_LUMP]).otherwise(cdf[POISSON_UNIT])
-        return F.size(F.filter(below, lambda c: c <= u)).cast("bigint")
 
-    count = lumps + F.pmod(m, F.lit(POISSON_LUMP))
-    return F.when(m > 0, F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.greatest(count, F.lit(1)) - 1), F.lit(0).cast("bigint"),
-                                     lambda s, i: s + draw(i))).otherwise(F.lit(0).cast("bigint"))
+def _numbered_draws(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
 
 
 def bootstrap_mean_ci(df: DataFrame, keys, ident, value, b=1000, seed=0) -> DataFrame:
@@ -107,8 +143,8 @@ def bootstrap_mean_ci(df: DataFrame, keys, ident, value, b=1000, seed=0) -> Data
     v = F.col(value).cast("double")
     per = df.select(*keys, ident, v.alias("_v")).filter("_v IS NOT NULL AND NOT isnan(_v)").groupBy(*keys, "_v").agg(
         F.count(F.lit(1)).alias("_n"), F.min(ident).alias("_id"))
-    w = poisson_total(F.col("_n"), F.lit(seed), F.col("_r"), F.col("_id"))
-    reps = per.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).withColumn("_w", w).groupBy(*keys, "_r").agg(
+    drawn = _replicated(per, b, *keys, "_v").withColumn("_i", _numbered_draws(poisson_draws(F.col("_n"))))
+    reps = drawn.withColumn("_w", poisson_draw(F.col("_n"), F.col("_i"), F.lit(seed), F.col("_r"), F.col("_id"))).groupBy(*keys, "_r").agg(
         F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum("_w")).alias("_m"))
     ci = reps.groupBy(*keys).agg(F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975))).alias("_ci"))
     mean = per.groupBy(*keys).agg((F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"))
@@ -126,10 +162,14 @@ def bootstrap_auc_ci(df: DataFrame, keys, ident, score="score", y="y", b=200, se
     per = rows.groupBy(*keys, "s").agg(F.sum("y").alias("_p"), F.sum(1 - F.col("y")).alias("_q"), F.min("_ident").alias("_id"))
     cuts = per.groupBy(*keys).agg(F.percentile_approx("s", [i / bands for i in range(1, bands)], 16 * bands).alias("_cuts"))
     band = F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= F.col("s")))
-    dealt = per.join(cuts, keys).withColumn("_band", band).drop("_cuts").repartition(*keys, "_band")
-    drawn = dealt.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).select(
-        *keys, "_band", "_r", "s", *[poisson_total(F.col(n), F.lit(seed), F.lit(c), F.col("_r"), F.col("_id")).alias(n) for n, c in (("_p", "p"), ("_q", "n"))])
-    k = [*keys, "_band", "_r"]
+    dealt = _replicated(per.join(cuts, keys).withColumn("_band", band).drop("_cuts"), b, *keys, "_band")
+    k = [*keys, "_band", "_block", "_r"]
+    first = poisson_draws(F.col("_p"))
+    rows = dealt.withColumn("_i", _numbered_draws(first + poisson_draws(F.col("_q")))).withColumn("_pos", F.col("_i") < first)
+    w = poisson_draw(F.when(F.col("_pos"), F.col("_p")).otherwise(F.col("_q")), F.when(F.col("_pos"), F.col("_i")).otherwise(F.col("_i") - first),
+                     F.lit(seed), F.when(F.col("_pos"), "p").otherwise("n"), F.col("_r"), F.col("_id"))
+    drawn = rows.withColumn("_w", w).groupBy(*k, "s").agg(
+        F.sum(F.when(F.col("_pos"), F.col("_w")).otherwise(0)).alias("_p"), F.sum(F.when(F.col("_pos"), 0).otherwise(F.col("_w"))).alias("_q"))
     upto = F.sum("_q").over(Window.partitionBy(*k).orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
     inside = drawn.withColumn("_c", upto).groupBy(*k).agg(
         F.sum(F.col("_p") * (F.col("_c") - F.col("_q") / 2)).alias("_u"), F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))

@@ -132,3 +132,18 @@ def test_folds_with_nulls_one_class_separable_rows_and_no_rows(spark):
     assert far["p", 0] < 0.01 and far["q", 19] > 0.99
     alone = ML.logreg_group_cv(spark.createDataFrame(rows[:2], schema), "g", ["a"]).collect()
     assert [np.isnan(r.prob) for r in alone] == [True, True]
+
+
+def test_replicates_are_spread_and_drawn_row_by_row(spark):
+    """Few distinct values still make many tasks, and a draw is compiled, not looked up in an array for each row."""
+    df = spark.createDataFrame([("a", i, float(i % 3), i % 2) for i in range(40)], "k string, clip bigint, score double, y int")
+    for out in (V.bootstrap_mean_ci(df, ["k"], "clip", "score", b=100), V.bootstrap_auc_ci(df, ["k"], "clip", b=100)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression [k" in plan and "_block" in plan and "lambda" not in plan.split("Generate")[1]
+        assert out.count() == 1
+    m = [1, 15, 16, 37]
+    both = spark.createDataFrame([(x, i) for x in m for i in range(30)], "m bigint, id bigint")
+    total = {(r.m, r.id): r.w for r in both.select("m", "id", V.poisson_total(F.col("m"), F.col("id")).alias("w")).collect()}
+    rows = both.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), V.poisson_draws(F.col("m")) - 1)))
+    drawn = rows.groupBy("m", "id").agg(F.sum(V.poisson_draw(F.col("m"), F.col("i"), F.col("id"))).alias("w")).collect()
+    assert total == {(r.m, r.id): r.w for r in drawn}
