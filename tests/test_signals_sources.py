@@ -186,3 +186,13 @@ def test_spectrogram_of_mixed_lengths_in_flat_buffers(spark):
     for i in (0, 1, 3, 600, 1197, 1199):
         x = sigs[i][None, :]
         np.testing.assert_allclose(got[i], S.spectrogram(x - x.mean(), 50.0)[0], rtol=1e-5, atol=1e-5)
+
+
+def test_many_small_logs_are_few_tasks(spark, tmp_path):
+    from beltline.sources import logs
+
+    for i in range(150):
+        (tmp_path / f"{i}.log").write_bytes(b"x" * (i + 1))
+    ranges = logs.log_ranges(spark, f"{tmp_path}/*.log", 64)
+    assert ranges.rdd.getNumPartitions() <= 4 * max(8, spark.sparkContext.defaultParallelism)
+    assert sum(r.high - r.low for r in ranges.collect()) == 150 * 151 // 2
