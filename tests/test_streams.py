@@ -239,3 +239,47 @@ def test_late_rows_over_files_equal_one_file(spark, late, name, monkeypatch):
     pd.testing.assert_frame_equal(got[order].sort_values(order, ignore_index=True), want[order].sort_values(order, ignore_index=True), check_dtype=False)
 
 
+
+
+# ---- many keys in one call, and more rows than one table
+
+def keyed_rows(seed, n=2000, keys=40):
+    rows = random_rows(seed, n)
+    who = np.random.default_rng(seed).integers(0, keys, n)
+    return rows.assign(line=[None if i % 7 == 0 else f"l{i % 4}" for i in who], container_id=[f"c{i}" for i in who])
+
+
+@pytest.mark.parametrize("make", [SP.LastFix, lambda: SP.LastFix().forgetting(60_000_000), SP.Alerts, lambda: SP.Activity(60_000_000), SP.Ranges, lambda: SP.Shadow().forgetting(90_000_000)],
+                         ids=["fix", "fix_ttl", "alerts", "activity", "ranges", "shadow_ttl"])
+def test_many_keys_are_one_call_and_equal_single_ones(make, monkeypatch):
+    processor, rows = make(), keyed_rows(4)
+    one = [ordered.replayed(part, processor, k) for k, part in rows.groupby(list(processor.key_names), dropna=False)]
+    want = pd.concat([x for x in one if len(x)], ignore_index=True)
+    calls, stays = [], type(processor).stays
+    monkeypatch.setattr(type(processor), "stays", lambda self, *a: calls.append(1) or stays(self, *a))
+    memory, got = {}, []
+    for part in np.array_split(rows, 5):
+        got += processor.processed(memory, part.sample(frac=1, random_state=1), lambda k: None)
+    got += processor.evicted(memory, ordered.END_US)
+    got, order = pd.concat(got, ignore_index=True), list(want.columns)
+    assert len(calls) == 5 and len(got) > 20
+    pd.testing.assert_frame_equal(got.sort_values(order, ignore_index=True).fillna(-1), want.sort_values(order, ignore_index=True).fillna(-1), check_dtype=False)
+
+
+class Kept(dict):
+    updateValue, getValue, removeKey = dict.__setitem__, dict.get, dict.__delitem__
+
+
+def test_waiting_rows_come_in_order_and_in_bounded_tables():
+    rows = random_rows(1, 30_000).sample(frac=1, random_state=2)
+    p = Localizer()
+    p._waiting, p.slice_rows = Kept(), 1000
+    pieces = [p.put_away(part) for part in np.array_split(rows, 40)]
+    until, later = int(rows.ts_us.quantile(0.9)), []
+    out = list(p.in_order(pieces, until, later))
+    assert len(out) > 10 and max(map(len, out)) <= 1000
+    assert all(a.ts_us.max() < b.ts_us.min() for a, b in zip(out, out[1:]))
+    due = rows[rows.ts_us <= until]
+    assert sorted(pd.concat(out).event_id) == sorted(due.event_id)
+    rest = pd.concat([ordered.unpacked(v[0]) for v in p._waiting.values()])
+    assert sorted(rest.event_id) == sorted(rows[rows.ts_us > until].event_id) and min(later) == rest.ts_us.min()
