@@ -201,3 +201,14 @@ def test_labels_of_windows_without_pairs(spark):
         assert got[r.win_id] == (best[3] if best and best[0] >= 0.3 * (r.t1 - r.t0) else None)
         cover = max([(i.start_us, i.label_id, i.label) for i in iv.itertuples() if i.key == r.key and i.start_us <= r.center < i.end_us], default=None)
         assert held[r.win_id] == ((1 if cover[2] == "u" else 0, cover[1]) if cover else (-1, -1))
+
+
+def test_summaries_of_chunks_are_not_broadcast(spark):
+    from beltline.kernels import ordered as O
+
+    df = spark.createDataFrame([("a", t, t if t % 3 == 0 else None) for t in range(30)], "k string, t long, v long")
+    seq = O.Seq.by_time(["k"], "t", chunk_us=2)
+    filled = O.ordered(df, seq, O.Fill("f", "v"))
+    assert sorted((r.t, r.f) for r in filled.collect()) == [(t, t // 3 * 3) for t in range(30)]
+    for out in (filled, O.islands(df, seq, ["t"], "cur.t - prev.t > 1", "run")):
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
