@@ -87,6 +87,27 @@ def test_wav_and_log_files(spark, tmp_path):
     assert merged.count() == 10 and {r.baud for r in merged.collect()} == {115200}
 
 
+def test_heads_are_unpacked_by_expressions(spark):
+    """Against numpy: noise, the greatest and least numbers, short and null values."""
+    rng = np.random.default_rng(8)
+    values = [rng.bytes(int(n)) for n in rng.integers(0, 40, 300)] + [b"\xff" * 24, b"\x00\x80" * 12, b"\xff\x7f" * 12, b"", None]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, b binary").repartition(3)
+    for layout in (logs.RECORD_DT, logs.IMU_DT, logs.CAMERA_DT, logs.AUDIO_DT):
+        got = rows.select("i", *logs.unpack(layout, F.col("b")).values())
+        assert got.columns == ["i", *layout.names] and {f.dataType.simpleString() for f in got.schema.fields[1:]} == {"bigint"}
+        size = layout.itemsize
+        want = np.frombuffer(b"".join((v or b"")[:size].ljust(size, b"\0") for v in values), layout)
+        assert [tuple(r)[1:] for r in got.orderBy("i").collect()] == list(zip(*(want[n].astype(np.int64).tolist() for n in layout.names)))
+
+
+def test_decoding_logs_takes_one_python_step(spark):
+    """Only the packing of the input is Python, and it runs once: no worker for the heads, and none again for the filters on them."""
+    from beltline.plans import catalog
+
+    plan = catalog.QUERIES["log_to_table"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def log_bytes(rng, n, tail=b"", nested=False):
     """A log of ``n`` records of all types; payloads are noise, or look like records themselves."""
     out = [b"IMULOG01" + struct.pack("<QI", 5, 115200)]
