@@ -214,7 +214,7 @@ class Ordered(StatefulProcessor):
         """
         if not pieces:
             return
-        low, high, n = min(p[0] for p in pieces), min(until, max(p[1] for p in pieces)), sum(p[2] for p in pieces)
+        low, high, n = min(p[0] for p in pieces), max(p[1] for p in pieces), sum(p[2] for p in pieces)
         if n <= self.slice_rows or low >= high:
             rows = pd.concat([self.taken(p) for p in pieces], ignore_index=True)
             wait = rows[TIME] > until
@@ -224,7 +224,7 @@ class Ordered(StatefulProcessor):
             yield rows.reset_index(drop=True)
             return
         parts = min(SPANS, 2 * n // self.slice_rows + 1)
-        width = (high - low) // parts + 1
+        width = (min(until, high) - low) // parts + 1
         spans = [[] for _ in range(parts + 1)]
         open_ = [[] for _ in range(parts + 1)]
         size = [0] * (parts + 1)

@@ -283,3 +283,17 @@ def test_waiting_rows_come_in_order_and_in_bounded_tables():
     assert sorted(pd.concat(out).event_id) == sorted(due.event_id)
     rest = pd.concat([ordered.unpacked(v[0]) for v in p._waiting.values()])
     assert sorted(rest.event_id) == sorted(rows[rows.ts_us > until].event_id) and min(later) == rest.ts_us.min()
+
+
+def test_rows_after_a_release_of_one_instant_are_not_gathered():
+    """The watermark stands on the first instant that waits, in every piece; the rows after it stay in pieces."""
+    rows = random_rows(3, 30_000)
+    rows.loc[rows.index % 60 == 0, "ts_us"] = until = 0
+    p = Localizer()
+    p._waiting, p.slice_rows = Kept(), 1000
+    pieces, later = [p.put_away(part) for part in np.array_split(rows.sample(frac=1, random_state=2), 40)], []
+    assert {name[0] for name in pieces} == {until}
+    out = list(p.in_order(pieces, until, later))
+    assert sorted(pd.concat(out).event_id) == list(range(0, 30_000, 60))
+    rest = [ordered.unpacked(v[0]) for v in p._waiting.values()]
+    assert max(map(len, rest)) < ordered.PIECE + 750 and sum(map(len, rest)) == 29_500 and min(later) == min(part.ts_us.min() for part in rest)
