@@ -138,6 +138,33 @@ def test_logs_are_read_in_ranges(spark, tmp_path):
     assert ranges.count() > 10 and ranges.agg(F.sum(F.col("high") - F.col("low"))).first()[0] == len(files["noise"])
 
 
+def test_many_small_logs_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """Files in sub-folders, by patterns as Hadoop takes them: the driver knows folders, not files; each file is found once."""
+    rng = np.random.default_rng(5)
+    want = {}
+    for i in range(100):
+        name, data = f"{i % 7}/log {i}+{i % 3}.log", log_bytes(rng, i % 5, b"\x10\xff")
+        logs.saved(f"{tmp_path}/{name}", data)
+        want[name] = [(k, *x) for k, x in enumerate(logs._walk(data))]
+    (tmp_path / "1" / "other.txt").write_bytes(b"no log")
+    (tmp_path / "1" / ".x.log.crc").write_bytes(b"checksum")
+    (tmp_path / "1" / "folder.log").mkdir()
+    made, rows = type(spark).createDataFrame, []
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: rows.append(len(data)) or made(self, data, *a, **b))
+
+    got = {}
+    for r in logs.scan_logs(spark, f"{tmp_path}/*/*.log", range_bytes=100).collect():
+        got.setdefault(r.file[len(f"file:{tmp_path}/"):], []).append((r.ord, r.rec_type, r.t_host_us, bytes(r.payload)))
+    assert {n: sorted(x) for n, x in got.items()} == {n: x for n, x in want.items() if x}
+    assert max(rows) <= 7
+
+    def listed(pattern):
+        return sorted(r.file[len(f"file:{tmp_path}/"):] for r in logs.log_files(spark, f"{tmp_path}/{pattern}").collect())
+
+    assert listed("{1,2,[12]}/log ?[!1]*.log") == sorted(n for n in want if n[0] in "12" and n[7] != "1")
+    assert listed("3/log 3+0.log") == ["3/log 3+0.log"] and listed("nothing/*.log") == []
+
+
 def test_sql_functions(spark):
     from beltline.functions.sql import register
 
