@@ -205,6 +205,42 @@ def test_suffix_columns_sorted():
         assert c == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+def test_suffix_columns_take_few_rounds(monkeypatch):
+    """Columns hold as many symbols as fit a number: texts of 113 bytes are no 113 rounds. All bytes in use, columns that end on a text's end, equal texts."""
+    rng, made, inserted = np.random.default_rng(6), [], suffix_dedup._inserted
+    monkeypatch.setattr(suffix_dedup, "_inserted", lambda *a: made.append(1) or inserted(*a))
+    for alphabet, rounds in ((range(256), 17), (range(97, 123), 10), (b"a", 2), (b"\0\xff", 4)):
+        long = rng.choice(np.array(alphabet if isinstance(alphabet, range) else list(alphabet), np.uint8), 113).tobytes()
+        many = [long, long, long[5:], long[:-7], long[:60] + long[:53], b"", long[:1], *(long[:k] for k in range(40, 64))]
+        data, size = np.frombuffer(b"".join(many), np.uint8), np.array([len(x) for x in many])
+        made.clear()
+        ids, n, common = suffix_dedup.suffix_columns(data, np.cumsum(size) - size, size)
+        assert len(made) <= 3 * rounds
+        got = [(many[i][len(many[i]) - k :], i) for i, k in zip(ids, n.astype(int))]
+        assert got == sorted(got) and len(got) == sum(size) + len(many)
+        for (a, _), (b, _), c in zip(got, got[1:], common[1:]):
+            assert c == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_blocks_are_few_and_worked_on_in_slices(spark, monkeypatch):
+    rng = random.Random(7)
+    many = [prose(rng, rng.choice((0, 3, 300, 3000))) for _ in range(600)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(many)], "doc_id long, text string").coalesce(1)
+    assert 2 << 20 < sum(map(len, many)) < 8 << 20 and suffix_dedup.blocks(rows).count() == 1
+    raw = [t.encode() for t in many[:60]]
+    data, size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw])
+    want = suffix_dedup.pieces(data, size, 50, 16)
+    text, start, windows, value = want
+    begin = (np.cumsum(size) - size)[text] + start
+    h = suffix_dedup._content_hash(data, begin, windows + 49)
+    again = suffix_dedup._keys(suffix_dedup._gather(data, begin, windows + 49), np.cumsum(windows + 49) - windows - 49, windows + 49, 50, 16)
+    assert (again[0] == value).all() and (again[1] == h).all() and len(value) > 1000
+    monkeypatch.setattr(suffix_dedup, "SLICE", 5000)
+    assert len(list(suffix_dedup.slices(size))) > 3
+    for x, y in zip(want, suffix_dedup.block_pieces(data, size, 50, 16)):
+        assert (x == y).all() and len(x) == len(y)
+
+
 def test_repeated_strings_are_exact(spark, docs, texts):
     got = Counter((r["doc_id"], bytes(r["kept"]), r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(docs).collect())
     assert got == removed(texts)
