@@ -165,6 +165,16 @@ def test_many_small_logs_are_listed_by_tasks(spark, tmp_path, monkeypatch):
     assert listed("3/log 3+0.log") == ["3/log 3+0.log"] and listed("nothing/*.log") == []
 
 
+def test_logs_of_no_device_are_scanned(spark, tmp_path):
+    """Events without a user are a device of their own, as in the SQL: its name is null."""
+    from beltline.plans import catalog
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("user_id", F.expr("CASE WHEN event_id % 5 > 0 THEN user_id END"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.file: r.n_records for r in catalog.QUERIES["scan_log_ranges"](spark, str(tmp_path)).collect()}
+    assert got == {r[0]: r[1] for r in rows.groupBy(F.concat(F.lit("cnc-"), F.col("user_id").cast("string"))).count().collect()} and got[None] > 0
+
+
 def test_sql_functions(spark):
     from beltline.functions.sql import register
 
